@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEW_YORK = "America/New_York"
 
 
-def wall_clock_to_utc(wall: Column, zone: str = NEW_YORK) -> Column:
-    """Instant of a naive wall-clock time; null where the clock skips or repeats it.
+def wall_clocks_to_utc(df: DataFrame, columns: Iterable[str], zone: str = NEW_YORK) -> DataFrame:
+    """Turn naive wall-clock columns into instants; null where the clock skips or repeats.
 
-    Spark resolves both cases silently, so the instant is converted back: a skipped time
+    Spark resolves both cases silently, so each instant is converted back: a skipped time
     does not return, and a repeated one is also shown an hour earlier or later.
     """
-    utc = F.to_utc_timestamp(wall.cast("timestamp"), zone)
+    columns = list(columns)
     hour = F.expr("INTERVAL 1 HOUR")
+    df = df.withColumns({
+        f"_{c}_utc": F.to_utc_timestamp(F.col(c).cast("timestamp"), zone) for c in columns})
+
+    def unique(name: str) -> Column:
+        wall, utc = F.col(name).cast("timestamp"), F.col(f"_{name}_utc")
+
+        def shown(instant: Column) -> Column:
+            return F.from_utc_timestamp(instant, zone)
 
-    def shown(instant: Column) -> Column:
-        return F.from_utc_timestamp(instant, zone).cast("timestamp_ntz")
+        return F.when((shown(utc) == wall) & (shown(utc - hour) != wall)
+                      & (shown(utc + hour) != wall), utc)
 
-    skipped = shown(utc) != wall
-    repeated = (shown(utc - hour) == wall) | (shown(utc + hour) == wall)
-    return F.when(~skipped & ~repeated, utc)
+    return df.withColumns({c: unique(c) for c in columns}).drop(
+        *[f"_{c}_utc" for c in columns])
 
 
 def utc_to_wall_clock(utc: Column, zone: str = NEW_YORK) -> Column:

@@ -1,0 +1,25 @@
+"""Intermediate results in the cluster's shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so lost executors cost no recomputation.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
+    session without one, as in tests, gets a temporary folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+            folder = tempfile.mkdtemp(prefix="zonetide-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

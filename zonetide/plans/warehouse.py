@@ -31,13 +31,21 @@ class LoadReport:
     dates: list[date]
 
 
-def append_new(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Incoming rows whose key does not exist yet."""
-    return incoming.join(existing.select(*key), list(key), "left_anti").select(*incoming.columns)
+def append_new(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...],
+               unique: bool = False) -> DataFrame:
+    """Incoming rows whose key does not exist yet, one per key.
+
+    ``unique`` says that the incoming keys do not repeat, which saves a shuffle.
+    """
+    once = incoming if unique else incoming.dropDuplicates(list(key))
+    return once.join(existing.select(*key), list(key), "left_anti").select(*incoming.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Existing rows, replaced by the incoming ones where the key matches."""
+    """Existing rows, replaced by the incoming ones where the key matches.
+
+    Incoming keys must not repeat.
+    """
     kept = existing.join(incoming.select(*key), list(key), "left_anti")
     return kept.select(*incoming.columns).unionByName(incoming)
 
@@ -120,12 +128,18 @@ class Warehouse:
         self._write_version(simplify(zones, tolerance), "analytics/published_zones", version)
 
     def load_trips(self, path: str | list[str]) -> LoadReport:
-        """Load trip files."""
-        return self.load_raw(read_trips(self.spark, path))
+        """Load trip files. Their names identify the rows, so they must differ."""
+        raw = read_trips(self.spark, path)
+        names = [file.rsplit("/", 1)[-1] for file in raw.inputFiles()]
+        if len(set(names)) < len(names):
+            raise ValueError("Two source files share a name.")
+        return self.load_raw(raw)
 
     def load_raw(self, raw: DataFrame) -> LoadReport:
         """Clean raw trips, append the new ones, record rejects, refresh the rollup.
 
+        ``raw`` carries source_file and source_row_number, unique together.
+
         The source is read once for the valid and once for the rejected rows, which costs
         less than writing it out in between. Only files seen before are compared with the
         stored trips; a first load therefore shuffles no keys.
@@ -140,7 +154,8 @@ class Warehouse:
 
         valid = split.valid
         if seen:
-            valid = append_new(stored.where(F.col("source_file").isin(seen)), valid, TRIP_KEY)
+            known = stored.where(F.col("source_file").isin(seen))
+            valid = append_new(known, valid, TRIP_KEY, unique=True)
         (valid.withColumn("loaded_at", loaded_at)
          # One run of files per date, hot dates split, small ones merged.
          .hint("rebalance", "pickup_date")

@@ -18,9 +18,10 @@ def _ring(*corners: tuple[Column, Column]) -> Column:
     return F.array(*vertices)
 
 
-def square(gx: Column, gy: Column) -> Column:
-    """Unit square with its lower left corner at (gx, gy), as a multipolygon."""
-    ring = _ring((gx, gy), (gx + 1, gy), (gx + 1, gy + 1), (gx, gy + 1))
+def square(gx: Column, gy: Column, side: float = 1.0) -> Column:
+    """Square number (gx, gy) of a grid, as a multipolygon."""
+    x, y = gx * side, gy * side
+    ring = _ring((x, y), (x + side, y), (x + side, y + side), (x, y + side))
     return F.array(F.array(ring)).cast(GEOMETRY)
 
 
@@ -41,22 +42,63 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARCEL_COLUMNS = 128
+PARCEL_SIDE = 0.25
+
+
+def _parcel_grid() -> tuple[Column, Column]:
+    key = F.col("c_custkey")
+    return key % PARCEL_COLUMNS, F.floor(key / PARCEL_COLUMNS)
+
+
+def _parcels(spark: SparkSession, sf_dir: str, geom: Column) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.cast("int").alias("location_id"),
+        F.concat(F.lit("PARCEL_"), key).alias("zone_name"),
+        F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("borough"),
+        F.lit(None).cast("string").alias("service_zone"),
+        geom.alias("geom"))
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One square per customer on a grid 128 wide: a zone map that grows with the data."""
-    key = F.col("c_custkey")
-    gx, gy = key % PARCEL_COLUMNS, F.floor(key / PARCEL_COLUMNS)
-    return (
-        table(spark, sf_dir, "customer")
-        .select(
-            key.cast("int").alias("location_id"),
-            F.concat(F.lit("PARCEL_"), key).alias("zone_name"),
-            F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("borough"),
-            F.lit(None).cast("string").alias("service_zone"),
-            square(gx, gy).alias("geom"),
-        )
-    )
+    return _parcels(spark, sf_dir, square(*_parcel_grid(), PARCEL_SIDE))
+
+
+def wavy_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels whose sides are bent at the middle by -10 .. 10 steps of 0.000018."""
+    gx, gy = _parcel_grid()
+    x, y, side = gx * PARCEL_SIDE, gy * PARCEL_SIDE, PARCEL_SIDE
+
+    def bend(number: int) -> Column:
+        return ((F.col("c_custkey") * 7 + number * 13) % 21 - 10) * 0.000018
+
+    ring = _ring((x, y), (x + side / 2, y + bend(0)), (x + side, y),
+                 (x + side + bend(1), y + side / 2), (x + side, y + side),
+                 (x + side / 2, y + side + bend(2)), (x, y + side),
+                 (x + bend(3), y + side / 2))
+    return _parcels(spark, sf_dir, F.array(F.array(ring)).cast(GEOMETRY))
+
+
+def projected_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels of 1000 feet in New York Long Island state plane coordinates."""
+    gx, gy = _parcel_grid()
+    return _parcels(spark, sf_dir, square(gx + 900, gy + 100, 1000.0))
+
+
+def faulty_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with faults planted by id: kind = id % 11."""
+    gx, gy = _parcel_grid()
+    x, y, side = gx * PARCEL_SIDE, gy * PARCEL_SIDE, PARCEL_SIDE
+    kind = F.col("c_custkey") % 11
+    bow = F.array(F.array(_ring((x, y), (x + side, y + side), (x + side, y), (x, y + side))))
+    whole = square(gx, gy, PARCEL_SIDE)
+    opened = F.transform(whole, lambda p: F.transform(p, lambda r: F.slice(r, 1, 4)))
+    geom = (F.when(kind == 0, opened).when(kind == 1, bow.cast(GEOMETRY))
+            .when(kind == 2, square(gx + 1000, gy, PARCEL_SIDE)).otherwise(whole))
+    parcels_ = _parcels(spark, sf_dir, geom).withColumn(
+        "zone_name", F.when(F.col("location_id") % 11 != 3, F.col("zone_name")))
+    return parcels_.unionByName(parcels_.where(F.col("location_id") % 11 == 4))
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
