@@ -8,27 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEW_YORK = "America/New_York"
+HOUR = 3_600_000_000
 
 
 def wall_clocks_to_utc(df: DataFrame, columns: Iterable[str], zone: str = NEW_YORK) -> DataFrame:
     """Turn naive wall-clock columns into instants; null where the clock skips or repeats.
 
-    Spark resolves both cases silently, so each instant is converted back: a skipped time
-    does not return, and a repeated one is also shown an hour earlier or later.
+    Spark resolves both cases silently, taking the earlier instant of a repeated time, so
+    the result is converted back. Almost always an hour later reads an hour later, which
+    rules out both cases at once; only around a clock change is more to compare.
     """
     columns = list(columns)
-    hour = F.expr("INTERVAL 1 HOUR")
     df = df.withColumns({
         f"_{c}_utc": F.to_utc_timestamp(F.col(c).cast("timestamp"), zone) for c in columns})
 
     def unique(name: str) -> Column:
-        wall, utc = F.col(name).cast("timestamp"), F.col(f"_{name}_utc")
+        # Plain microseconds: adding an interval would consult the session's time zone.
+        wall, utc = F.unix_micros(F.col(name).cast("timestamp")), F.col(f"_{name}_utc")
 
         def shown(instant: Column) -> Column:
-            return F.from_utc_timestamp(instant, zone)
+            return F.unix_micros(F.from_utc_timestamp(instant, zone))
 
-        return F.when((shown(utc) == wall) & (shown(utc - hour) != wall)
-                      & (shown(utc + hour) != wall), utc)
+        hour_later = shown(F.timestamp_micros(F.unix_micros(utc) + HOUR))
+        return F.when(hour_later == wall + HOUR, utc).when(
+            (shown(utc) == wall) & (hour_later != wall), utc)
 
     return df.withColumns({c: unique(c) for c in columns}).drop(
         *[f"_{c}_utc" for c in columns])

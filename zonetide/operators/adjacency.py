@@ -79,7 +79,9 @@ def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
 
     boxes_meet = ((low("a", "x") <= high("b", "x")) & (low("b", "x") <= high("a", "x"))
                   & (low("a", "y") <= high("b", "y")) & (low("b", "y") <= high("a", "y")))
-    return a.join(b, keys).where(order & boxes_meet).drop("cx", "cy")
+    # Sizes estimated from the zone file say little about the gridded edges, so the sides
+    # are never broadcast; hot cells are split at run time.
+    return a.hint("merge").join(b, keys).where(order & boxes_meet).drop("cx", "cy")
 
 
 def with_turns(pairs: DataFrame) -> DataFrame:
@@ -155,21 +157,14 @@ def _both_ways(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return pairs.select(F.explode(ways).alias("w")).select("w.*")
 
 
-def _ring_boxes(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("location_id", "poly", "ring").agg(
-        F.min("x1").alias("min_x"), F.max("x1").alias("max_x"),
-        F.min("y1").alias("min_y"), F.max("y1").alias("max_y"),
-        F.min(F.struct("x1", "y1")).alias("corner"))
-
-
-def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame) -> DataFrame:
+def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
+               several_rings: DataFrame) -> DataFrame:
     """Touching pairs where a ring without contact lies inside the other zone.
 
-    Only zones with several rings can have one: the ring's first vertex is tested against
-    the other zone's edges by counting crossings of a horizontal ray. Points and edges meet
-    on (zone, height strip), so no zone is compared as a whole.
+    Only zones with several rings can have one. The ring's first vertex is tested against
+    the other zone's edges by counting crossings of a ray to the right. Points and edges
+    meet on (zone, height strip), so no zone is compared as a whole.
     """
-    both = _both_ways(touching, "location_id", "other")
     ring_of_a = F.struct(F.col("a_location_id").alias("location_id"),
                          F.col("b_location_id").alias("other"),
                          F.col("a_poly").alias("poly"), F.col("a_ring").alias("ring"))
@@ -178,21 +173,14 @@ def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame) -> Da
                          F.col("b_poly").alias("poly"), F.col("b_ring").alias("ring"))
     met = (contacts.where(~F.col("overlap"))
            .select(F.explode(F.array(ring_of_a, ring_of_b)).alias("r")).select("r.*"))
-    boxes = _ring_boxes(edges)
-    zone_boxes = boxes.groupBy(F.col("location_id").alias("other")).agg(
-        F.min("min_x").alias("o_min_x"), F.max("max_x").alias("o_max_x"),
-        F.min("min_y").alias("o_min_y"), F.max("max_y").alias("o_max_y"))
-    lone = (
-        both.join(boxes, "location_id")
-        .join(met, ["location_id", "other", "poly", "ring"], "left_anti")
-        .join(zone_boxes, "other")
-        .where("min_x >= o_min_x AND max_x <= o_max_x AND min_y >= o_min_y AND max_y <= o_max_y")
-    )
     strip = F.col("strip")
-    lone = lone.withColumn("strip", _cell_size(edges))
-    points = lone.select(
-        "location_id", "other", "poly", "ring", F.col("corner.x1").alias("qx"),
-        F.col("corner.y1").alias("qy"), F.floor(F.col("corner.y1") / strip).alias("cy"))
+    points = (
+        several_rings.where("seq = 0")
+        .select("location_id", "poly", "ring", F.col("x1").alias("qx"), F.col("y1").alias("qy"))
+        .join(_both_ways(touching, "location_id", "other"), "location_id")
+        .join(met, ["location_id", "other", "poly", "ring"], "left_anti")
+        .withColumn("strip", _cell_size(edges))
+        .withColumn("cy", F.floor(F.col("qy") / strip)).drop("strip"))
     walls = (
         edges.where("y1 <> y2").withColumn("strip", _cell_size(edges))
         .select(F.col("location_id").alias("other"), "x1", "y1", "x2", "y2",
@@ -202,14 +190,13 @@ def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame) -> Da
     spans = (a[1] <= q[1]) != (b[1] <= q[1])
     upward = F.when(b[1] > a[1], 1).otherwise(-1)
     hits = F.when(spans & (g.orientation(a, b, q) * upward > 0), 1).otherwise(0)
-    inside = (
+    return (
         points.join(walls, ["other", "cy"])
         .groupBy("location_id", "other", "poly", "ring").agg(F.sum(hits).alias("hits"))
         .where(F.col("hits") % 2 == 1)
+        .select(F.least("location_id", "other").alias("a_location_id"),
+                F.greatest("location_id", "other").alias("b_location_id"))
     )
-    return inside.select(
-        F.least("location_id", "other").alias("a_location_id"),
-        F.greatest("location_id", "other").alias("b_location_id"))
 
 
 def zone_adjacency(zones: DataFrame) -> DataFrame:
@@ -218,12 +205,13 @@ def zone_adjacency(zones: DataFrame) -> DataFrame:
     Works on the unsimplified geometry. Contact in a single corner counts.
     """
     edges = g.edges(zones)
+    several_rings = g.edges(zones.where(F.size(F.flatten("geom")) > 1))
     contacts = _contacts(edge_pairs(edges))
     touching = (
         contacts.groupBy("a_location_id", "b_location_id")
         .agg(F.max("overlap").alias("overlap"))
         .where(~F.col("overlap")).select("a_location_id", "b_location_id")
     )
-    kept = touching.join(_swallowed(touching, contacts, edges),
+    kept = touching.join(_swallowed(touching, contacts, edges, several_rings),
                          ["a_location_id", "b_location_id"], "left_anti")
     return _both_ways(kept, "location_id", "neighbour_id")

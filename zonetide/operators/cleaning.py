@@ -61,14 +61,17 @@ def standardise(raw: DataFrame) -> DataFrame:
         **{c: _number(df, c) for c in (*INTEGER_COLUMNS, "trip_distance", *MONEY_COLUMNS)},
         "store_and_fwd_flag": F.upper(F.trim(F.col("store_and_fwd_flag").cast("string"))),
     })
+    if "pickup_datetime" in naive:
+        df = df.withColumn("_local", F.col("pickup_datetime"))
+    else:
+        df = df.withColumn("_local", utc_to_wall_clock(F.col("pickup_datetime")))
     df = wall_clocks_to_utc(df, naive)
     micros = F.unix_micros("dropoff_datetime") - F.unix_micros("pickup_datetime")
+    has_pickup = F.col("pickup_datetime").isNotNull()
     return df.withColumns({
-        "trip_duration_seconds": F.bround(micros / 1e6, 0).cast("bigint"),
-        "_local": utc_to_wall_clock(F.col("pickup_datetime")),
-    }).withColumns({
-        "pickup_date": F.to_date("_local"),
-        "pickup_hour": F.hour("_local"),
+        "trip_duration_seconds": F.rint(micros / 1e6).cast("bigint"),
+        "pickup_date": F.when(has_pickup, F.to_date("_local")),
+        "pickup_hour": F.when(has_pickup, F.hour("_local")),
     }).drop("_local")
 
 

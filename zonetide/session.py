@@ -4,23 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# UTC and ANSI arithmetic are part of the semantics: dates derive from explicit zone
+# conversions, and overflow must raise rather than turn into null.
+SEMANTICS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+}
+# The JVM leaves larger methods uncompiled. Above this size Spark splits a stage's
+# expressions into small methods instead of fusing them into one.
+SPEED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings to an existing session."""
+    for key, value in (SEMANTICS | SPEED).items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(app_name: str = "zonetide", master: str | None = None,
                   **extra: str) -> SparkSession:
-    """Create (or fetch) a session with the settings results depend on.
+    """Create (or fetch) a session with the settings applied.
 
-    The UTC session zone and ANSI arithmetic are part of the semantics: dates
-    derive from explicit zone conversions, and overflow must raise rather than
-    turn into null. The rest is left to the cluster's own configuration.
+    Everything else, such as parallelism and memory, is left to the cluster.
     """
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.ansi.enabled", "true")
-        .config("spark.sql.adaptive.enabled", "true")
-    )
+    builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
