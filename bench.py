@@ -68,6 +68,8 @@ def reference_trips(spark: SparkSession) -> DataFrame:
 def main() -> None:
     spark = build_session("zonetide-bench", master=f"local[{CPUS}]", **{
         "spark__sql__shuffle__partitions": CPUS, "spark__ui__enabled": "false",
+        # Small writes would otherwise be merged into a single task.
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "2m",
         "spark__driver__memory": "12g", "spark__ui__showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     root = tempfile.mkdtemp(prefix="zonetide-bench-")

@@ -94,6 +94,8 @@ def test_anomaly_items_order_and_low_days(make_demand, zones):
     assert [i.anomaly_type for i in row["items"]] == ["High Demand", "Low Demand"]
     # Equal sizes: the later date first.
     assert row["items"][0].pickup_date > row["items"][1].pickup_date
+    nested = in_turkish(zone_anomalies(demand, zones, location_id=1)).first()["items"]
+    assert [i.anomaly_type for i in nested] == ["Yüksek Talep", "Düşük Talep"]
     flat = in_turkish(anomaly_items(zone_anomalies(demand, zones)))
     assert {r.anomaly_type for r in flat.collect()} == {"Yüksek Talep", "Düşük Talep"}
 

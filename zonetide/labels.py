@@ -59,4 +59,10 @@ def lookup(key: Column, values: dict[int, str]) -> Column:
 def in_turkish(df: DataFrame) -> DataFrame:
     """Replace the English labels of a result by the Turkish display texts."""
     present = [c for c in LABEL_COLUMNS if c in df.columns]
-    return df.replace(TURKISH, subset=present) if present else df
+    if present:
+        df = df.replace(TURKISH, subset=present)
+    if "items" in df.columns:
+        texts = F.create_map(*[F.lit(t) for pair in TURKISH.items() for t in pair])
+        df = df.withColumn("items", F.transform("items", lambda item: item.withField(
+            "anomaly_type", F.element_at(texts, item["anomaly_type"]))))
+    return df

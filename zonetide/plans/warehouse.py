@@ -18,6 +18,7 @@ from zonetide.sources.trips import read_trips
 from zonetide.sources.zones import validate_zones
 
 TRIP_SCHEMA = ", ".join(f"{c} {t}" for c, t in TRIP_TYPES.items()) + ", loaded_at timestamp"
+MAX_LISTED_FILES = 10_000
 ZONE_TABLE_SCHEMA = f"{ZONE_SCHEMA}, created_at timestamp"
 
 
@@ -50,6 +51,18 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> Da
     return kept.select(*incoming.columns).unionByName(incoming)
 
 
+def _from_files(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored rows that came from the given files.
+
+    A short list of names becomes a filter, which skips files and row groups by their
+    statistics; a long one a semi join.
+    """
+    names = [r.source_file for r in files.limit(MAX_LISTED_FILES + 1).collect()]
+    if len(names) <= MAX_LISTED_FILES:
+        return stored.where(F.col("source_file").isin(names))
+    return stored.join(files, "source_file", "left_semi")
+
+
 def upsert_zones(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace zones by id, keeping ``created_at`` and a service zone already known."""
     known = existing.select("location_id", F.col("created_at").alias("_created"),
@@ -146,15 +159,11 @@ class Warehouse:
         """
         split = clean_trips(raw, self.zones())
         loaded_at = F.lit(datetime.now(timezone.utc))
-        # One entry per source file.
-        files = [r.source_file for r in raw.select("source_file").distinct().collect()]
-        from_files = F.col("source_file").isin(files)
-        stored = self.trips().where(from_files)
-        seen = [r.source_file for r in stored.select("source_file").distinct().collect()]
+        files = raw.select("source_file").distinct()
 
         valid = split.valid
-        if seen:
-            known = stored.where(F.col("source_file").isin(seen))
+        known = _from_files(self.trips(), files)
+        if not known.isEmpty():
             valid = append_new(known, valid, TRIP_KEY, unique=True)
         (valid.withColumn("loaded_at", loaded_at)
          # One run of files per date, hot dates split, small ones merged.
@@ -162,13 +171,15 @@ class Warehouse:
          .write.mode("append").partitionBy("pickup_date").parquet(self._path("core/trips")))
 
         rejected = split.rejected.withColumn("rejected_at", loaded_at)
-        before = self.rejected_trips().where(from_files)
-        self._replace(upsert(before, rejected, TRIP_KEY), "raw/rejected_trips", "source_file")
+        earlier = _from_files(self.rejected_trips(), files)
+        if not earlier.isEmpty():
+            rejected = upsert(earlier, rejected, TRIP_KEY)
+        self._replace(rejected, "raw/rejected_trips", "source_file")
 
         # Counted in the tables: what is reported is what is stored.
-        refused = self.rejected_trips().where(
-            from_files & (F.col("rejected_at") == loaded_at)).count()
-        loaded = self.trips().where(from_files)
+        refused = _from_files(self.rejected_trips(), files).where(
+            F.col("rejected_at") == loaded_at).count()
+        loaded = _from_files(self.trips(), files)
         inserted = loaded.where(F.col("loaded_at") == loaded_at).count()
         dates = sorted(r.pickup_date for r in loaded.select("pickup_date").distinct().collect())
         self.refresh_rollup(dates)
