@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zonetide.functions import geometry as g
 
 
-def _cell_size(edges: DataFrame) -> Column:
+def cell_size(edges: DataFrame) -> Column:
     """Power of two near the lower quartile of the edge lengths, as a scalar subquery.
 
     Lengths are counted by binary exponent, so the result is exact and does not depend
@@ -24,14 +24,14 @@ def _cell_size(edges: DataFrame) -> Column:
     return F.pow(F.lit(2.0), power)
 
 
-def on_grid(edges: DataFrame) -> DataFrame:
+def on_grid(edges: DataFrame, size: Column) -> DataFrame:
     """One row per grid cell an edge runs through (columns cx, cy).
 
     Within each grid column only the rows between the edge's entry and exit heights are
     listed, so a long diagonal covers as many cells as a long straight edge.
     """
     x1, y1, x2, y2, cell = (F.col(c) for c in ("x1", "y1", "x2", "y2", "cell"))
-    columns = edges.withColumn("cell", _cell_size(edges)).withColumn(
+    columns = edges.withColumn("cell", size).withColumn(
         "cx", F.explode(F.sequence(F.floor(F.least(x1, x2) / cell),
                                    F.floor(F.greatest(x1, x2) / cell))))
     enter = F.greatest(F.col("cx") * cell, F.least(x1, x2))
@@ -48,7 +48,7 @@ def on_grid(edges: DataFrame) -> DataFrame:
     ).drop("cell", "h1", "h2")
 
 
-def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
+def edge_pairs(edges: DataFrame, size: Column, same_zone: bool = False) -> DataFrame:
     """Pairs of edges whose boxes meet, found through shared grid cells.
 
     Columns of the two sides are prefixed ``a_`` and ``b_``; across zones a has the
@@ -56,7 +56,7 @@ def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
     is listed once per cell: the callers only ask whether a pair exists, and repeating a
     test is cheaper than a shuffle to remove repeats.
     """
-    gridded = on_grid(edges)
+    gridded = on_grid(edges, size)
 
     def side(prefix: str) -> DataFrame:
         return gridded.withColumnsRenamed({c: f"{prefix}_{c}" for c in edges.columns})
@@ -158,7 +158,7 @@ def _both_ways(pairs: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
-               several_rings: DataFrame) -> DataFrame:
+               several_rings: DataFrame, size: Column) -> DataFrame:
     """Touching pairs where a ring without contact lies inside the other zone.
 
     Only zones with several rings can have one. The ring's first vertex is tested against
@@ -179,10 +179,10 @@ def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
         .select("location_id", "poly", "ring", F.col("x1").alias("qx"), F.col("y1").alias("qy"))
         .join(_both_ways(touching, "location_id", "other"), "location_id")
         .join(met, ["location_id", "other", "poly", "ring"], "left_anti")
-        .withColumn("strip", _cell_size(edges))
+        .withColumn("strip", size)
         .withColumn("cy", F.floor(F.col("qy") / strip)).drop("strip"))
     walls = (
-        edges.where("y1 <> y2").withColumn("strip", _cell_size(edges))
+        edges.where("y1 <> y2").withColumn("strip", size)
         .select(F.col("location_id").alias("other"), "x1", "y1", "x2", "y2",
                 F.explode(F.sequence(F.floor(F.least("y1", "y2") / strip),
                                      F.floor(F.greatest("y1", "y2") / strip))).alias("cy")))
@@ -206,12 +206,13 @@ def zone_adjacency(zones: DataFrame) -> DataFrame:
     """
     edges = g.edges(zones)
     several_rings = g.edges(zones.where(F.size(F.flatten("geom")) > 1))
-    contacts = _contacts(edge_pairs(edges))
+    cell = cell_size(edges)
+    contacts = _contacts(edge_pairs(edges, cell))
     touching = (
         contacts.groupBy("a_location_id", "b_location_id")
         .agg(F.max("overlap").alias("overlap"))
         .where(~F.col("overlap")).select("a_location_id", "b_location_id")
     )
-    kept = touching.join(_swallowed(touching, contacts, edges, several_rings),
+    kept = touching.join(_swallowed(touching, contacts, edges, several_rings, cell),
                          ["a_location_id", "b_location_id"], "left_anti")
     return _both_ways(kept, "location_id", "neighbour_id")

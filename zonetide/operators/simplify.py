@@ -23,10 +23,14 @@ DEFAULT_TOLERANCE = 0.0001
 def simplify(zones: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
     """Zones with ``geom`` simplified; every other column unchanged.
 
-    Zones are independent, so the work spreads over the rows; a call handles the rings of
+    Zones are independent, so the work spreads over the rows: they are dealt out to all
+    cores first, as zone files are small but slow to simplify. A call handles the rings of
     one row, which already had to fit there. Only coordinates travel to Python and only
     vertex positions come back.
     """
+    cores = zones.sparkSession.sparkContext.defaultParallelism
+    zones = zones.repartition(cores, "location_id")
+
     @F.pandas_udf("array<array<int>>")
     def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:

@@ -33,31 +33,33 @@ def zone_trend(demand: DataFrame, zones: DataFrame, filters: Filters = NO_FILTER
     scoped = filters.only("hour", "weekday").apply(demand)
     latest = F.max("pickup_date")
     end = F.least(F.lit(filters.date_to), latest) if filters.date_to else latest
-    # One value, evaluated before the scan: it prunes the rollup's date partitions.
+    # One value, known before the scan, which can then skip everything earlier.
     last_day = scoped.agg(end).scalar()
-
-    def before(days: int) -> Column:
-        return F.date_sub(last_day, days)
-
     if location_id is not None:
         scoped = scoped.where(F.col("location_id") == location_id)
         zones = zones.where(F.col("location_id") == location_id)
     window = scoped.where(
-        (F.col("pickup_date") >= before(2 * period_days - 1)) & (F.col("pickup_date") <= last_day))
-    is_current = F.col("pickup_date") >= before(period_days - 1)
+        (F.col("pickup_date") >= F.date_sub(last_day, 2 * period_days - 1))
+        & (F.col("pickup_date") <= last_day))
+    is_current = F.col("pickup_date") >= F.date_sub(last_day, period_days - 1)
     totals = window.groupBy("location_id").agg(
         F.sum(F.when(is_current, F.col("trip_count")).otherwise(0)).alias("current"),
         F.sum(F.when(is_current, 0).otherwise(F.col("trip_count"))).alias("previous"))
+
+    def before(days: int) -> Column:
+        return F.date_sub("current_period_end", days)
+
     current, previous = F.col("current_period_trip_count"), F.col("previous_period_trip_count")
     change = F.col("change_percentage")
     return (
         zones.select("location_id", "zone_name", "borough")
+        .withColumn("current_period_end", last_day)
         .join(totals, "location_id", "left")
         .select(
             "location_id", "zone_name", "borough",
             F.lit(period_days).alias("period_days"),
             before(period_days - 1).alias("current_period_start"),
-            last_day.alias("current_period_end"),
+            "current_period_end",
             before(2 * period_days - 1).alias("previous_period_start"),
             before(period_days).alias("previous_period_end"),
             F.coalesce("current", F.lit(0).cast("bigint")).alias("current_period_trip_count"),

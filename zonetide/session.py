@@ -10,12 +10,15 @@ SEMANTICS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }
-# The JVM leaves larger methods uncompiled. Above this size Spark splits a stage's
-# expressions into small methods instead of fusing them into one.
 SPEED = {
     "spark.sql.adaptive.enabled": "true",
+    # The JVM leaves larger methods uncompiled. Above this size Spark splits a stage's
+    # expressions into small methods instead of fusing them into one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# Settings fixed when the session starts. Recording the Python call site of every column,
+# only used in error messages, takes longer than the rest of building a query.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,6 +35,8 @@ def build_session(app_name: str = "zonetide", master: str | None = None,
     Everything else, such as parallelism and memory, is left to the cluster.
     """
     builder = SparkSession.builder.appName(app_name)
+    for key, value in (SEMANTICS | SPEED | AT_START).items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in extra.items():

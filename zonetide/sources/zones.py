@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.functions.geometry import edges, map_vertices, rings
+from zonetide.functions.geometry import edges, map_vertices
 from zonetide.functions.projection import PROJECTIONS, inverse
-from zonetide.operators.adjacency import edge_pairs, with_turns
+from zonetide.operators.adjacency import cell_size, edge_pairs, with_turns
 from zonetide.schemas import GEOMETRY
 from zonetide.sources.trips import require_columns
 
@@ -73,38 +75,36 @@ def standardise_zones(zones: DataFrame, source_crs: str | None = "EPSG:4326") ->
 
 def zone_violations(zones: DataFrame, check_crossings: bool = True) -> DataFrame:
     """Faults that make a zone unusable, one row per (location_id, violation)."""
-    found = []
+    def outside(v: Column) -> Column:
+        return ~F.coalesce((F.abs(v["x"]) <= 180) & (F.abs(v["y"]) <= 90), F.lit(False))
+
+    def any_ring(condition: Callable[[Column], Column]) -> Column:
+        return F.exists(F.flatten("geom"), condition)
+
+    faults = {
+        **{f"null {c}": F.col(c).isNull()
+           for c in ("location_id", "zone_name", "borough", "geom")},
+        "empty geometry": (F.size("geom") == 0) | F.exists("geom", lambda p: F.size(p) == 0),
+        "ring with fewer than 4 points": any_ring(lambda r: F.size(r) < 4),
+        "ring not closed": any_ring(lambda r: F.element_at(r, 1) != F.element_at(r, -1)),
+        "coordinate out of range": any_ring(lambda r: F.exists(r, outside)),
+    }
+    listed = F.array_compact(F.array(*[F.when(f, name) for name, f in faults.items()]))
     repeated = zones.groupBy("location_id").count().where("count > 1")
-    found.append(repeated.select("location_id", F.lit("duplicate location_id").alias("violation")))
-    nulls = F.filter(
-        F.array(*[F.when(F.col(c).isNull(), f"null {c}")
-                  for c in ("location_id", "zone_name", "borough", "geom")]),
-        lambda v: v.isNotNull())
-    found.append(zones.select("location_id", F.explode(nulls).alias("violation")))
-    ring = F.col("vertices")
-    finite = F.forall(ring, lambda v: (F.abs(v["x"]) <= 180) & (F.abs(v["y"]) <= 90)
-                      & ~F.isnan(v["x"]) & ~F.isnan(v["y"]))
-    faults = F.filter(F.array(
-        F.when(F.size(ring) < 4, "ring with fewer than 4 points"),
-        F.when(F.element_at(ring, 1) != F.element_at(ring, -1), "ring not closed"),
-        F.when(~F.coalesce(finite, F.lit(False)), "coordinate out of range"),
-    ), lambda v: v.isNotNull())
-    usable = zones.where(F.col("geom").isNotNull())
-    found.append(rings(usable).select("location_id", F.explode(faults).alias("violation")))
-    empty = usable.where((F.size("geom") == 0) | F.exists("geom", lambda p: F.size(p) == 0))
-    found.append(empty.select("location_id", F.lit("empty geometry").alias("violation")))
+    result = zones.select("location_id", F.explode(listed).alias("violation")).unionByName(
+        repeated.select("location_id", F.lit("duplicate location_id").alias("violation")))
     if check_crossings:
-        found.append(self_crossings(usable).select(
-            "location_id", F.lit("boundary crosses itself").alias("violation")))
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
+        crossed = self_crossings(zones.where(F.col("geom").isNotNull()))
+        result = result.unionByName(
+            crossed.select("location_id", F.lit("boundary crosses itself").alias("violation")))
     return result.distinct()
 
 
 def self_crossings(zones: DataFrame) -> DataFrame:
     """Zones with two boundary edges crossing each other."""
-    return (with_turns(edge_pairs(edges(zones), same_zone=True))
+    boundary = edges(zones)
+    pairs = edge_pairs(boundary, cell_size(boundary), same_zone=True)
+    return (with_turns(pairs)
             .where("crossing").select("location_id").distinct())
 
 
