@@ -246,3 +246,13 @@ def test_zones_need_a_coordinate_system_and_columns(spark, make_zones):
     feet = make_zones({1: [[box(984250, 0, 1000, 1000)]]})
     x, y = standardise_zones(feet, "EPSG:2263").first().geom[0][0][0]
     assert (x, y) == (pytest.approx(-74), pytest.approx(40.1666667))
+
+
+def test_boundaries_stay_out_of_the_ranking_task(make_zones, make_demand):
+    zones = make_zones({1: SQUARE, 2: [[box(1, 0)]]})
+    demand, adjacency = make_demand([(DAY, 0, 1, 5)]), zone_adjacency(zones)
+    for operator in (hotspots, zone_scores):
+        plan = operator(demand, zones, adjacency)._jdf.queryExecution().optimizedPlan()
+        windows = [line for line in plan.toString().splitlines() if "Window [" in line]
+        assert windows and not any("geom" in line for line in windows)
+        assert "geom" in operator(demand, zones, adjacency).columns

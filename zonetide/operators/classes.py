@@ -37,7 +37,6 @@ def demand_classes(demand: DataFrame, zones: DataFrame,
     class_id = demand_class_id(F.col("percentile"))
     return (
         filters.select_zones(zones)
-        .select("location_id", "zone_name", "borough", "geom")
         .join(measured, "location_id", "left")
         .select(
             "location_id", "zone_name", "borough",
@@ -45,6 +44,6 @@ def demand_classes(demand: DataFrame, zones: DataFrame,
             "avg_total_amount", "avg_trip_distance",
             class_id.alias("demand_class_id"),
             lookup(class_id, dict(enumerate(DEMAND_CLASSES))).alias("demand_class"),
-            "geom")
+            *[c for c in zones.columns if c == "geom"])
         .orderBy("location_id")
     )

@@ -30,6 +30,16 @@ def neighbour_stats(selected: DataFrame, adjacency: DataFrame) -> DataFrame:
     })
 
 
+def with_geometry(result: DataFrame, zones: DataFrame) -> DataFrame:
+    """Add the zones' ``geom``, if they have one.
+
+    Joined last: the rankings before it run in one task, where boundaries have no place.
+    """
+    if "geom" not in zones.columns:
+        return result
+    return result.join(zones.select("location_id", "geom"), "location_id")
+
+
 def hotspot_score(zone: Column, around: Column, neighbours: Column) -> Column:
     """-2..2 from the percentiles of a zone and of its neighbourhood; first match wins."""
     return (
@@ -52,7 +62,7 @@ def hotspots(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
     counted = filters.apply(demand).groupBy("location_id").agg(
         F.sum("trip_count").alias("trip_count"))
     selected = (
-        filters.select_zones(zones).select("location_id", "zone_name", "borough", "geom")
+        filters.select_zones(zones).select("location_id", "zone_name", "borough")
         .join(counted, "location_id", "left")
         .withColumn("trip_count", F.coalesce("trip_count", F.lit(0).cast("bigint")))
     )
@@ -63,10 +73,9 @@ def hotspots(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
                       "around_share": zone_cume_dist("neighbour_avg_trip_count")})
     )
     score = hotspot_score(F.col("zone_share"), F.col("around_share"), F.col("neighbour_count"))
-    return ranked.select(
+    return with_geometry(ranked.select(
         "location_id", "zone_name", "borough", "trip_count", "neighbour_count",
         F.col("neighbour_avg_trip_count").cast("double").alias("neighbour_avg_trip_count"),
         score.alias("hotspot_score"),
         lookup(score, HOTSPOT_CLASSES).alias("hotspot_class"),
-        "geom",
-    ).orderBy("location_id")
+    ), zones).orderBy("location_id")

@@ -9,7 +9,7 @@ from zonetide.filters import NO_FILTERS, Filters, iso_weekday
 from zonetide.functions.numeric import percent_of, ratio
 from zonetide.functions.percentile import zone_cume_dist
 from zonetide.labels import HOTSPOT_CLASSES, PRIORITY_CLASSES, WEEKDAYS, lookup
-from zonetide.operators.hotspots import hotspot_score, neighbour_stats
+from zonetide.operators.hotspots import hotspot_score, neighbour_stats, with_geometry
 
 # Weights of the score parts, points per hotspot score, class bounds.
 DEMAND_WEIGHT = "0.50"
@@ -55,7 +55,7 @@ def _scored(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
         ratio(F.sum("total_amount"), F.sum("trip_count"), 2).alias("avg_total_amount"),
         ratio(F.sum("weighted_distance"), F.sum("trip_count"), 2).alias("avg_trip_distance"))
     selected = (
-        filters.select_zones(zones).select("location_id", "zone_name", "borough", "geom")
+        filters.select_zones(zones).select("location_id", "zone_name", "borough")
         .join(per_zone, "location_id", "left")
         .withColumns({
             "trip_count": F.coalesce("trip_count", F.lit(0).cast("bigint")),
@@ -94,11 +94,11 @@ def zone_scores(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
 
     Demand is ranked among zones with trips only, and the neighbours' mean unrounded.
     """
-    return _scored(demand, zones, adjacency, filters).select(
+    scores = _scored(demand, zones, adjacency, filters).select(
         "location_id", "zone_name", "borough", "trip_count", "active_day_count",
         "total_day_count", *_as_doubles(*SCORE_COLUMNS),
-        priority_class(F.col("zone_score")).alias("priority_class"), "geom",
-    ).orderBy(F.desc("zone_score"), "location_id")
+        priority_class(F.col("zone_score")).alias("priority_class"))
+    return with_geometry(scores, zones).orderBy(F.desc("zone_score"), "location_id")
 
 
 def peaks(demand: DataFrame, filters: Filters = NO_FILTERS) -> DataFrame:

@@ -78,8 +78,8 @@ def _dirty(spark: SparkSession, sf: str):
 
 def _spatial(operator: Callable[..., DataFrame], filters: Filters = Filters()) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        result = operator(demand(spark, sf), fx.zones(spark, sf), adjacency(spark, sf), filters)
-        return result.drop("geom")
+        zones = fx.zones(spark, sf).drop("geom")
+        return operator(demand(spark, sf), zones, adjacency(spark, sf), filters)
     return run
 
 
@@ -89,7 +89,7 @@ def _on_demand(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
 
 def _with_zones(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf: operator(
-        demand(spark, sf), fx.zones(spark, sf), *args, **kwargs).drop("geom")
+        demand(spark, sf), fx.zones(spark, sf).drop("geom"), *args, **kwargs)
 
 
 def _dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +258,7 @@ def queries() -> dict[str, Query]:
         "demand_classes": _with_zones(demand_classes),
         "demand_classes_filtered": _with_zones(demand_classes, FRIDAY_EVENING),
         "demand_classes_turkish": lambda s, sf: in_turkish(
-            demand_classes(demand(s, sf), fx.zones(s, sf)).drop("geom")),
+            demand_classes(demand(s, sf), fx.zones(s, sf).drop("geom"))),
         "cume_dist_amounts": _hourly_share,
         "zone_adjacency": lambda s, sf: zone_adjacency(fx.zones(s, sf)),
         "parcel_adjacency": lambda s, sf: zone_adjacency(fx.parcels(s, sf)),
