@@ -20,7 +20,7 @@ RAW = ("VendorID int, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime
 GOOD = {
     "VendorID": 1, "tpep_pickup_datetime": datetime(2024, 7, 1, 12, 0),
     "tpep_dropoff_datetime": datetime(2024, 7, 1, 12, 10, 0, 500000), "passenger_count": 1.0,
-    "trip_distance": 1.2345, "RatecodeID": 1.0, "store_and_fwd_flag": " n", "PULocationID": 1,
+    "trip_distance": 1.2345, "RatecodeID": 1.0, "store_and_fwd_flag": " n\t", "PULocationID": 1,
     "DOLocationID": 2, "payment_type": 1, "fare_amount": 0.285, "extra": 0.0, "mta_tax": 0.5,
     "tip_amount": 0.0, "tolls_amount": 0.0, "improvement_surcharge": 0.0, "total_amount": 10.0,
     "Airport_fee": 1.25, "note": "kept", "source_file": "f.parquet", "source_row_number": 1}

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from zonetide.operators.rollup import zone_hourly_demand
+from zonetide.plans import warehouse
 from zonetide.plans.checkpoints import checkpointed
 from zonetide.plans.warehouse import Warehouse, append_new, upsert
 from zonetide.schemas import ROLLUP_COLUMNS
@@ -94,3 +95,17 @@ def test_append_and_upsert(spark):
 def test_checkpoint_folder_is_read_from_the_session(spark):
     assert checkpointed(spark.range(3)).count() == 3
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_an_empty_warehouse_answers(spark, tmp_path):
+    empty = Warehouse(spark, str(tmp_path / "empty"))
+    assert empty.demand().count() == empty.trips().count() == empty.zones().count() == 0
+
+
+def test_long_file_lists_give_the_same_rows(spark, monkeypatch):
+    stored = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "source_file string, n int")
+    files = spark.createDataFrame([("b",), ("c",)], "source_file string")
+    listed = sorted(warehouse.only_files(files)(stored).collect())
+    monkeypatch.setattr(warehouse, "MAX_LISTED_FILES", 1)
+    joined = sorted(warehouse.only_files(files)(stored).collect())
+    assert listed == joined and len(joined) == 2

@@ -22,6 +22,8 @@ from zonetide.schemas import (
 )
 from zonetide.sources.trips import require_columns
 
+WHITESPACE = " \t\n\r\f\v"
+
 
 @dataclass(frozen=True)
 class CleanTrips:
@@ -59,7 +61,8 @@ def standardise(raw: DataFrame) -> DataFrame:
         # Naive New York time; unreadable text becomes null.
         **{c: F.col(c).try_cast("timestamp_ntz") for c in naive},
         **{c: _number(df, c) for c in (*INTEGER_COLUMNS, "trip_distance", *MONEY_COLUMNS)},
-        "store_and_fwd_flag": F.upper(F.trim(F.col("store_and_fwd_flag").cast("string"))),
+        "store_and_fwd_flag": F.upper(F.trim(
+            F.col("store_and_fwd_flag").cast("string"), F.lit(WHITESPACE))),
     })
     if "pickup_datetime" in naive:
         df = df.withColumn("_local", F.col("pickup_datetime"))

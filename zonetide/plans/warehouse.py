@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
@@ -13,7 +14,7 @@ from zonetide.operators.adjacency import zone_adjacency
 from zonetide.operators.cleaning import clean_trips
 from zonetide.operators.rollup import zone_hourly_demand
 from zonetide.operators.simplify import DEFAULT_TOLERANCE, simplify
-from zonetide.schemas import REJECT_SCHEMA, TRIP_KEY, TRIP_TYPES, ZONE_SCHEMA
+from zonetide.schemas import REJECT_SCHEMA, ROLLUP_SCHEMA, TRIP_KEY, TRIP_TYPES, ZONE_SCHEMA
 from zonetide.sources.trips import read_trips
 from zonetide.sources.zones import validate_zones
 
@@ -51,16 +52,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> Da
     return kept.select(*incoming.columns).unionByName(incoming)
 
 
-def _from_files(stored: DataFrame, files: DataFrame) -> DataFrame:
-    """Stored rows that came from the given files.
+def only_files(files: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function keeping the stored rows that came from the given files.
 
     A short list of names becomes a filter, which skips files and row groups by their
     statistics; a long one a semi join.
     """
     names = [r.source_file for r in files.limit(MAX_LISTED_FILES + 1).collect()]
     if len(names) <= MAX_LISTED_FILES:
-        return stored.where(F.col("source_file").isin(names))
-    return stored.join(files, "source_file", "left_semi")
+        return lambda stored: stored.where(F.col("source_file").isin(names))
+    return lambda stored: stored.join(files, "source_file", "left_semi")
 
 
 def upsert_zones(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -127,8 +128,7 @@ class Warehouse:
 
     def demand(self) -> DataFrame:
         """The hourly rollup."""
-        return self.spark.read.parquet(self._path("analytics/zone_hourly_demand")).drop(
-            "pickup_month")
+        return self._read("analytics/zone_hourly_demand", ROLLUP_SCHEMA).drop("pickup_month")
 
     def load_zones(self, incoming: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> None:
         """Validate and upsert zones; rebuild adjacency and published boundaries."""
@@ -159,10 +159,10 @@ class Warehouse:
         """
         split = clean_trips(raw, self.zones())
         loaded_at = F.lit(datetime.now(timezone.utc))
-        files = raw.select("source_file").distinct()
+        from_files = only_files(raw.select("source_file").distinct())
 
         valid = split.valid
-        known = _from_files(self.trips(), files)
+        known = from_files(self.trips())
         if not known.isEmpty():
             valid = append_new(known, valid, TRIP_KEY, unique=True)
         (valid.withColumn("loaded_at", loaded_at)
@@ -171,15 +171,15 @@ class Warehouse:
          .write.mode("append").partitionBy("pickup_date").parquet(self._path("core/trips")))
 
         rejected = split.rejected.withColumn("rejected_at", loaded_at)
-        earlier = _from_files(self.rejected_trips(), files)
+        earlier = from_files(self.rejected_trips())
         if not earlier.isEmpty():
             rejected = upsert(earlier, rejected, TRIP_KEY)
         self._replace(rejected, "raw/rejected_trips", "source_file")
 
         # Counted in the tables: what is reported is what is stored.
-        refused = _from_files(self.rejected_trips(), files).where(
+        refused = from_files(self.rejected_trips()).where(
             F.col("rejected_at") == loaded_at).count()
-        loaded = _from_files(self.trips(), files)
+        loaded = from_files(self.trips())
         inserted = loaded.where(F.col("loaded_at") == loaded_at).count()
         dates = sorted(r.pickup_date for r in loaded.select("pickup_date").distinct().collect())
         self.refresh_rollup(dates)
@@ -197,8 +197,7 @@ class Warehouse:
             touched = F.col("pickup_date").isin(dates)
             fresh = zone_hourly_demand(trips.where(touched), self.zones()).select("*", month)
             months = sorted({f"{d:%Y-%m}" for d in dates})
-            schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema)
-            rest = self._read(table, schema).where(
+            rest = self._read(table, ROLLUP_SCHEMA).where(
                 F.col("pickup_month").isin(months) & ~touched)
             self._replace(rest.unionByName(fresh), table, "pickup_month")
 

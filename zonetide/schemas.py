@@ -68,3 +68,11 @@ ZONE_SCHEMA = ("location_id smallint, zone_name string, borough string, service_
 ROLLUP_KEY = ("pickup_date", "pickup_hour", "location_id", "zone_name", "borough")
 ROLLUP_COLUMNS = (*ROLLUP_KEY, "trip_count", "avg_trip_distance", "avg_duration_seconds",
                   "avg_total_amount", "total_amount")
+# The stored rollup: the columns above, exact sums for merging, and the partition column.
+ROLLUP_SCHEMA = (
+    "pickup_date date, pickup_hour smallint, location_id smallint, zone_name string, "
+    "borough string, trip_count bigint, avg_trip_distance decimal(10,3), "
+    "avg_duration_seconds decimal(12,2), avg_total_amount decimal(10,2), "
+    "total_amount decimal(20,2), distance_sum decimal(20,3), distance_rows bigint, "
+    "duration_sum bigint, duration_rows bigint, amount_sum decimal(20,2), amount_rows bigint, "
+    "pickup_month string")
