@@ -50,6 +50,7 @@ def test_full_refresh_equals_partial(folder):
 def test_zone_reload_keeps_creation_time_and_service_zone(spark, folder):
     _, store = folder
     created = {r.location_id: r.created_at for r in store.zones().collect()}
+    counted = store.demand().agg(F.sum("trip_count"), F.count("*")).first()
     renamed = fx.zones(spark, "/root/testdata/sf0.001").withColumn("zone_name", F.lit("new"))
     store.load_zones(renamed.withColumn("service_zone", F.lit("Yellow Zone")))
     store.load_zones(renamed)
@@ -57,6 +58,9 @@ def test_zone_reload_keeps_creation_time_and_service_zone(spark, folder):
     assert len(rows) == 25
     assert {r.location_id: r.created_at for r in rows} == created
     assert {(r.zone_name, r.service_zone) for r in rows} == {("new", "Yellow Zone")}
+    assert {r.zone_name for r in store.demand().select("zone_name").distinct().collect()} == {
+        "new"}
+    assert store.demand().agg(F.sum("trip_count"), F.count("*")).first() == counted
     assert store.adjacency().count() == 144
     assert store.published_zones().count() == 25
 

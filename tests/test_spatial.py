@@ -13,8 +13,8 @@ from zonetide.operators.adjacency import zone_adjacency
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import priority_class, weighted_score, zone_details, zone_scores
 from zonetide.operators.simplify import simplify
-from zonetide.operators.export import feature_collection, to_features
-from zonetide.sources.zones import read_zones, standardise_zones, validate_zones, zone_violations
+from zonetide.operators.export import feature_collection, to_features, write_features
+from zonetide.sources.zones import read_zone_table, read_zones, standardise_zones, validate_zones, zone_violations
 
 
 def touching(zones):
@@ -256,3 +256,13 @@ def test_boundaries_stay_out_of_the_ranking_task(make_zones, make_demand):
         windows = [line for line in plan.toString().splitlines() if "Window [" in line]
         assert windows and not any("geom" in line for line in windows)
         assert "geom" in operator(demand, zones, adjacency).columns
+
+
+def test_written_features_and_tables_read_back(spark, make_zones, tmp_path):
+    zones = make_zones({1: SQUARE, 2: [[box(1, 0)], [box(5, 5), box(5.25, 5.25, 0.5, 0.5)]]})
+    write_features(zones, str(tmp_path / "features"))
+    same = {"location_id": "location_id", "zone_name": "zone_name", "borough": "borough"}
+    expected = sorted(zones.collect())
+    assert sorted(read_zones(spark, str(tmp_path / "features"), names=same).collect()) == expected
+    zones.write.parquet(str(tmp_path / "table"))
+    assert sorted(read_zone_table(spark, str(tmp_path / "table")).collect()) == expected

@@ -12,7 +12,8 @@ def cell_size(edges: DataFrame) -> Column:
     """Power of two near the lower quartile of the edge lengths, as a scalar subquery.
 
     Lengths are counted by binary exponent, so the result is exact and does not depend
-    on row order, and a few far-away or very long edges cannot distort it.
+    on row order, and a few far-away or very long edges cannot distort it. A dense tangle
+    holding a third of all edges sets the size itself, and so spreads over many cells.
     """
     length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     # At most about 2100 distinct exponents exist for doubles.

@@ -131,7 +131,11 @@ class Warehouse:
         return self._read("analytics/zone_hourly_demand", ROLLUP_SCHEMA).drop("pickup_month")
 
     def load_zones(self, incoming: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> None:
-        """Validate and upsert zones; rebuild adjacency and published boundaries."""
+        """Validate and upsert zones; rebuild what depends on them.
+
+        These are adjacency, published boundaries and, if they changed, the zone names in
+        the rollup.
+        """
         validate_zones(incoming)
         stored = self._read("core/zones", f"{ZONE_TABLE_SCHEMA}, version int")
         version = 1 + (stored.agg(F.max("version")).first()[0] or 0)
@@ -139,6 +143,16 @@ class Warehouse:
         zones = self.zones()
         self._write_version(zone_adjacency(zones), "analytics/zone_adjacency", version)
         self._write_version(simplify(zones, tolerance), "analytics/published_zones", version)
+        self._rename_in_rollup(zones.select("location_id", "zone_name", "borough"))
+
+    def _rename_in_rollup(self, names: DataFrame) -> None:
+        table = "analytics/zone_hourly_demand"
+        rollup = self._read(table, ROLLUP_SCHEMA)
+        renamed = rollup.select(*names.columns).distinct().join(
+            names, names.columns, "left_anti")
+        if not renamed.isEmpty():
+            current = rollup.drop("zone_name", "borough").join(names, "location_id")
+            self._replace(current.select(*rollup.columns), table, "pickup_month")
 
     def load_trips(self, path: str | list[str]) -> LoadReport:
         """Load trip files. Their names identify the rows, so they must differ."""
