@@ -266,3 +266,20 @@ def test_written_features_and_tables_read_back(spark, make_zones, tmp_path):
     assert sorted(read_zones(spark, str(tmp_path / "features"), names=same).collect()) == expected
     zones.write.parquet(str(tmp_path / "table"))
     assert sorted(read_zone_table(spark, str(tmp_path / "table")).collect()) == expected
+
+
+def test_slanted_mesh_with_shared_vertices(make_zones):
+    """A grid with displaced vertices touches like a grid; every other ring is reversed."""
+    rng = random.Random(11)
+    size = 7
+    at = {(i, j): (-74 + 0.01 * i + 0.004 * rng.random(), 40.5 + 0.01 * j + 0.004 * rng.random())
+          for i in range(size + 1) for j in range(size + 1)}
+    shapes, place = {}, {}
+    for i, j in itertools.product(range(size), repeat=2):
+        number = i * size + j + 1
+        corners = [at[i, j], at[i + 1, j], at[i + 1, j + 1], at[i, j + 1]]
+        shapes[number] = [[ring(*(corners[::-1] if number % 2 else corners))]]
+        place[number] = (i, j)
+    expected = {(a, b) for a, b in itertools.permutations(place, 2)
+                if max(abs(place[a][0] - place[b][0]), abs(place[a][1] - place[b][1])) == 1}
+    assert touching(make_zones(shapes)) == expected
