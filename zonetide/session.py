@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import sys
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # UTC and ANSI arithmetic are part of the semantics: dates derive from explicit zone
@@ -42,3 +47,17 @@ def build_session(app_name: str = "zonetide", master: str | None = None,
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return prepare(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, for functions that run in Python there."""
+    context = spark.sparkContext
+    if not getattr(context, "_has_zonetide", False):
+        package = Path(__file__).resolve().parent
+        if package.parent.is_dir():  # else it came in an archive itself
+            folder = tempfile.mkdtemp(prefix="zonetide-package-")
+            path = list(sys.path)
+            context.addPyFile(shutil.make_archive(f"{folder}/zonetide", "zip",
+                                                  package.parent, package.name))
+            sys.path[:] = path  # the driver goes on with the files it has
+        context._has_zonetide = True
