@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.common import Words, keyed, on_key, run_hashes, slices, stored, text_of
+from zonetide.llm.common import Words, flat, keyed, on_key, run_hashes, slices, stored, text_of
 
 MIN_WORDS = 8
 
@@ -132,10 +132,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _without(batch: pa.RecordBatch, units: Units, goes: np.ndarray) -> pa.RecordBatch:
-    raw = batch.column("_text").cast(pa.large_string())
-    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
-    base = raw.offset and int(np.frombuffer(raw.buffers()[1], np.int64)[raw.offset])
-    data = data[base:base + len(units.data)]
+    data, _ = flat(batch.column("_text"))
     inside = np.diff(goes.astype(np.int8), prepend=0)
     same_row = np.diff(units.row, prepend=-1) == 0
     opens = goes & ((inside == 1) | ~same_row)
