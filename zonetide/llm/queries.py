@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import bpe, decontaminate, embeddings, licenses, quality, simhash, toxicity, units, urls
+from zonetide.llm import (bpe, decontaminate, embeddings, licenses, quality, simhash, suffixes,
+                          toxicity, units, urls)
 from zonetide.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,12 @@ FROM tiles d LEFT JOIN counted c USING (doc_id) LEFT JOIN listed l USING (doc_id
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.default_vocabulary()
