@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.common import flat, slices, span_hashes, text_of
+from zonetide.llm.common import flat, slices, span_hashes, stored, text_of
 from zonetide.llm.lexicon import Lexicon, compile_lexicon
 
 FREQUENT_WORDS = 131_072  # in the lexicon, at most
@@ -256,12 +256,20 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, vocabulary: str, size: int = FREQUENT_WORDS) -> bytes:
-    """A lexicon of the most frequent words. ``size`` bounds what reaches the driver."""
+    """A lexicon of the most frequent words, at most ``size``, which bounds what reaches the driver."""
     tokens = vocabulary_of(vocabulary)
-    counts = word_counts(docs, vocabulary).where((F.col("count") > 1)
-                                                 & (F.octet_length("word") <= 64))
-    top = counts.orderBy(F.desc("count"), "word").limit(size).select("word").collect()
-    words = [bytes(r["word"]) for r in top]
+    step = F.floor(F.log2("count") * 64)
+    counts = stored(word_counts(docs, vocabulary).where(
+        (F.col("count") > 1) & (F.octet_length("word") <= 64)).withColumn("step", step), "words")
+    # The lowest step above which there are no more than ``size`` words; steps are few.
+    least, room = None, size
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
+    words = sorted(bytes(r["word"]) for r in top)
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)
     starts = np.concatenate(([0], ends[:-1])) if words else ends
     ids, lengths = tokens.merge(np.frombuffer(b"".join(words), np.uint8), starts, ends)

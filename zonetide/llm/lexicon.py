@@ -7,9 +7,7 @@ few arrays that are memory-mapped from one file.
 
 from __future__ import annotations
 
-import hashlib
 import io
-import os
 import tempfile
 
 import numpy as np
@@ -79,17 +77,13 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon. Each process maps one file in its own temporary folder."""
+    """A compiled lexicon, memory-mapped from a file that is gone when the process ends."""
 
     def __init__(self, content: bytes):
-        name = f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}"
-        path = os.path.join(tempfile.gettempdir(), name)
-        if not os.path.exists(path):
-            handle, draft = tempfile.mkstemp(prefix=name)
-            with os.fdopen(handle, "wb") as file:
-                file.write(content)
-            os.replace(draft, path)
-        data = np.memmap(path, np.uint8, "r")
+        with tempfile.TemporaryFile() as file:
+            file.write(content)
+            file.flush()
+            data = np.memmap(file, np.uint8, "r")
         at = 0
         for part in _PARTS:
             kind, size = data[at:at + 32].tobytes().split()
