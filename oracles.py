@@ -639,6 +639,20 @@ FROM reasons WHERE reason <> ''""",
 SELECT 'events' AS source_file, row_number AS source_row_number, pickup_date,
        {scaled('cents', 100)} AS total_amount
 FROM trips WHERE pickup_date >= DATE '2024-01-16'""",
+        "warehouse_load": f"""{DIRTY}
+SELECT count(*) FILTER (WHERE reason = '') AS valid, count(*) FILTER (WHERE reason <> '') AS rejected,
+       count(*) FILTER (WHERE reason = '') AS inserted,
+       count(DISTINCT CAST(pickup AS DATE)) FILTER (WHERE reason = '') AS dates FROM reasons""",
+        "warehouse_reload": f"""{DIRTY}
+SELECT count(*) FILTER (WHERE reason = '') AS valid, count(*) FILTER (WHERE reason <> '') AS rejected,
+       CAST(0 AS BIGINT) AS inserted,
+       count(DISTINCT CAST(pickup AS DATE)) FILTER (WHERE reason = '') AS dates FROM reasons""",
+        "warehouse_rejects": f"""{DIRTY}
+SELECT reason AS rejection_reason, count(*) AS trips FROM reasons WHERE reason <> '' GROUP BY 1""",
+        "warehouse_rollup": f"""{DIRTY}
+SELECT CAST(pickup AS DATE) AS pickup_date, CAST(pickup_zone AS SMALLINT) AS location_id,
+       count(*) AS trips, CAST(sum(cents) / 100.0 AS DOUBLE) AS total_amount
+FROM reasons WHERE reason = '' GROUP BY 1, 2""",
         "rejects_upsert": f"""{DIRTY}
 SELECT 'events' AS source_file, row_number AS source_row_number,
        CASE WHEN contains(reason, 'location') THEN reason ELSE 'earlier load' END

@@ -1,11 +1,11 @@
 """Every dashboard question over a loaded warehouse."""
 
 import json
+from datetime import date
 
 import pytest
 
 from zonetide import Filters
-from zonetide.operators.export import feature_collection
 from zonetide.plans.dashboard import Dashboard
 from zonetide.plans.warehouse import Warehouse
 from zonetide.sources import fixtures as fx
@@ -39,9 +39,9 @@ def test_questions_about_everything(dashboard):
 
 def test_maps_as_geojson(dashboard):
     for result in (dashboard.demand_map(), dashboard.hotspot_map(), dashboard.score_map()):
-        document = json.loads(feature_collection(dashboard.features(result)))
-        assert len(document["features"]) == 25
-        feature = document["features"][0]
+        features = [json.loads(r.feature) for r in dashboard.features(result).collect()]
+        assert len(features) == 25
+        feature = features[0]
         assert feature["geometry"]["type"] == "MultiPolygon"
         assert "geom" not in feature["properties"]
     assert tuple(dashboard.map_extent(Filters(borough="ASIA")).first()) == (2.0, 0.0, 3.0, 5.0)
@@ -70,3 +70,24 @@ def test_turkish_labels(dashboard):
         "Veri Yok", "Yükselen", "Düşen", "Stabil"}
     assert {r.priority_class for r in turkish.score_map().collect()} <= {
         "Çok Yüksek", "Yüksek", "Orta", "Düşük", "Çok Düşük"}
+
+
+def test_a_live_dashboard_sees_the_next_load(spark, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "store"))
+    store.load_zones(fx.zones(spark, SF))
+    raw = fx.raw_trips(spark, SF).drop("source_file", "source_row_number")
+    raw.limit(400).write.parquet(str(tmp_path / "first"))
+    raw.write.parquet(str(tmp_path / "second"))
+    store.load_trips(str(tmp_path / "first"))
+    live = Dashboard(store)
+    assert live.summary().first().total_trips == 400
+    store.load_trips(str(tmp_path / "second"))
+    assert live.summary().first().total_trips == 1400
+
+
+def test_dates_prune_months_of_the_stored_rollup(dashboard):
+    week = Filters(date_from=date(2024, 1, 8), date_to=date(2024, 1, 14))
+    plan = dashboard.summary(week)._jdf.queryExecution().executedPlan().toString()
+    pruned = [line for line in plan.split("\n") if "PartitionFilters: [" in line]
+    assert any("pickup_month" in line.split("PartitionFilters: [", 1)[1].split("]")[0]
+               for line in pruned)

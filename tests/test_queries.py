@@ -9,8 +9,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from zonetide.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in catalog.queries()}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -13,7 +13,7 @@ from zonetide.operators.adjacency import zone_adjacency
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import priority_class, weighted_score, zone_details, zone_scores
 from zonetide.operators.simplify import simplify
-from zonetide.operators.export import feature_collection, to_features, write_features
+from zonetide.operators.export import to_features, write_features
 from zonetide.sources.zones import read_zone_table, read_zones, standardise_zones, validate_zones, zone_violations
 
 
@@ -234,8 +234,21 @@ def test_geojson_in_and_out(spark, tmp_path):
     features = [r.feature for r in to_features(zones).collect()]
     assert '"coordinates":[[[[0.0,0.0],[1.0,0.0],[1.0,1.123457],[0.0,0.0]]]]' in features[0]
     assert '"service_zone":null' in features[0]
-    whole = feature_collection(to_features(zones))
-    assert whole.startswith('{"type":"FeatureCollection","features":[{"type":"Feature"')
+    document = '{"type":"FeatureCollection",\n"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:%s"}},' \
+               '\n"features":[%s]}'
+    (tmp_path / "whole.json").write_text(document % ("OGC:1.3:CRS84", ",\n".join(lines)))
+    assert sorted(map(str, read_zones(spark, str(tmp_path / "whole.json")).collect())) == sorted(
+        map(str, zones.collect()))
+    (tmp_path / "other.json").write_text(document % ("EPSG::9999", ",\n".join(lines)))
+    with pytest.raises(ValueError, match="EPSG:2263"):
+        read_zones(spark, str(tmp_path / "other.json"))
+
+
+def test_far_vertices_are_reported(make_zones):
+    far = make_zones({1: SQUARE, 2: [[box(1e12, 0)]], 3: [[ring((0, 0), (float("inf"), 0), (1, 1), (0, 1))]]})
+    found = {(r.location_id, r.violation) for r in zone_violations(far).collect()}
+    assert found == {(2, "coordinate out of range"), (3, "coordinate out of range")}
+
 
 
 def test_zones_need_a_coordinate_system_and_columns(spark, make_zones):

@@ -65,6 +65,12 @@ class Filters:
     def apply(self, demand: DataFrame) -> DataFrame:
         for predicate in self.predicates():
             demand = demand.where(predicate)
+        if "pickup_month" in demand.columns:  # the stored rollup is partitioned by it
+            month = F.col("pickup_month")
+            if self.date_from is not None:
+                demand = demand.where(month >= f"{self.date_from:%Y-%m}")
+            if self.date_to is not None:
+                demand = demand.where(month <= f"{self.date_to:%Y-%m}")
         return demand
 
     def select_zones(self, zones: DataFrame) -> DataFrame:

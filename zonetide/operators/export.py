@@ -35,14 +35,3 @@ def write_features(result: DataFrame, path: str, properties: Sequence[str] | Non
     """Newline-delimited GeoJSON, written in parallel."""
     to_features(result, properties).withColumnRenamed("feature", "value").write.text(path)
 
-
-def feature_collection(features: DataFrame, at_most: int = 65_536) -> str:
-    """A single FeatureCollection document, for map-sized results only.
-
-    Raises ``ValueError`` when there are more features than a smallint can identify.
-    """
-    rows = features.limit(at_most + 1).collect()
-    if len(rows) > at_most:
-        raise ValueError(f"More than {at_most} features; write newline-delimited features.")
-    joined = ",".join(r.feature for r in rows)
-    return f'{{"type":"FeatureCollection","features":[{joined}]}}'

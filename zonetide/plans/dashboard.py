@@ -31,10 +31,23 @@ class Dashboard:
     def __init__(self, warehouse: Warehouse, turkish: bool = False) -> None:
         self.warehouse = warehouse
         self._labelled = in_turkish if turkish else lambda result: result
-        self.demand = warehouse.demand()
-        self.zones = warehouse.zones()
-        self.map_zones = warehouse.published_zones()
-        self.adjacency = warehouse.adjacency()
+
+    # Tables are looked up for each question, so that it sees the last load.
+    @property
+    def demand(self) -> DataFrame:
+        return self.warehouse.demand()
+
+    @property
+    def zones(self) -> DataFrame:
+        return self.warehouse.zones()
+
+    @property
+    def map_zones(self) -> DataFrame:
+        return self.warehouse.published_zones()
+
+    @property
+    def adjacency(self) -> DataFrame:
+        return self.warehouse.adjacency()
 
     def _known(self, location_id: int) -> int:
         d.zone_by_id(self.zones, location_id)

@@ -19,7 +19,7 @@ from zonetide.sources.trips import read_trips
 from zonetide.sources.zones import validate_zones
 
 TRIP_SCHEMA = ", ".join(f"{c} {t}" for c, t in TRIP_TYPES.items()) + ", loaded_at timestamp"
-MAX_LISTED_FILES = 10_000
+REJECT_TABLE_SCHEMA = f"{REJECT_SCHEMA}, load_date date"
 ZONE_TABLE_SCHEMA = f"{ZONE_SCHEMA}, created_at timestamp"
 
 
@@ -53,14 +53,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> Da
 
 
 def only_files(files: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A function keeping the stored rows that came from the given files.
-
-    A short list of names becomes a filter, which skips files and row groups by their
-    statistics; a long one a semi join.
-    """
-    names = [r.source_file for r in files.limit(MAX_LISTED_FILES + 1).collect()]
-    if len(names) <= MAX_LISTED_FILES:
-        return lambda stored: stored.where(F.col("source_file").isin(names))
+    """A function keeping the stored rows that came from the given files."""
     return lambda stored: stored.join(files, "source_file", "left_semi")
 
 
@@ -79,7 +72,7 @@ class Warehouse:
     """Parquet tables under one root folder.
 
     ``core/trips`` is append-only and partitioned by pickup date. ``raw/rejected_trips``
-    is partitioned by source file and ``analytics/zone_hourly_demand`` by month; updates
+    is partitioned by the date of the first load and ``analytics/zone_hourly_demand`` by month; updates
     rewrite only the touched partitions. Zone tables are small and written whole, each
     time as a new version. Every job can be repeated after a failure: trips already stored
     are skipped by key, and the rollup is recomputed for all dates of the load.
@@ -113,7 +106,7 @@ class Warehouse:
         return self._read("core/trips", TRIP_SCHEMA)
 
     def rejected_trips(self) -> DataFrame:
-        return self._read("raw/rejected_trips", REJECT_SCHEMA)
+        return self._read("raw/rejected_trips", REJECT_TABLE_SCHEMA).drop("load_date")
 
     def zones(self) -> DataFrame:
         return self._latest("core/zones", ZONE_TABLE_SCHEMA)
@@ -127,8 +120,8 @@ class Warehouse:
                             "location_id smallint, neighbour_id smallint")
 
     def demand(self) -> DataFrame:
-        """The hourly rollup."""
-        return self._read("analytics/zone_hourly_demand", ROLLUP_SCHEMA).drop("pickup_month")
+        """The hourly rollup, with the month it is partitioned by, which date filters prune."""
+        return self._read("analytics/zone_hourly_demand", ROLLUP_SCHEMA)
 
     def load_zones(self, incoming: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> None:
         """Validate and upsert zones; rebuild what depends on them.
@@ -155,12 +148,8 @@ class Warehouse:
             self._replace(current.select(*rollup.columns), table, "pickup_month")
 
     def load_trips(self, path: str | list[str]) -> LoadReport:
-        """Load trip files. Their names identify the rows, so they must differ."""
-        raw = read_trips(self.spark, path)
-        names = [file.rsplit("/", 1)[-1] for file in raw.inputFiles()]
-        if len(set(names)) < len(names):
-            raise ValueError("Two source files share a name.")
-        return self.load_raw(raw)
+        """Load trip files. Their full paths and row numbers identify the rows."""
+        return self.load_raw(read_trips(self.spark, path))
 
     def load_raw(self, raw: DataFrame) -> LoadReport:
         """Clean raw trips, append the new ones, record rejects, refresh the rollup.
@@ -184,11 +173,7 @@ class Warehouse:
          .hint("rebalance", "pickup_date")
          .write.mode("append").partitionBy("pickup_date").parquet(self._path("core/trips")))
 
-        rejected = split.rejected.withColumn("rejected_at", loaded_at)
-        earlier = from_files(self.rejected_trips())
-        if not earlier.isEmpty():
-            rejected = upsert(earlier, rejected, TRIP_KEY)
-        self._replace(rejected, "raw/rejected_trips", "source_file")
+        self._store_rejects(split.rejected.withColumn("rejected_at", loaded_at), from_files)
 
         # Counted in the tables: what is reported is what is stored.
         refused = from_files(self.rejected_trips()).where(
@@ -200,6 +185,23 @@ class Warehouse:
         return LoadReport(valid=raw.count() - refused, rejected=refused, inserted=inserted,
                           dates=dates)
 
+    def _store_rejects(self, rejected: DataFrame,
+                       from_files: Callable[[DataFrame], DataFrame]) -> None:
+        """Upsert by key. A row rejected before stays in the partition of its first load."""
+        table, today = "raw/rejected_trips", F.to_date("rejected_at")
+        stored = self._read(table, REJECT_TABLE_SCHEMA)
+        earlier = from_files(stored)
+        if earlier.isEmpty():
+            (rejected.withColumn("load_date", today).hint("rebalance", "load_date")
+             .write.mode("append").partitionBy("load_date").parquet(self._path(table)))
+            return
+        first = earlier.select(*TRIP_KEY, F.col("load_date").alias("_first"))
+        dated = (rejected.join(first, list(TRIP_KEY), "left")
+                 .withColumn("load_date", F.coalesce("_first", today)).drop("_first"))
+        touched = dated.select("load_date").distinct()
+        rest = stored.join(touched, "load_date", "left_semi")
+        self._replace(upsert(rest, dated, TRIP_KEY), table, "load_date")
+
     def refresh_rollup(self, dates: list[date] | None = None) -> None:
         """Recompute the rollup of the given pickup dates, or of all dates."""
         trips, table = self.trips(), "analytics/zone_hourly_demand"

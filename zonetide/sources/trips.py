@@ -19,10 +19,10 @@ def require_columns(df: DataFrame, columns: Iterable[str] = REQUIRED_COLUMNS) ->
 
 
 def read_trips(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Parquet trips with their identity: file name and 1-based row number in the file."""
+    """Parquet trips with their identity: full path and 1-based row number in the file."""
     paths = [path] if isinstance(path, str) else path
     return require_columns(spark.read.parquet(*paths)).select(
         "*",
-        F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_path").alias("source_file"),
         (F.col("_metadata.row_index") + 1).alias("source_row_number"),
     )

@@ -23,7 +23,7 @@ def load_landing_folder(warehouse: Warehouse, landing: str, checkpoint: str,
     files = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
         .parquet(landing)
-        .select("*", F.col("_metadata.file_name").alias("source_file"),
+        .select("*", F.col("_metadata.file_path").alias("source_file"),
                 (F.col("_metadata.row_index") + 1).alias("source_row_number"))
     )
 
