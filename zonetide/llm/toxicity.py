@@ -121,9 +121,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     best = (-9.0, 0, Model(frequent, b"", 0.0))
     vocabulary = sorted({word for d in (*check_toxic, *check_ordinary) for word in d})
     plain = sizes(frequent, vocabulary)
-    for size in KEPT_STRINGS:
-        if not kept or size > 2 * len(kept):
-            break
+    # Sizes up to the first that holds all strings.
+    tried = [n for i, n in enumerate(KEPT_STRINGS) if kept and (not i or KEPT_STRINGS[i - 1] < len(kept))]
+    for size in tried:
         content = b"".join(reversed(kept[:size]))
         gain = dict(zip(vocabulary, (plain - sizes(content, vocabulary)).tolist(), strict=True))
         most = [np.array([max((gain[w] for w in d), default=-99) for d in documents])
