@@ -80,7 +80,9 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     The shuffles hold one narrow row for each unit; a hash that a third of them share is
     counted before the shuffle and its rows are joined with a single one."""
     units = keyed(docs).mapInArrow(_hashed, _UNIT_COLUMNS)
-    often = units.groupBy("h1", "h2").count().where(F.col("count") > 1).select("h1", "h2")
+    # Stored, so that the join can split a hash that very many units share.
+    often = stored(units.groupBy("h1", "h2").count().where(F.col("count") > 1)
+                   .select("h1", "h2"), "often")
     shared = stored(units.join(often, ["h1", "h2"]), "units")
     rank = F.struct(F.col("_id").isNull().alias("last"), "_id", "_text_hash", "place")
     first = stored(shared.groupBy("h1", "h2").agg(F.min(rank).alias("first")), "first")
