@@ -128,10 +128,14 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         gain = dict(zip(vocabulary, (plain - sizes(content, vocabulary)).tolist(), strict=True))
         most = [np.array([max((gain[w] for w in d), default=-99) for d in documents])
                 for documents in (check_toxic, check_ordinary)]
+        worth = []
         for threshold in range(1, 9):
             found, wrong = ((m >= threshold).mean() for m in most)
-            if found - WRONG_COSTS * wrong > best[0] + 1e-9:
-                best = (found - WRONG_COSTS * wrong, size, Model(frequent, content, float(threshold)))
+            worth.append(found - WRONG_COSTS * wrong)
+        if max(worth) > best[0] + 1e-9:
+            # Of thresholds that do as well, the middle one.
+            good = [t for t, w in enumerate(worth, 1) if w >= max(worth) - 1e-9]
+            best = (max(worth), size, Model(frequent, content, float(good[len(good) // 2])))
     return best[2]
 
 
