@@ -453,6 +453,13 @@ PARCEL_ADJACENCY = f"""WITH {PARCELS}, steps AS (
 SELECT w.location_id, p.location_id AS neighbour_id
 FROM wanted w JOIN parcels p ON w.gx = p.gx AND w.gy = p.gy"""
 
+# Bar -1 lies below the lowest row; islands -id fill the holes of parcels with id % 4 = 2.
+MIXED_ADJACENCY = PARCEL_ADJACENCY + """
+UNION ALL SELECT -1, location_id FROM parcels WHERE gy = 0
+UNION ALL SELECT location_id, -1 FROM parcels WHERE gy = 0
+UNION ALL SELECT location_id, -location_id FROM parcels WHERE location_id % 4 = 2
+UNION ALL SELECT -location_id, location_id FROM parcels WHERE location_id % 4 = 2"""
+
 GEOJSON = f"""WITH {PARCELS}, boxes AS (
   SELECT *, gx * 0.25::DOUBLE AS x1, gy * 0.25::DOUBLE AS y1,
          gx * 0.25::DOUBLE + 0.25::DOUBLE AS x2, gy * 0.25::DOUBLE + 0.25::DOUBLE AS y2
@@ -595,6 +602,7 @@ SELECT row_number AS source_row_number, cents,
 SELECT a.location_id, b.location_id AS neighbour_id FROM zones a JOIN zones b
   ON a.location_id <> b.location_id AND greatest(abs(a.gx - b.gx), abs(a.gy - b.gy)) = 1""",
         "parcel_adjacency": PARCEL_ADJACENCY,
+        "mixed_parcel_adjacency": MIXED_ADJACENCY,
         "neighbour_stats": f"""{around('true', 'true')}
 SELECT location_id, CAST(trip_count AS BIGINT) AS trip_count, neighbour_count,
        {scaled('mean_cents', 100)} AS neighbour_mean FROM measured""",

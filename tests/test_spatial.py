@@ -296,3 +296,13 @@ def test_slanted_mesh_with_shared_vertices(make_zones):
     expected = {(a, b) for a, b in itertools.permutations(place, 2)
                 if max(abs(place[a][0] - place[b][0]), abs(place[a][1] - place[b][1])) == 1}
     assert touching(make_zones(shapes)) == expected
+
+
+def test_fine_coast_beside_very_long_sides(make_zones):
+    """Edges of a millionth of a degree beside sides of 20 to 40 degrees: few cells for each."""
+    coast = [(1e-6 * (i % 2), 1e-6 * i) for i in range(401)]
+    left = ring(*coast, (0, 20), (-40, 20), (-40, 0))
+    right = ring((40, 0), (40, 20), (0, 20), *coast[::-1])
+    zones = make_zones({1: [[left]], 2: [[right]], 3: [[box(-10, -5, 20, 5)]]})
+    assert touching(zones) == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+    assert zone_violations(zones).count() == 0

@@ -2,75 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.functions import geometry as g
 
 
-def cell_size(edges: DataFrame) -> Column:
-    """Power of two near the lower quartile of the edge lengths, as a scalar subquery.
+LEVEL_BITS = 2  # from level to level cells grow fourfold
 
-    Lengths are counted by binary exponent, so the result is exact and does not depend
-    on row order, and a few far-away or very long edges cannot distort it. A dense tangle
-    holding a third of all edges sets the size itself, and so spreads over many cells.
-    """
-    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    # At most about 2100 distinct exponents exist for doubles.
-    by_size = edges.groupBy(F.ceil(F.log2(length)).alias("power")).agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.orderBy("power"))
-    everything = F.sum("n").over(Window.partitionBy())
-    quartile = by_size.select("power", (running * 4 >= everything).alias("reached"))
-    power = quartile.where("reached").agg(F.min("power")).scalar()
-    return F.pow(F.lit(2.0), power)
 
+def level_of(length: Column, farthest: Column) -> Column:
+    """Power of two of the cell that something of this length belongs to: at least as large, so
+    that it reaches into two cells a direction. ``farthest`` is its largest coordinate: cells
+    never get so small that their numbers exceed what a double can hold."""
+    power = F.greatest(F.log2(length), F.log2(farthest) - 50)
+    return F.ceil(power / LEVEL_BITS) * LEVEL_BITS
 
-def on_grid(edges: DataFrame, size: Column) -> DataFrame:
-    """One row per grid cell an edge runs through (columns cx, cy).
 
-    Within each grid column only the rows between the edge's entry and exit heights are
-    listed, so a long diagonal covers as many cells as a long straight edge.
-    """
-    x1, y1, x2, y2, cell = (F.col(c) for c in ("x1", "y1", "x2", "y2", "cell"))
-    columns = edges.withColumn("cell", size).withColumn(
-        "cx", F.explode(F.sequence(F.floor(F.least(x1, x2) / cell),
-                                   F.floor(F.greatest(x1, x2) / cell))))
-    enter = F.greatest(F.col("cx") * cell, F.least(x1, x2))
-    leave = F.least((F.col("cx") + 1) * cell, F.greatest(x1, x2))
-    slope = (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
-    # An upright edge has no slope: its own ends are the heights.
-    entry = columns.withColumn("h1", F.coalesce(y1 + slope * (enter - x1), y1)).withColumn(
-        "h2", F.coalesce(y1 + slope * (leave - x1), y2))
-    # Rounding moves a height by far less than this part of a cell.
-    margin = cell / 1024
-    return entry.withColumn(
-        "cy", F.explode(F.sequence(F.floor((F.least("h1", "h2") - margin) / cell),
-                                   F.floor((F.greatest("h1", "h2") + margin) / cell)))
-    ).drop("cell", "h1", "h2")
-
-
-def edge_pairs(edges: DataFrame, size: Column, same_zone: bool = False) -> DataFrame:
+def _strips(level: Column, one: Column, other: Column) -> Column:
+    """Numbers of the cells of a level between two coordinates."""
+    side = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(F.least(one, other) / side), F.floor(F.greatest(one, other) / side))
+
+
+def _in_cells(edges: DataFrame) -> DataFrame:
+    """One row per cell (cx, cy) of its ``level`` that an edge's box meets."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    return (edges.withColumn("cx", F.explode(_strips(F.col("level"), x1, x2)))
+            .withColumn("cy", F.explode(_strips(F.col("level"), y1, y2))))
+
+
+def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
     """Pairs of edges whose boxes meet, found through shared grid cells.
 
+    Every edge is at home on the level of its own length, in four cells at most, and visits
+    the coarser levels that exist, so that each pair meets where the longer edge is at home.
+    Neither very short nor very long edges cover many cells.
+
     Columns of the two sides are prefixed ``a_`` and ``b_``; across zones a has the
-    smaller zone id, within a zone it is the smaller edge. A pair sharing several cells
-    is listed once per cell: the callers only ask whether a pair exists, and repeating a
-    test is cheaper than a shuffle to remove repeats.
+    smaller zone id. A pair sharing several cells is listed once per cell: the callers only
+    ask whether a pair exists, and repeating a test is cheaper than a shuffle to remove repeats.
     """
-    gridded = on_grid(edges, size)
-
-    def side(prefix: str) -> DataFrame:
-        return gridded.withColumnsRenamed({c: f"{prefix}_{c}" for c in edges.columns})
-
-    a, b = side("a"), side("b")
-    keys = ["cx", "cy"]
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    own = edges.withColumn("own", level_of(
+        F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)),
+        F.greatest(F.abs(x1), F.abs(y1), F.abs(x2), F.abs(y2))))
+    # About 1000 levels cover all doubles.
+    levels = own.agg(F.collect_set("own")).scalar()
+    visiting = own.withColumn("level", F.explode(levels)).where("level >= own")
+    at_home = own.withColumn("level", F.col("own"))
+
+    def side(prefix: str, levelled: DataFrame) -> DataFrame:
+        return _in_cells(levelled).withColumnsRenamed(
+            {c: f"{prefix}_{c}" for c in own.columns})
+
+    a, b = side("a", visiting), side("b", at_home)
+    keys = ["level", "cx", "cy"]
     if same_zone:
         keys.append("location_id")
         a = a.withColumnRenamed("a_location_id", "location_id")
         b = b.withColumnRenamed("b_location_id", "location_id")
-        order = F.struct("a_poly", "a_ring", "a_seq") < F.struct("b_poly", "b_ring", "b_seq")
+        earlier = F.struct("a_poly", "a_ring", "a_seq") < F.struct("b_poly", "b_ring", "b_seq")
+        once = (F.col("a_own") < F.col("b_own")) | earlier
     else:
-        order = F.col("a_location_id") < F.col("b_location_id")
+        zone_a, zone_b = F.col("a_location_id"), F.col("b_location_id")
+        once = (zone_a < zone_b) | ((F.col("a_own") < F.col("b_own")) & (zone_a != zone_b))
 
     def low(side_: str, axis: str) -> Column:
         return F.least(f"{side_}_{axis}1", f"{side_}_{axis}2")
@@ -82,7 +78,14 @@ def edge_pairs(edges: DataFrame, size: Column, same_zone: bool = False) -> DataF
                   & (low("a", "y") <= high("b", "y")) & (low("b", "y") <= high("a", "y")))
     # Sizes estimated from the zone file say little about the gridded edges, so the sides
     # are never broadcast; hot cells are split at run time.
-    return a.hint("merge").join(b, keys).where(order & boxes_meet).drop("cx", "cy")
+    pairs = a.hint("merge").join(b, keys).where(once & boxes_meet).drop(
+        "level", "cx", "cy", "a_own", "b_own")
+    if same_zone:
+        return pairs
+    ordered = zone_a < zone_b
+    return pairs.select(*[
+        F.when(ordered, F.col(f"{first}_{c}")).otherwise(F.col(f"{second}_{c}")).alias(f"{first}_{c}")
+        for first, second in (("a", "b"), ("b", "a")) for c in edges.columns])
 
 
 def with_turns(pairs: DataFrame) -> DataFrame:
@@ -159,12 +162,13 @@ def _both_ways(pairs: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
-               several_rings: DataFrame, size: Column) -> DataFrame:
+               several_rings: DataFrame) -> DataFrame:
     """Touching pairs where a ring without contact lies inside the other zone.
 
     Only zones with several rings can have one. The ring's first vertex is tested against
     the other zone's edges by counting crossings of a ray to the right. Points and edges
-    meet on (zone, height strip), so no zone is compared as a whole.
+    meet on (zone, height strip), so no zone is compared as a whole; strips have levels as
+    the cells of edges have.
     """
     ring_of_a = F.struct(F.col("a_location_id").alias("location_id"),
                          F.col("b_location_id").alias("other"),
@@ -174,25 +178,26 @@ def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
                          F.col("b_poly").alias("poly"), F.col("b_ring").alias("ring"))
     met = (contacts.where(~F.col("overlap"))
            .select(F.explode(F.array(ring_of_a, ring_of_b)).alias("r")).select("r.*"))
-    strip = F.col("strip")
+    y1, y2 = F.col("y1"), F.col("y2")
+    upright = edges.where("y1 <> y2").select(
+        F.col("location_id").alias("other"), "x1", "y1", "x2", "y2",
+        level_of(F.abs(y2 - y1), F.greatest(F.abs(y1), F.abs(y2))).alias("level"))
+    walls = upright.withColumn("cy", F.explode(_strips(F.col("level"), y1, y2)))
+    levels = upright.agg(F.collect_set("level")).scalar()
+    qy = F.col("qy")
     points = (
         several_rings.where("seq = 0")
         .select("location_id", "poly", "ring", F.col("x1").alias("qx"), F.col("y1").alias("qy"))
         .join(_both_ways(touching, "location_id", "other"), "location_id")
         .join(met, ["location_id", "other", "poly", "ring"], "left_anti")
-        .withColumn("strip", size)
-        .withColumn("cy", F.floor(F.col("qy") / strip)).drop("strip"))
-    walls = (
-        edges.where("y1 <> y2").withColumn("strip", size)
-        .select(F.col("location_id").alias("other"), "x1", "y1", "x2", "y2",
-                F.explode(F.sequence(F.floor(F.least("y1", "y2") / strip),
-                                     F.floor(F.greatest("y1", "y2") / strip))).alias("cy")))
+        .withColumn("level", F.explode(levels))
+        .withColumn("cy", F.explode(_strips(F.col("level"), qy, qy))))
     q, a, b = g.point("qx", "qy"), g.point("x1", "y1"), g.point("x2", "y2")
     spans = (a[1] <= q[1]) != (b[1] <= q[1])
     upward = F.when(b[1] > a[1], 1).otherwise(-1)
     hits = F.when(spans & (g.orientation(a, b, q) * upward > 0), 1).otherwise(0)
     return (
-        points.join(walls, ["other", "cy"])
+        points.join(walls, ["other", "level", "cy"])
         .groupBy("location_id", "other", "poly", "ring").agg(F.sum(hits).alias("hits"))
         .where(F.col("hits") % 2 == 1)
         .select(F.least("location_id", "other").alias("a_location_id"),
@@ -207,13 +212,12 @@ def zone_adjacency(zones: DataFrame) -> DataFrame:
     """
     edges = g.edges(zones)
     several_rings = g.edges(zones.where(F.size(F.flatten("geom")) > 1))
-    cell = cell_size(edges)
-    contacts = _contacts(edge_pairs(edges, cell))
+    contacts = _contacts(edge_pairs(edges))
     touching = (
         contacts.groupBy("a_location_id", "b_location_id")
         .agg(F.max("overlap").alias("overlap"))
         .where(~F.col("overlap")).select("a_location_id", "b_location_id")
     )
-    kept = touching.join(_swallowed(touching, contacts, edges, several_rings, cell),
+    kept = touching.join(_swallowed(touching, contacts, edges, several_rings),
                          ["a_location_id", "b_location_id"], "left_anti")
     return _both_ways(kept, "location_id", "neighbour_id")

@@ -301,6 +301,7 @@ def queries() -> dict[str, Query]:
         "cume_dist_amounts": _hourly_share,
         "zone_adjacency": lambda s, sf: zone_adjacency(fx.zones(s, sf)),
         "parcel_adjacency": lambda s, sf: zone_adjacency(fx.parcels(s, sf)),
+        "mixed_parcel_adjacency": lambda s, sf: zone_adjacency(fx.mixed_parcels(s, sf)),
         "neighbour_stats": _neighbour_stats,
         "zone_hotspots": _spatial(hotspots),
         "zone_hotspots_borough": _spatial(hotspots, ASIA),

@@ -80,6 +80,37 @@ def wavy_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parcels(spark, sf_dir, F.array(F.array(ring)).cast(GEOMETRY))
 
 
+def mixed_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels of four shapes by id % 4: plain; with 64 edges of 2^-20 on the lower side; with a hole, which
+    island -id fills; in two parts, left and right. Zone -1 is a bar below all others."""
+    gx, gy = _parcel_grid()
+    x, y, side = gx * PARCEL_SIDE, gy * PARCEL_SIDE, PARCEL_SIDE
+
+    def box(left: float, low: float, right: float, high: float) -> Column:
+        return _ring((x + left, y + low), (x + right, y + low), (x + right, y + high), (x + left, y + high))
+
+    whole, hole = box(0, 0, side, side), box(side / 4, side / 4, side / 2, side / 2)
+    corners = box(0, 0, side, side)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.struct(
+        (x + side / 2 + i * 2.0 ** -20).alias("x"), y.cast("double").alias("y")))
+    fine = F.concat(F.slice(corners, 1, 1), steps, F.slice(corners, 2, 4))
+    parts = [box(0, 0, side / 4, side), box(3 * side / 4, 0, side, side)]
+    kind = F.col("c_custkey") % 4
+    geom = (F.when(kind == 0, F.array(F.array(whole))).when(kind == 1, F.array(F.array(fine)))
+            .when(kind == 2, F.array(F.array(whole, hole)))
+            .otherwise(F.array(*[F.array(p) for p in parts])))
+    mixed = _parcels(spark, sf_dir, geom.cast(GEOMETRY))
+    islands = (_parcels(spark, sf_dir, F.array(F.array(hole)).cast(GEOMETRY))
+               .where("location_id % 4 = 2").withColumn("location_id", -F.col("location_id")))
+    width, below = F.lit(PARCEL_COLUMNS * PARCEL_SIDE), F.lit(-1.0)
+    ground = _ring((F.lit(0.0), below), (width, below), (width, F.lit(0.0)), (F.lit(0.0), F.lit(0.0)))
+    bar = spark.range(1).select(
+        F.lit(-1).alias("location_id"), F.lit("BAR").alias("zone_name"), F.lit("NONE").alias("borough"),
+        F.lit(None).cast("string").alias("service_zone"),
+        F.array(F.array(ground)).cast(GEOMETRY).alias("geom"))
+    return mixed.unionByName(islands).unionByName(bar)
+
+
 def projected_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels of 1000 feet in New York Long Island state plane coordinates."""
     gx, gy = _parcel_grid()
