@@ -534,17 +534,23 @@ UNION ALL SELECT location_id, 'null zone_name' FROM parcels WHERE location_id %
 UNION ALL SELECT location_id, 'duplicate location_id' FROM parcels WHERE location_id % 11 = 4"""
 
 PROFILE_COLUMNS = {
-    "tpep_pickup_datetime": "sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END)",
-    "tpep_dropoff_datetime": "0", "passenger_count": "0", "trip_distance": "0",
-    "store_and_fwd_flag": "0", "PULocationID": "0",
-    "DOLocationID": "sum(CASE WHEN kind = 5 THEN 1 ELSE 0 END)",
+    "VendorID": "int", "tpep_pickup_datetime": "timestamp_ntz",
+    "tpep_dropoff_datetime": "timestamp_ntz", "passenger_count": "int",
+    "trip_distance": "double", "RatecodeID": "int", "store_and_fwd_flag": "string",
+    "PULocationID": "bigint", "DOLocationID": "int", "payment_type": "int",
+    "fare_amount": "double", "extra": "double", "mta_tax": "double", "tip_amount": "double",
+    "tolls_amount": "double", "improvement_surcharge": "double", "total_amount": "double",
+    "source_file": "string", "source_row_number": "bigint",
 }
+# Kinds of faulty rows that are planted as nulls.
+PLANTED_NULLS = {"tpep_pickup_datetime": 0, "DOLocationID": 5}
 
 
 def profile() -> str:
-    rows = [f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, "
-            f"count(*) AS row_count, CAST({n} AS BIGINT) AS null_count FROM dirty"
-            for i, (c, n) in enumerate(PROFILE_COLUMNS.items(), start=1)]
+    rows = [f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{t}' AS data_type, "
+            f"count(*) AS row_count, count(*) FILTER (kind = {PLANTED_NULLS.get(c, -1)}) AS null_count "
+            "FROM dirty"
+            for i, (c, t) in enumerate(PROFILE_COLUMNS.items(), start=1)]
     return DIRTY + " " + " UNION ALL ".join(rows)
 
 
@@ -674,6 +680,11 @@ FROM parcels""",
         "table_profile": profile(),
         "geometry_types": f"WITH {PARCELS} SELECT 'Polygon' AS geometry_type, "
                           "count(*) AS zone_count FROM parcels",
+        "geometry_types_mixed": f"""WITH {PARCELS}, shapes AS (
+  SELECT CASE WHEN location_id % 4 = 3 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type FROM parcels
+  UNION ALL SELECT 'Polygon' FROM parcels WHERE location_id % 4 = 2
+  UNION ALL SELECT 'Polygon')
+SELECT geometry_type, count(*) AS zone_count FROM shapes GROUP BY 1""",
         "zone_violations": VIOLATIONS,
         "geojson_features": GEOJSON,
         "simplify_boundaries": SIMPLIFIED,

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from zonetide.functions.percentile import with_cume_dist, zone_cume_dist
+from zonetide.functions.percentile import with_cume_dist, zone_cume_dist, zone_grain
 from zonetide.functions.numeric import percent_of, ratio
 
 
@@ -28,3 +29,9 @@ def test_percent_of_drops_binary_noise(spark):
     row = spark.range(1).select(percent_of(F.lit(1) / F.lit(800)).alias("p"),
                                 percent_of(F.lit(2) / F.lit(3)).alias("q")).first()
     assert (float(row.p), float(row.q)) == (0.13, 66.67)
+
+
+def test_only_smallint_zones_are_ranked_in_one_task(spark):
+    assert zone_grain(spark.sql("SELECT 1S AS location_id")).count() == 1
+    with pytest.raises(TypeError, match="smallint"):
+        zone_grain(spark.sql("SELECT 1 AS location_id"))

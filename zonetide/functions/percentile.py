@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ShortType
 
 DIGIT_BITS = 16
 DIGITS = 4
 
 
+def zone_grain(zones: DataFrame) -> DataFrame:
+    """The frame, if its zone ids have the type that bounds their number."""
+    if zones.schema["location_id"].dataType != ShortType():
+        raise TypeError("Zones are ranked in one task: location_id has to be a smallint.")
+    return zones
+
+
 def zone_cume_dist(value: str, *within: Column) -> Column:
     """``cume_dist`` over zone-grain rows.
 
-    A global window sorts in one task. Zone-grain frames are bounded by the key
+    A global window sorts in one task. Zone-grain frames (``zone_grain``) are bounded by the key
     type (``location_id`` is a smallint: at most 65 536 rows whatever the number of
     trips), so one task is the right size. Use ``with_cume_dist`` for anything else.
     """
@@ -36,24 +44,29 @@ def with_cume_dist(df: DataFrame, value: str, out: str) -> DataFrame:
     def prefix(level: int) -> Column:
         return F.shiftright(F.col(value), DIGIT_BITS * (DIGITS - 1 - level))
 
-    running = known.select(value, "_n", *[prefix(i).alias(f"_p{i}") for i in range(DIGITS)])
-    level_totals = running
-    offsets = {}
+    level_totals = known.select("_n", *[prefix(i).alias(f"_p{i}") for i in range(DIGITS)])
+    before = []
     for level in reversed(range(DIGITS)):
         prefixes = [f"_p{i}" for i in range(level + 1)]
         level_totals = level_totals.groupBy(*prefixes).agg(total.alias("_n"))
         parent = Window.partitionBy(*prefixes[:-1]) if level else Window.partitionBy(F.lit(0))
-        before = parent.orderBy(prefixes[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        offsets[level] = level_totals.select(
-            *prefixes, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_o{level}"))
-    for level in range(DIGITS):
-        running = running.join(offsets[level], [f"_p{i}" for i in range(level + 1)])
+        earlier = parent.orderBy(prefixes[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        before.insert(0, level_totals.select(
+            *prefixes, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    # Down the digits: what lies before a prefix lies before all values below it.
+    running = before[0]
+    for level in range(1, DIGITS):
+        above = running.withColumnRenamed("_before", "_above").drop("_n")
+        running = before[level].join(above, [f"_p{i}" for i in range(level)]).withColumn(
+            "_before", F.col("_before") + F.col("_above")).drop("_above")
 
     nulls = F.coalesce(
         counts.where(F.col(value).isNull()).agg(F.sum("_n")).scalar(), F.lit(0))
     size = counts.agg(F.sum("_n")).scalar()
-    below = sum((F.col(f"_o{i}") for i in range(DIGITS)), F.col("_n"))
-    shares = running.select(value, ((below + nulls) / size).cast("double").alias(out))
+    below = F.col("_before") + F.col("_n")
+    # The last prefix is the value itself.
+    shares = running.select(F.col(f"_p{DIGITS - 1}").alias(value),
+                            ((below + nulls) / size).cast("double").alias(out))
     null_share = (nulls / size).cast("double")
     joined = df.join(shares, value, "left")
     return joined.withColumn(out, F.coalesce(F.col(out), null_share)).select(*df.columns, out)

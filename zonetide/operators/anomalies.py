@@ -117,7 +117,6 @@ def zone_anomalies(demand: DataFrame, zones: DataFrame, filters: Filters = NO_FI
             F.lit(float(z_threshold)).alias("z_threshold"),
             F.coalesce(F.size("items"), F.lit(0)).alias("anomaly_count"),
             F.coalesce("items", empty).alias("items"))
-        .orderBy("location_id")
     )
 
 

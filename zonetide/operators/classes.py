@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.filters import NO_FILTERS, Filters
-from zonetide.functions.percentile import zone_cume_dist
+from zonetide.functions.percentile import zone_cume_dist, zone_grain
 from zonetide.labels import DEMAND_CLASSES, lookup
 from zonetide.operators.demand import mean_amount, mean_distance, trip_total
 
@@ -29,7 +29,7 @@ def demand_classes(demand: DataFrame, zones: DataFrame,
     Percentiles are taken among the zones that have trips.
     """
     measured = (
-        filters.apply(demand).groupBy("location_id")
+        zone_grain(filters.apply(demand)).groupBy("location_id")
         .agg(trip_total(), mean_amount(), mean_distance())
         .where(F.col("trip_count") > 0)
         .withColumn("percentile", zone_cume_dist("trip_count"))
@@ -45,5 +45,4 @@ def demand_classes(demand: DataFrame, zones: DataFrame,
             class_id.alias("demand_class_id"),
             lookup(class_id, dict(enumerate(DEMAND_CLASSES))).alias("demand_class"),
             *[c for c in zones.columns if c == "geom"])
-        .orderBy("location_id")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonetide.filters import NO_FILTERS, Filters
 from zonetide.functions.numeric import quotient
-from zonetide.functions.percentile import zone_cume_dist
+from zonetide.functions.percentile import zone_cume_dist, zone_grain
 from zonetide.labels import HOTSPOT_CLASSES, lookup
 
 
@@ -67,7 +67,7 @@ def hotspots(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
         .withColumn("trip_count", F.coalesce("trip_count", F.lit(0).cast("bigint")))
     )
     ranked = (
-        neighbour_stats(selected, adjacency)
+        neighbour_stats(zone_grain(selected), adjacency)
         .withColumn("neighbour_avg_trip_count", F.round("neighbour_mean", 2))
         .withColumns({"zone_share": zone_cume_dist("trip_count"),
                       "around_share": zone_cume_dist("neighbour_avg_trip_count")})
@@ -78,4 +78,4 @@ def hotspots(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
         F.col("neighbour_avg_trip_count").cast("double").alias("neighbour_avg_trip_count"),
         score.alias("hotspot_score"),
         lookup(score, HOTSPOT_CLASSES).alias("hotspot_class"),
-    ), zones).orderBy("location_id")
+    ), zones)

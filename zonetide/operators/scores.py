@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonetide.filters import NO_FILTERS, Filters, iso_weekday
 from zonetide.functions.numeric import percent_of, ratio
-from zonetide.functions.percentile import zone_cume_dist
+from zonetide.functions.percentile import zone_cume_dist, zone_grain
 from zonetide.labels import HOTSPOT_CLASSES, PRIORITY_CLASSES, WEEKDAYS, lookup
 from zonetide.operators.hotspots import hotspot_score, neighbour_stats, with_geometry
 
@@ -63,7 +63,7 @@ def _scored(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
             "total_day_count": days,
         })
     )
-    around = neighbour_stats(selected, adjacency).withColumn(
+    around = neighbour_stats(zone_grain(selected), adjacency).withColumn(
         "around_share", zone_cume_dist("neighbour_mean"))
     has_trips = F.col("trip_count") > 0
     # Partitioned by "has trips": zones without trips stay out of the ranking.
@@ -90,7 +90,7 @@ def _as_doubles(*names: str) -> list[Column]:
 
 def zone_scores(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
                 filters: Filters = NO_FILTERS) -> DataFrame:
-    """0.5 demand + 0.3 hotspot + 0.2 consistency, best zones first.
+    """0.5 demand + 0.3 hotspot + 0.2 consistency.
 
     Demand is ranked among zones with trips only, and the neighbours' mean unrounded.
     """
@@ -98,7 +98,7 @@ def zone_scores(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
         "location_id", "zone_name", "borough", "trip_count", "active_day_count",
         "total_day_count", *_as_doubles(*SCORE_COLUMNS),
         priority_class(F.col("zone_score")).alias("priority_class"))
-    return with_geometry(scores, zones).orderBy(F.desc("zone_score"), "location_id")
+    return with_geometry(scores, zones)
 
 
 def peaks(demand: DataFrame, filters: Filters = NO_FILTERS) -> DataFrame:
@@ -134,5 +134,4 @@ def zone_details(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
         lookup(F.col("peak_weekday"), weekday_names).alias("peak_weekday_name"),
         "peak_hour", *_as_doubles(*SCORE_COLUMNS),
         lookup(F.col("hotspot_score"), HOTSPOT_CLASSES).alias("hotspot_class"),
-        priority_class(F.col("zone_score")).alias("priority_class"),
-    ).orderBy("location_id")
+        priority_class(F.col("zone_score")).alias("priority_class"))

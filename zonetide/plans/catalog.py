@@ -265,9 +265,7 @@ def _geojson_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _table_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return null_counts(fx.dirty_trips(spark, sf).select(
-        "tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance",
-        "store_and_fwd_flag", "PULocationID", "DOLocationID")).drop("data_type")
+    return null_counts(fx.dirty_trips(spark, sf))
 
 
 def queries() -> dict[str, Query]:
@@ -340,6 +338,7 @@ def queries() -> dict[str, Query]:
         "zones_upsert": _zones_upsert,
         "table_profile": _table_profile,
         "geometry_types": lambda s, sf: geometry_types(fx.parcels(s, sf)),
+        "geometry_types_mixed": lambda s, sf: geometry_types(fx.mixed_parcels(s, sf)),
         "zone_violations": lambda s, sf: zone_violations(fx.faulty_parcels(s, sf)),
         "geojson_features": _geojson_features,
         "simplify_boundaries": _simplify_boundaries,

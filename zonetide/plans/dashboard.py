@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zonetide.filters import NO_FILTERS, Filters
 from zonetide.functions.geometry import extent
@@ -79,13 +80,18 @@ class Dashboard:
         return d.zone_ranking(self.demand, filters, limit)
 
     def demand_map(self, filters: Filters = NO_FILTERS) -> DataFrame:
-        return self._labelled(demand_classes(self.demand, self.map_zones, filters))
+        return self._labelled(demand_classes(self.demand, self.map_zones, filters)).orderBy(
+            "location_id")
 
     def hotspot_map(self, filters: Filters = NO_FILTERS) -> DataFrame:
-        return self._labelled(hotspots(self.demand, self.map_zones, self.adjacency, filters))
+        return self._labelled(
+            hotspots(self.demand, self.map_zones, self.adjacency, filters)).orderBy("location_id")
 
     def score_map(self, filters: Filters = NO_FILTERS) -> DataFrame:
-        return self._labelled(zone_scores(self.demand, self.map_zones, self.adjacency, filters))
+        """Best zones first."""
+        return self._labelled(zone_scores(
+            self.demand, self.map_zones, self.adjacency, filters)).orderBy(
+            F.desc("zone_score"), "location_id")
 
     def map_extent(self, filters: Filters = NO_FILTERS) -> DataFrame:
         return extent(filters.select_zones(self.map_zones))
