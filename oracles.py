@@ -416,9 +416,26 @@ SELECT row_number AS source_row_number,
        replace(strftime(pickup + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '')
          || '+00:00' AS pickup,
        CAST(pickup_zone AS INTEGER) AS pickup_zone, flag, distance,
+       CAST(dropoff_zone AS INTEGER) AS dropoff_zone, CAST(1 + k % 2 AS INTEGER) AS vendor_id,
+       CAST(passengers AS INTEGER) AS passenger_count, CAST(1 AS INTEGER) AS rate_code_id,
+       CAST(1 + k % 4 AS INTEGER) AS payment_type,
+       cents / 100.0::DOUBLE AS fare_amount, 0::DOUBLE AS extra_amount, 0::DOUBLE AS mta_tax,
+       0::DOUBLE AS tip_amount, 0::DOUBLE AS tolls_amount, 0::DOUBLE AS improvement_surcharge,
+       cents / 100.0::DOUBLE AS total_amount, CAST(NULL AS DOUBLE) AS airport_fee,
+       'events' AS source_file, reason,
        CAST(26 AS INTEGER) AS field_count
 FROM reasons WHERE reason <> ''"""
 
+TRIP_COERCION = f"""WITH {ZONES}, {TRIPS}, kinds AS (
+  SELECT row_number, k, (row_number - 1) % 20 AS kind FROM trips)
+SELECT row_number AS source_row_number,
+       CASE kind WHEN 9 THEN 'non_integer_passenger_count' WHEN 10 THEN 'infinite_amount'
+                 WHEN 12 THEN 'pickup_datetime_missing_or_invalid'
+                 WHEN 13 THEN 'non_integer_pickup_location_id' END AS rejection_reason,
+       CASE WHEN kind NOT BETWEEN 9 AND 13 THEN k / 10.0::DOUBLE END AS trip_distance,
+       CASE WHEN kind NOT IN (9, 10, 12, 13) THEN 1.75::DOUBLE END AS airport_fee
+FROM kinds"""
+
 DST_GUARD = """WITH walls AS (
   SELECT l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) + INTERVAL 30 MINUTE AS wall
   FROM lineitem), counted AS (
@@ -648,6 +665,7 @@ FROM parcels GROUP BY 1""",
 SELECT 'events' AS source_file, row_number AS source_row_number, reason AS rejection_reason
 FROM reasons WHERE reason <> ''""",
         "rejected_records": REJECTED_RECORDS,
+        "trip_coercion": TRIP_COERCION,
         "trip_dst_guard": DST_GUARD,
         "load_idempotent": f"""WITH {TRIPS}
 SELECT 'events' AS source_file, row_number AS source_row_number, pickup_date,

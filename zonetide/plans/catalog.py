@@ -201,9 +201,30 @@ def _rejected_records(spark: SparkSession, sf: str) -> DataFrame:
         field("pickup_location_id").cast("int").alias("pickup_zone"),
         field("store_and_fwd_flag").alias("flag"),
         field("trip_distance").cast("double").alias("distance"),
+        field("dropoff_location_id").cast("int").alias("dropoff_zone"),
+        *[field(c).cast("int").alias(c) for c in (
+            "vendor_id", "passenger_count", "rate_code_id", "payment_type")],
+        *[field(c).cast("double").alias(c) for c in (
+            "fare_amount", "extra_amount", "mta_tax", "tip_amount", "tolls_amount",
+            "improvement_surcharge", "total_amount", "airport_fee")],
+        field("source_file").alias("source_file"),
+        field("rejection_reason").alias("reason"),
         F.size(F.json_object_keys("raw_record")).alias("field_count"))
 
 
+def _trip_coercion(spark: SparkSession, sf: str) -> DataFrame:
+    """Text, fractions and infinities: what is rejected and what is read."""
+    split = clean_trips(fx.messy_trips(spark, sf), fx.zones(spark, sf))
+    valid = split.valid.select(
+        "source_row_number", F.lit(None).cast("string").alias("rejection_reason"),
+        F.col("trip_distance").cast("double").alias("trip_distance"),
+        F.col("airport_fee").cast("double").alias("airport_fee"))
+    none = F.lit(None).cast("double")
+    return valid.unionByName(split.rejected.select(
+        "source_row_number", "rejection_reason", none.alias("trip_distance"),
+        none.alias("airport_fee")))
+
+
 def _trip_dst_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as half-past wall-clock times in New York."""
     wall = F.expr("l_shipdate + make_dt_interval(0, cast(l_orderkey % 24 as int), 30, 0)")
@@ -328,6 +349,7 @@ def queries() -> dict[str, Query]:
         "trip_validation": _trip_validation,
         "rejection_reasons": _rejection_reasons,
         "rejected_records": _rejected_records,
+        "trip_coercion": _trip_coercion,
         "trip_dst_guard": _trip_dst_guard,
         "load_idempotent": _load_idempotent,
         "warehouse_load": _warehouse_load,

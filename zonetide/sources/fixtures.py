@@ -183,6 +183,21 @@ def dirty_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(*columns)
 
 
+def messy_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trips as text and doubles, with an Airport_fee. By (row number - 1) % 20: 9 half
+    a passenger, 10 an infinite total, 11 an unreadable distance, 12 an unreadable pickup, 13 zone 1.5."""
+    kind = (F.col("source_row_number") - 1) % 20
+    passengers, total = F.col("passenger_count"), F.col("total_amount")
+    return raw_trips(spark, sf_dir).withColumns({
+        "passenger_count": F.when(kind == 9, passengers + 0.5).otherwise(passengers.cast("double")),
+        "total_amount": F.when(kind == 10, F.lit(float("inf"))).otherwise(total),
+        "trip_distance": F.when(kind == 11, "far").otherwise(F.col("trip_distance").cast("string")),
+        "tpep_pickup_datetime": F.when(kind == 12, "soon").otherwise(
+            F.col("tpep_pickup_datetime").cast("string")),
+        "PULocationID": F.when(kind == 13, "1.5").otherwise(F.col("PULocationID").cast("string")),
+        "Airport_fee": F.lit(1.75)})
+
+
 def lineitem_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as cleaned trips over seven years (rollup and demand queries only)."""
     pickup = F.expr("l_shipdate + make_dt_interval(0, cast(l_orderkey % 24 as int), 0, 0)")
