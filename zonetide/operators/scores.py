@@ -36,24 +36,51 @@ def weighted_score(demand: Column, hotspot: Column, consistency: Column) -> Colu
                    + part(consistency, CONSISTENCY_WEIGHT), 2)
 
 
-def _daily(demand: DataFrame, filters: Filters) -> DataFrame:
+HOURS, WEEKDAYS_ISO = range(24), range(1, 8)
+
+
+def _daily(scoped: DataFrame) -> DataFrame:
+    """Totals of each zone and day, the trips of each hour in columns of their own."""
     weighted = F.col("avg_trip_distance") * F.col("trip_count").cast("decimal(14,0)")
-    return filters.apply(demand).groupBy("location_id", "pickup_date").agg(
+    return scoped.groupBy("location_id", "pickup_date").agg(
         F.sum("trip_count").alias("trip_count"),
         F.sum("total_amount").alias("total_amount"),
-        F.sum(weighted).alias("weighted_distance"))
+        F.sum(weighted).alias("weighted_distance"),
+        *[F.sum(F.when(F.col("pickup_hour") == h, F.col("trip_count"))).alias(f"hour_{h}")
+          for h in HOURS])
+
+
+def _peak_parts() -> list[Column]:
+    """Trips of each hour and weekday, from the totals of the days."""
+    weekday = iso_weekday("pickup_date")
+    return [*[F.sum(f"hour_{h}").alias(f"hour_{h}") for h in HOURS],
+            *[F.sum(F.when(weekday == w, F.col("trip_count"))).alias(f"weekday_{w}")
+              for w in WEEKDAYS_ISO]]
+
+
+def _busiest(unit: str, values: range) -> Column:
+    """The hour or weekday with most trips, of those that have any; ties go to the smaller one."""
+    totals = [F.when(F.col(f"{unit}_{v}").isNotNull(),
+                     F.struct(F.col(f"{unit}_{v}").alias("n"), F.lit(-v).alias("less")))
+              for v in values]
+    return (-F.array_max(F.array(*totals))["less"]).cast("int")
 
 
 def _scored(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
             filters: Filters) -> DataFrame:
-    """Every selected zone with the parts of its score (exact decimals)."""
-    daily = _daily(demand, filters)
-    days = filters.apply(demand).agg(F.countDistinct("pickup_date").cast("int")).scalar()
-    per_zone = daily.groupBy("location_id").agg(
+    """Every selected zone with the parts of its score (exact decimals) and its peaks."""
+    scoped = filters.apply(demand)
+    days = scoped.agg(F.countDistinct("pickup_date").cast("int")).scalar()
+    per_zone = _daily(scoped).groupBy("location_id").agg(
         F.sum("trip_count").alias("trip_count"),
         F.count("*").cast("int").alias("active_day_count"),
         ratio(F.sum("total_amount"), F.sum("trip_count"), 2).alias("avg_total_amount"),
-        ratio(F.sum("weighted_distance"), F.sum("trip_count"), 2).alias("avg_trip_distance"))
+        ratio(F.sum("weighted_distance"), F.sum("trip_count"), 2).alias("avg_trip_distance"),
+        *_peak_parts())
+    per_zone = per_zone.select(
+        "location_id", "trip_count", "active_day_count", "avg_total_amount", "avg_trip_distance",
+        _busiest("hour", HOURS).cast("smallint").alias("peak_hour"),
+        _busiest("weekday", WEEKDAYS_ISO).alias("peak_weekday"))
     selected = (
         filters.select_zones(zones).select("location_id", "zone_name", "borough")
         .join(per_zone, "location_id", "left")
@@ -103,17 +130,9 @@ def zone_scores(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
 
 def peaks(demand: DataFrame, filters: Filters = NO_FILTERS) -> DataFrame:
     """Busiest hour and weekday of each zone; ties go to the smaller one."""
-    scoped = filters.apply(demand)
-
-    def busiest(unit: Column, name: str) -> DataFrame:
-        totals = scoped.groupBy("location_id", unit.alias(name)).agg(
-            F.sum("trip_count").alias("n"))
-        return totals.groupBy("location_id").agg(
-            F.max_by(name, F.struct("n", -F.col(name))).alias(name))
-
-    hours = busiest(F.col("pickup_hour"), "peak_hour")
-    weekdays = busiest(iso_weekday("pickup_date").cast("int"), "peak_weekday")
-    return hours.join(weekdays, "location_id")
+    totals = _daily(filters.apply(demand)).groupBy("location_id").agg(*_peak_parts())
+    return totals.select("location_id", _busiest("hour", HOURS).cast("smallint").alias("peak_hour"),
+                         _busiest("weekday", WEEKDAYS_ISO).alias("peak_weekday"))
 
 
 def zone_details(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
@@ -127,7 +146,7 @@ def zone_details(demand: DataFrame, zones: DataFrame, adjacency: DataFrame,
     if location_id is not None:
         scored = scored.where(F.col("location_id") == location_id)
     weekday_names = dict(enumerate(WEEKDAYS, start=1))
-    return scored.join(peaks(demand, filters), "location_id", "left").select(
+    return scored.select(
         "location_id", "zone_name", "borough", "trip_count",
         *_as_doubles("avg_total_amount", "avg_trip_distance"),
         "active_day_count", "total_day_count", "peak_weekday",
