@@ -14,7 +14,7 @@ there are passed on, so a large group of copies gives as many links as it has me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -269,13 +269,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = _grouped) -> DataFrame:
     """One document of each component, with its own columns: that with the smallest id, of rows
     with this id one of the text with the smallest hash. A row without an id stays only where no
-    document of the component has one."""
+    document of the component has one. ``grouped`` gives doc_id, _text_hash and _component of each row."""
     key = (F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"),
            F.col("_text_hash"))
-    kept = (_grouped(docs).groupBy("_component").agg(F.min(F.struct(*key)).alias("_first"))
+    kept = (grouped(docs).groupBy("_component").agg(F.min(F.struct(*key)).alias("_first"))
             .select("_first.*"))
     columns = [docs[c] for c in docs.columns]
     doc_id = docs["doc_id"].cast("long")
