@@ -10,9 +10,9 @@ from conftest import SF
 from zonetide.llm import queries
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_thirteen_queries_and_the_pipeline_are_registered():
     names = entry.queries().keys()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names and [name for name, _ in corpus_pipeline.STAGES][-1] == "bpe"
 
 

@@ -51,6 +51,14 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``_id``, ``_text_hash`` and ``_text`` of each document: what identifies a row, also where
     ids are null or repeat. Rows equal in both are one document."""
@@ -63,13 +71,13 @@ def on_key(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_text_hash"] == right["_text_hash"])
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str,
+def slices(batches: Iterable[pa.RecordBatch], column: str | int,
            limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, bounds = flat(batch.column(column))
+        _, bounds = flat(batch.column(column % batch.num_columns if isinstance(column, int) else column))
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(bounds, bounds[start] + limit, side="right")) - 1

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import (bpe, decontaminate, embeddings, licenses, quality, simhash, suffixes,
-                          toxicity, units, urls)
+from zonetide.llm import (bpe, decontaminate, embeddings, fim, languages, licenses, quality, simhash, suffixes,
+                          toxicity, units, urls, whitening)
 from zonetide.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,52 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), tokens AS (
+  SELECT *, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS t,
+         CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM docs
+), cut AS (
+  SELECT *, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+           AS plain, h4 % 100 < 80 AS spm
+  FROM tokens
+), parts AS (
+  SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle,
+         array_to_string(t[b + 1:], '') AS suffix
+  FROM cut
+)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN NOT plain THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.predict(docs.select("doc_id", "text"), languages.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = [value for name, value in globals().items()
              if name.startswith("op") and callable(value) and value.__module__ == __name__]
@@ -127,4 +173,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op11_fill_in_middle": OP11_SQL}
