@@ -9,9 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
-from zonetide.plans import catalog
+from zonetide.plans import analysis, catalog
 
-QUERIES = {name: entry.queries()[name] for name in catalog.queries()}
+QUERIES = {name: entry.queries()[name] for name in catalog.queries() | analysis.queries()}
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 

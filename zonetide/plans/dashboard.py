@@ -18,6 +18,7 @@ from zonetide.operators.export import to_features
 from zonetide.operators.forecast import demand_forecast
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import zone_details, zone_scores
+from zonetide.operators.spatial_statistics import gi_star, lisa, morans_i, zone_values
 from zonetide.operators.trend import zone_trend
 from zonetide.plans.warehouse import Warehouse
 
@@ -93,6 +94,20 @@ class Dashboard:
             self.demand, self.map_zones, self.adjacency, filters)).orderBy(
             F.desc("zone_score"), "location_id")
 
+    def _values(self, filters: Filters) -> DataFrame:
+        return zone_values(self.demand, self.zones, filters)
+
+    def gi_star_map(self, filters: Filters = NO_FILTERS, rate: float = 0.05) -> DataFrame:
+        found = gi_star(self._values(filters), self.adjacency, rate)
+        return found.join(self.map_zones.select("location_id", "geom"), "location_id").orderBy("location_id")
+
+    def lisa_map(self, filters: Filters = NO_FILTERS, permutations: int = 999) -> DataFrame:
+        found = lisa(self._values(filters), self.adjacency, permutations)
+        return found.join(self.map_zones.select("location_id", "geom"), "location_id").orderBy("location_id")
+
+    def morans_i(self, filters: Filters = NO_FILTERS) -> DataFrame:
+        return morans_i(self._values(filters), self.adjacency)
+
     def map_extent(self, filters: Filters = NO_FILTERS) -> DataFrame:
         return extent(filters.select_zones(self.map_zones))
 

@@ -5,14 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path not yet in use below ``spark.checkpoint.dir``. Where the session names no
-    such folder, as in tests, one is made and set."""
+    """A path not yet in use below ``spark.checkpoint.dir``. Where a local session names no such folder, as in
+    tests, one is made and set; on a cluster that raises, since executors don't see each other's disks."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share.")
         shared = "file://" + tempfile.mkdtemp(prefix="zonetide-shared-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows to a new table in the shared folder and reads them back: what comes after neither
+    computes them again nor loses them with an executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
