@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles import BASE, PARCELS
+from oracles import BASE, LONG_BASE, PARCELS, half_away, half_up, scaled
 
 
 def two_sided(z: str) -> str:
@@ -116,6 +116,147 @@ NEAR_OTHERS = """wanted AS (
   SELECT w.location_id, w.r, sum(a.d) AS total FROM wanted w JOIN dealt a ON a.r = w.r AND a.place = w.place
   WHERE w.place <> w.own AND w.place <= w.k + CASE WHEN w.own <= w.k THEN 1 ELSE 0 END GROUP BY 1, 2)"""
 
+def filled(base: str, by: str) -> str:
+    """Every day of each series, with the days since its start (t) and to the end (days_left)."""
+    return f"""{base.replace("WITH", "WITH RECURSIVE", 1)}, daily AS (
+  SELECT {by}, pickup_date, CAST(sum(n) AS BIGINT) AS x FROM demand GROUP BY 1, 2), ending AS (
+  SELECT max(pickup_date) AS last_day FROM daily), calendar AS (
+  SELECT {by}, last_day, CAST(unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS DATE) AS pickup_date
+  FROM (SELECT {by}, min(pickup_date) AS first_day FROM daily GROUP BY 1) CROSS JOIN ending), filled AS (
+  SELECT c.{by}, c.pickup_date, coalesce(d.x, 0) AS x, last_day - c.pickup_date AS days_left,
+         row_number() OVER (PARTITION BY c.{by} ORDER BY c.pickup_date) - 1 AS t
+  FROM calendar c LEFT JOIN daily d ON d.{by} = c.{by} AND d.pickup_date = c.pickup_date)"""
+
+
+def is_origin(origins: int, step: int) -> str:
+    if not origins:
+        return "days_left = 0"
+    return f"days_left BETWEEN 1 AND {origins * step} AND days_left % {step} = 0"
+
+
+def horizons(horizon: int) -> str:
+    return f"(SELECT CAST(h AS INTEGER) AS horizon FROM range(1, {horizon + 1}) r(h))"
+
+
+def same_weekday(by: str, horizon: int, origins: int, step: int, weeks: int = 4) -> str:
+    """CTE same_weekday: every past date of the same weekday is listed for each forecast, newest first."""
+    return f"""weekday_dates AS (
+  SELECT f.{by}, f.pickup_date AS origin, horizon, f.pickup_date + horizon AS forecast_date
+  FROM filled f CROSS JOIN {horizons(horizon)} WHERE {is_origin(origins, step)}), weekday_past AS (
+  SELECT w.*, d.x, row_number() OVER (PARTITION BY w.{by}, origin, horizon ORDER BY d.pickup_date DESC) AS r
+  FROM weekday_dates w JOIN daily d ON d.{by} = w.{by} AND d.pickup_date <= w.origin
+    AND isodow(d.pickup_date) = isodow(w.forecast_date)), same_weekday AS (
+  SELECT {by}, origin, horizon, forecast_date, CAST({half_up('sum(x)', 'count(*)')} AS DOUBLE) AS predicted
+  FROM weekday_past WHERE r <= {weeks} GROUP BY 1, 2, 3, 4)"""
+
+
+def holt_winters(by: str, horizon: int, origins: int, step: int) -> str:
+    """CTEs best (states at origins) and holt_winters. The recursion runs over days and carries all parameters."""
+    return f"""firsts AS (
+  SELECT {by}, list(CAST(x AS DOUBLE) ORDER BY t) AS xs, count(*) AS length
+  FROM filled GROUP BY 1 HAVING count(*) >= 15), weeks AS (
+  SELECT *, (xs[1] + xs[2] + xs[3] + xs[4] + xs[5] + xs[6] + xs[7]) / 7 AS m1,
+         (xs[8] + xs[9] + xs[10] + xs[11] + xs[12] + xs[13] + xs[14]) / 7 AS m2 FROM firsts), starts AS (
+  SELECT *, (m2 - m1) / 7 AS slope FROM weeks), params AS (
+  SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g FROM (
+    SELECT unnest([0.1, 0.3, 0.5, 0.8]) AS a) CROSS JOIN (SELECT unnest([0.0, 0.1, 0.3]) AS b)
+    CROSS JOIN (SELECT unnest([0.1, 0.3, 0.6]) AS g)), states AS (
+  SELECT {by}, length, a, b, g, CAST(13 AS BIGINT) AS t, m2 + 3 * slope AS level, slope AS trend,
+         [(xs[i + 1] - m1 + xs[i + 8] - m2) / 2 - slope * (i - 3) for i in range(0, 7)] AS season,
+         0.0::DOUBLE AS error
+  FROM starts CROSS JOIN params
+  UNION ALL
+  SELECT {by}, length, a, b, g, t, l2 AS level, b * (l2 - level) + (1 - b) * trend AS trend,
+         list_concat(season[2:7], [g * (x - l2) + (1 - g) * season[1]]) AS season,
+         error + (x - (level + trend + season[1])) * (x - (level + trend + season[1])) AS error
+  FROM (SELECT s.* EXCLUDE (t), f.t, f.x, a * (f.x - season[1]) + (1 - a) * (level + trend) AS l2
+        FROM states s JOIN filled f ON f.{by} = s.{by} AND f.t = s.t + 1)), kept AS (
+  SELECT s.*, f.pickup_date AS origin FROM states s JOIN filled f ON f.{by} = s.{by} AND f.t = s.t
+  WHERE s.t >= 14 AND {is_origin(origins, step)}), best AS (
+  SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {by}, origin ORDER BY round(error, 6), a, b, g) = 1),
+holt_winters AS (
+  SELECT {by}, origin, horizon, origin + horizon AS forecast_date, a, b, g, sqrt(error / (t - 13)) AS sigma,
+         greatest(level + horizon * trend + season[(horizon - 1) % 7 + 1], 0) AS predicted
+  FROM best CROSS JOIN {horizons(horizon)})"""
+
+
+def sarima(by: str, horizon: int, origins: int, step: int) -> str:
+    """CTEs coefficients (at origins) and sarima: least squares over all days up to each origin, joined anew."""
+    return f"""lagged AS (
+  SELECT {by}, pickup_date, days_left, t, x, x - lag(x, 7) OVER w AS y, lag(x, 1) OVER w - lag(x, 8) OVER w AS y1,
+         lag(x, 7) OVER w - lag(x, 14) OVER w AS y7
+  FROM filled WINDOW w AS (PARTITION BY {by} ORDER BY t)), equations AS (
+  SELECT o.{by}, o.pickup_date AS origin, o.t, CAST(count(*) AS DOUBLE) AS n,
+         {", ".join(f"CAST(sum({e}) AS DOUBLE) AS {name}" for name, e in (
+             ("s1", "l.y1"), ("s7", "l.y7"), ("s", "l.y"), ("s11", "l.y1 * l.y1"), ("s77", "l.y7 * l.y7"),
+             ("s17", "l.y1 * l.y7"), ("sy1", "l.y * l.y1"), ("sy7", "l.y * l.y7")))}
+  FROM lagged o JOIN lagged l ON l.{by} = o.{by} AND l.t <= o.t AND l.y7 IS NOT NULL
+  WHERE o.t >= 14 AND {is_origin(origins, step).replace("days_left", "o.days_left")} GROUP BY 1, 2, 3), centred AS (
+  SELECT *, n * s11 - s1 * s1 AS v11, n * s77 - s7 * s7 AS v77, n * s17 - s1 * s7 AS v17,
+         n * sy1 - s * s1 AS vy1, n * sy7 - s * s7 AS vy7 FROM equations), determined AS (
+  SELECT *, v11 * v77 - v17 * v17 AS det FROM centred), solved AS (
+  SELECT *, n >= 8 AND det > 1e-9 * v11 * v77 AS solvable FROM determined), held AS (
+  SELECT *, greatest(least(CASE WHEN solvable THEN (vy1 * v77 - vy7 * v17) / det ELSE 0 END, 0.95), -0.95) AS phi,
+         greatest(least(CASE WHEN solvable THEN (vy7 * v11 - vy1 * v17) / det ELSE 0 END, 0.95), -0.95)
+           AS seasonal_phi FROM solved), coefficients AS (
+  SELECT *, CASE WHEN solvable THEN (s - phi * s1 - seasonal_phi * s7) / n ELSE 0 END AS c FROM held), ahead AS (
+  SELECT o.{by}, o.origin, CAST(0 AS INTEGER) AS horizon, c, phi, seasonal_phi,
+         list(CAST(l.x AS DOUBLE) ORDER BY l.t) AS xs, list(CAST(l.y AS DOUBLE) ORDER BY l.t) AS ys
+  FROM coefficients o JOIN lagged l ON l.{by} = o.{by} AND l.t BETWEEN o.t - 6 AND o.t GROUP BY ALL
+  UNION ALL
+  SELECT {by}, origin, horizon + 1, c, phi, seasonal_phi,
+         list_concat(xs[2:7], [xs[1] + (c + phi * ys[7] + seasonal_phi * ys[1])]),
+         list_concat(ys[2:7], [c + phi * ys[7] + seasonal_phi * ys[1]])
+  FROM ahead WHERE horizon < {horizon}), sarima AS (
+  SELECT {by}, origin, horizon, origin + horizon AS forecast_date, c, phi, seasonal_phi,
+         greatest(xs[7], 0) AS predicted FROM ahead WHERE horizon > 0)"""
+
+
+def errors(forecasts: str, by: str, groups: str) -> str:
+    return f"""
+SELECT {groups}, CAST(count(*) AS INTEGER) AS forecasts,
+       {scaled(half_up('10000 * sum(abs(e))', 'count(*)'), 10000)} AS mae,
+       round(sqrt(CAST(sum(e * e) AS DOUBLE) / count(*)), 4) AS rmse,
+       round(100 * avg(CAST(abs(e) AS DOUBLE) / nullif(actual, 0)), 4) AS mape,
+       {scaled(half_away('10000 * sum(e)', 'count(*)'), 10000)} AS mean_error
+FROM (SELECT p.*, f.x AS actual, CAST(round(predicted) AS BIGINT) - f.x AS e
+      FROM ({forecasts}) p JOIN filled f ON f.{by} = p.{by} AND f.pickup_date = p.forecast_date) GROUP BY ALL"""
+
+
+CTES = {"same_weekday": same_weekday, "holt_winters": holt_winters, "sarima": sarima}
+
+
+def backtest(base: str, by: str, model: str, horizon: int = 7, origins: int = 14, step: int = 1) -> str:
+    return (f"{filled(base, by)}, {CTES[model](by, horizon, origins, step)}"
+            + errors(f"SELECT * FROM {model}", by, f"{by}, horizon"))
+
+
+def comparison(base: str, by: str, horizon: int = 7, origins: int = 14, step: int = 1) -> str:
+    models = ", ".join(cte(by, horizon, origins, step) for cte in CTES.values())
+    union = " UNION ALL ".join(f"SELECT {by}, forecast_date, predicted, '{name}' AS model FROM {name}" for name in CTES)
+    return f"""{filled(base, by)}, {models}, compared AS ({errors(union, by, f"{by}, model")})
+SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY mae, rmse, model) AS INTEGER) AS place FROM compared"""
+
+
+def holt_winters_forecast(base: str, by: str, horizon: int = 7) -> str:
+    weight = "a * (1 + j * b) + CASE WHEN j % 7 = 0 THEN g * (1 - a) ELSE 0 END"
+    return f"""{filled(base, by)}, {holt_winters(by, horizon, 0, 1)}, widths AS (
+  SELECT *, 1.96::DOUBLE * sigma * sqrt(1 + coalesce(list_sum(
+    [({weight}) * ({weight}) for j in range(1, horizon)]), 0)) AS width FROM holt_winters)
+SELECT {by}, forecast_date, horizon, CAST(round(predicted) AS BIGINT) AS predicted_trip_count,
+       CAST(round(greatest(predicted - width, 0)) AS BIGINT) AS lower_bound,
+       CAST(round(predicted + width) AS BIGINT) AS upper_bound, a AS alpha, b AS beta, g AS gamma,
+       round(sigma, 4) AS sigma
+FROM widths"""
+
+
+def sarima_forecast(base: str, by: str, horizon: int = 7) -> str:
+    return f"""{filled(base, by)}, {sarima(by, horizon, 0, 1)}
+SELECT {by}, forecast_date, horizon, CAST(round(predicted) AS BIGINT) AS predicted_trip_count,
+       round(c, 6) + 0 AS c, round(phi, 6) + 0 AS phi, round(seasonal_phi, 6) + 0 AS seasonal_phi
+FROM sarima"""
+
+
 ZONE_NAMES = ", zone_name, borough"
 MORNING = "pickup_hour = 8 AND pickup_date <= DATE '2024-01-25'"
 ASIA = ("borough = 'ASIA'", "borough = 'ASIA'")
@@ -133,4 +274,16 @@ def oracle_sql() -> dict[str, str]:
         "zone_lisa": lisa(zone_values(), ZONE_NAMES, RANKED_OTHERS, 999, 0.05),
         "zone_lisa_filtered": lisa(zone_values(MORNING), ZONE_NAMES, RANKED_OTHERS, 199, 0.1),
         "parcel_lisa": lisa(PARCEL_VALUES, "", NEAR_OTHERS, 99, 0.05),
+        "forecast_backtest": backtest(BASE, "borough", "same_weekday"),
+        "forecast_backtest_long": backtest(LONG_BASE, "borough", "same_weekday", 30, 26, 7),
+        "forecast_backtest_zones": backtest(BASE, "location_id", "same_weekday", 14, 4, 3),
+        "holt_winters_backtest": backtest(BASE, "borough", "holt_winters"),
+        "sarima_backtest": backtest(BASE, "borough", "sarima"),
+        "holt_winters_forecast": holt_winters_forecast(BASE, "borough", 14),
+        "holt_winters_zones": holt_winters_forecast(BASE, "location_id"),
+        "holt_winters_forecast_long": holt_winters_forecast(LONG_BASE, "borough", 30),
+        "sarima_forecast": sarima_forecast(BASE, "borough", 14),
+        "sarima_forecast_long": sarima_forecast(LONG_BASE, "borough", 30),
+        "forecast_comparison": comparison(BASE, "borough"),
+        "forecast_comparison_zones": comparison(BASE, "location_id", 7, 7, 1),
     }

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.filters import NO_FILTERS, Filters
+from zonetide.operators import forecasting as fc
 from zonetide.operators import spatial_statistics as stats
 from zonetide.operators.adjacency import zone_adjacency
-from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand
+from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand, long_demand
 from zonetide.sources import fixtures as fx
 
 
@@ -34,6 +35,17 @@ def _parcel_statistic(operator: Callable[..., DataFrame], **kwargs) -> Query:
         parcel_values(spark, sf), zone_adjacency(fx.parcels(spark, sf)), **kwargs)
 
 
+def _on_demand(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    return lambda spark, sf: operator(demand(spark, sf), *args, **kwargs)
+
+
+def _on_long_demand(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    return lambda spark, sf: operator(long_demand(spark, sf), *args, **kwargs)
+
+
+ZONE = ("location_id",)
+
+
 def queries() -> dict[str, Query]:
     return {
         "zone_gi_star": _zone_statistic(stats.gi_star),
@@ -46,4 +58,16 @@ def queries() -> dict[str, Query]:
         "zone_lisa": _zone_statistic(stats.lisa),
         "zone_lisa_filtered": _zone_statistic(stats.lisa, MORNING, permutations=199, alpha=0.1),
         "parcel_lisa": _parcel_statistic(stats.lisa, permutations=99),
+        "forecast_backtest": _on_demand(fc.forecast_backtest),
+        "forecast_backtest_long": _on_long_demand(fc.forecast_backtest, horizon=30, origins=26, step=7),
+        "forecast_backtest_zones": _on_demand(fc.forecast_backtest, ZONE, horizon=14, origins=4, step=3),
+        "holt_winters_backtest": _on_demand(fc.forecast_backtest, model="holt_winters"),
+        "sarima_backtest": _on_demand(fc.forecast_backtest, model="sarima"),
+        "holt_winters_forecast": _on_demand(fc.holt_winters_forecast, horizon=14),
+        "holt_winters_zones": _on_demand(fc.holt_winters_forecast, ZONE),
+        "holt_winters_forecast_long": _on_long_demand(fc.holt_winters_forecast, horizon=30),
+        "sarima_forecast": _on_demand(fc.sarima_forecast, horizon=14),
+        "sarima_forecast_long": _on_long_demand(fc.sarima_forecast, horizon=30),
+        "forecast_comparison": _on_demand(fc.forecast_comparison),
+        "forecast_comparison_zones": _on_demand(fc.forecast_comparison, ZONE, origins=7),
     }

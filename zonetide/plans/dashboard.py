@@ -16,6 +16,8 @@ from zonetide.operators.classes import demand_classes
 from zonetide.operators.compare import compare_zones, comparison_series
 from zonetide.operators.export import to_features
 from zonetide.operators.forecast import demand_forecast
+from zonetide.operators.forecasting import (forecast_backtest, forecast_comparison, holt_winters_forecast,
+                                            sarima_forecast)
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import zone_details, zone_scores
 from zonetide.operators.spatial_statistics import gi_star, lisa, morans_i, zone_values
@@ -140,6 +142,19 @@ class Dashboard:
                  history_weeks: int = 4) -> DataFrame:
         return demand_forecast(self.demand, filters, forecast_days, history_weeks)
 
+    def holt_winters(self, by: Sequence[str] = ("borough",), horizon: int = 7) -> DataFrame:
+        return holt_winters_forecast(self.demand, by, horizon).orderBy(*by, "horizon")
+
+    def sarima(self, by: Sequence[str] = ("borough",), horizon: int = 7) -> DataFrame:
+        return sarima_forecast(self.demand, by, horizon).orderBy(*by, "horizon")
+
+    def forecast_evaluation(self, by: Sequence[str] = ("borough",), model: str = "same_weekday",
+                            horizon: int = 7, origins: int = 14) -> DataFrame:
+        return forecast_backtest(self.demand, by, model, horizon, origins).orderBy(*by, "horizon")
+
+    def model_comparison(self, by: Sequence[str] = ("borough",), horizon: int = 7, origins: int = 14) -> DataFrame:
+        return forecast_comparison(self.demand, by, horizon, origins).orderBy(*by, "place")
+
     def _all_details(self, filters: Filters) -> DataFrame:
         return self._labelled(zone_details(self.demand, self.zones, self.adjacency, filters))
 
