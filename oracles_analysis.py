@@ -257,6 +257,77 @@ SELECT {by}, forecast_date, horizon, CAST(round(predicted) AS BIGINT) AS predict
 FROM sarima"""
 
 
+# Sides of the parcels with 32 steps: corners stay, and the middle of a side that is bent by more than 0.0001.
+BORDERS = f"""WITH {PARCELS}, sides AS (
+  SELECT location_id, gx, gy, false AS upright FROM parcels
+  UNION ALL SELECT location_id, gx, gy + 1, false FROM parcels
+  UNION ALL SELECT location_id, gx, gy, true FROM parcels
+  UNION ALL SELECT location_id, gx + 1, gy, true FROM parcels), bent AS (
+  SELECT *, CASE WHEN NOT upright THEN ((gx * 5 + gy * 11) * 7 + 3) % 21 - 10 WHEN gx % 128 = 0 THEN 0
+            ELSE ((gx * 3 + gy * 13) * 7 + 3) % 21 - 10 END AS bend FROM sides)"""
+
+SIMPLIFIED_MAP = f"""{BORDERS}, points AS (
+  SELECT location_id, (gx + dx) * 0.25::DOUBLE AS x, (gy + dy) * 0.25::DOUBLE AS y
+  FROM parcels CROSS JOIN range(0, 2) a(dx) CROSS JOIN range(0, 2) b(dy)
+  UNION ALL SELECT location_id,
+    CASE WHEN upright THEN gx * 0.25::DOUBLE + bend * 0.000018::DOUBLE ELSE gx * 0.25::DOUBLE + 0.125 END,
+    CASE WHEN upright THEN gy * 0.25::DOUBLE + 0.125 ELSE gy * 0.25::DOUBLE + bend * 0.000018::DOUBLE END
+  FROM bent WHERE abs(bend) >= 6)
+SELECT DISTINCT location_id, round(x, 6) AS x, round(y, 6) AS y FROM points"""
+
+COMMON_BORDERS = f"""{BORDERS}, shared AS (
+  SELECT gx, gy, upright, CASE WHEN abs(max(bend)) >= 6 THEN 2 ELSE 1 END AS edges, count(*) AS zones
+  FROM bent GROUP BY 1, 2, 3)
+SELECT zones, CAST(sum(edges) AS BIGINT) AS edges FROM shared GROUP BY 1"""
+
+
+ZONES_FROM_GEOJSON = f"""WITH {PARCELS}
+SELECT location_id, zone_name, borough, CAST(s AS INTEGER) AS seq,
+       (gx + CASE WHEN s IN (1, 2) THEN 1 ELSE 0 END) * 0.25::DOUBLE AS x,
+       (gy + CASE WHEN s IN (2, 3) THEN 1 ELSE 0 END) * 0.25::DOUBLE AS y
+FROM parcels CROSS JOIN range(0, 5) r(s)"""
+
+METRIC = f"""WITH {PARCELS}, corners AS (
+  SELECT location_id, CAST(s AS INTEGER) AS seq,
+         (gx + 436 + CASE WHEN s IN (1, 2) THEN 1 ELSE 0 END) * 1000.0::DOUBLE AS x,
+         (gy + 4500 + CASE WHEN s IN (2, 3) THEN 1 ELSE 0 END) * 1000.0::DOUBLE AS y
+  FROM parcels CROSS JOIN range(0, 5) r(s))"""
+
+WEB_MERCATOR = f"""{METRIC}
+SELECT location_id, seq, round(degrees(x / 6378137), 7) AS lon,
+       round(degrees(2 * atan(exp(y / 6378137)) - pi() / 2), 7) AS lat FROM corners"""
+
+
+def utm() -> str:
+    """Zone 18: back from the grid by the series in the third flattening; latitude by Newton's method."""
+    beta = ("n / 2 - 2 * n2 / 3 + 37 * n3 / 96 - n4 / 360", "n2 / 48 + n3 / 15 - 437 * n4 / 1440",
+            "17 * n3 / 480 - 37 * n4 / 840", "4397 * n4 / 161280")
+
+    def waves(a: str, b: str) -> str:
+        return " - ".join(f"({c}) * {a}({2 * j} * u) * {b}({2 * j} * v)" for j, c in enumerate(beta, start=1))
+
+    steps = []
+    for i in range(5):
+        # tau is the tangent of the latitude; its conformal counterpart has to become tau0.
+        sigma = f"sinh(e * atanh(e * t{i} / sqrt(1 + t{i} * t{i})))"
+        steps.append(f"""s{i} AS (SELECT *, t{i} * sqrt(1 + pow({sigma}, 2)) - {sigma} * sqrt(1 + t{i} * t{i}) AS c{i}
+  FROM {f"t{i}" if i else "start"}), t{i + 1} AS (
+  SELECT *, t{i} + (tau0 - c{i}) / sqrt(1 + c{i} * c{i}) * (1 + (1 - e * e) * t{i} * t{i})
+         / ((1 - e * e) * sqrt(1 + t{i} * t{i})) AS t{i + 1} FROM s{i})""")
+    return f"""{METRIC}, ellipsoid AS (
+  SELECT f / (2 - f) AS n, pow(f / (2 - f), 2) AS n2, pow(f / (2 - f), 3) AS n3, pow(f / (2 - f), 4) AS n4,
+         sqrt(f * (2 - f)) AS e
+  FROM (SELECT 1 / 298.257223563::DOUBLE AS f)), grid AS (
+  SELECT *, y / (0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n2 / 4 + n4 / 64)) AS u,
+         (x - 500000) / (0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n2 / 4 + n4 / 64)) AS v
+  FROM corners CROSS JOIN ellipsoid), sphere AS (
+  SELECT *, u - {waves('sin', 'cosh')} AS xi, v - {waves('cos', 'sinh')} AS eta FROM grid), start AS (
+  SELECT *, sin(xi) / sqrt(pow(sinh(eta), 2) + pow(cos(xi), 2)) AS tau0,
+         sin(xi) / sqrt(pow(sinh(eta), 2) + pow(cos(xi), 2)) AS t0 FROM sphere), {', '.join(steps)}
+SELECT location_id, seq, round(degrees(atan2(sinh(eta), cos(xi))) - 75, 7) AS lon,
+       round(degrees(atan(t5)), 7) AS lat FROM t5"""
+
+
 ZONE_NAMES = ", zone_name, borough"
 MORNING = "pickup_hour = 8 AND pickup_date <= DATE '2024-01-25'"
 ASIA = ("borough = 'ASIA'", "borough = 'ASIA'")
@@ -274,6 +345,11 @@ def oracle_sql() -> dict[str, str]:
         "zone_lisa": lisa(zone_values(), ZONE_NAMES, RANKED_OTHERS, 999, 0.05),
         "zone_lisa_filtered": lisa(zone_values(MORNING), ZONE_NAMES, RANKED_OTHERS, 199, 0.1),
         "parcel_lisa": lisa(PARCEL_VALUES, "", NEAR_OTHERS, 99, 0.05),
+        "zones_from_geojson": ZONES_FROM_GEOJSON,
+        "reproject_utm": utm(),
+        "reproject_web_mercator": WEB_MERCATOR,
+        "simplify_map": SIMPLIFIED_MAP,
+        "simplified_common_borders": COMMON_BORDERS,
         "forecast_backtest": backtest(BASE, "borough", "same_weekday"),
         "forecast_backtest_long": backtest(LONG_BASE, "borough", "same_weekday", 30, 26, 7),
         "forecast_backtest_zones": backtest(BASE, "location_id", "same_weekday", 14, 4, 3),

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.filters import NO_FILTERS, Filters
+from zonetide.functions import geometry
+from zonetide.functions.projection import PROJECTIONS, forward, projection_of, reproject
 from zonetide.operators import forecasting as fc
 from zonetide.operators import spatial_statistics as stats
 from zonetide.operators.adjacency import zone_adjacency
+from zonetide.operators.arcs import simplify_map
+from zonetide.operators.export import to_features
 from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand, long_demand
+from zonetide.plans.shared import new_folder
 from zonetide.sources import fixtures as fx
+from zonetide.sources.zones import read_zones
 
 
 def _zone_statistic(operator: Callable[..., DataFrame], filters: Filters = NO_FILTERS, **kwargs) -> Query:
@@ -43,6 +49,62 @@ def _on_long_demand(operator: Callable[..., DataFrame], *args, **kwargs) -> Quer
     return lambda spark, sf: operator(long_demand(spark, sf), *args, **kwargs)
 
 
+def _simplified_map(spark: SparkSession, sf: str) -> DataFrame:
+    thin = geometry.vertices(simplify_map(fx.bordered_parcels(spark, sf)))
+    return thin.select("location_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).distinct()
+
+
+def _zones_from_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels written in three ways into one folder, by id % 3: a feature a line; collections, one a line; indented collections
+    in Web Mercator."""
+    folder = new_folder(spark, "zones")
+    parcels = fx.parcels(spark, sf)
+    kind, number = F.col("location_id") % 3, F.floor(F.col("location_id") / 300)
+
+    def features(rows: DataFrame) -> DataFrame:
+        named = rows.drop("service_zone").withColumnsRenamed({"location_id": "LocationID", "zone_name": "zone"})
+        return to_features(named).select("feature", F.get_json_object("feature", "$.properties.LocationID")
+                                         .cast("int").alias("location_id"))
+
+    features(parcels.where(kind == 0)).select("feature").write.text(f"{folder}/lines")
+
+    def collections(rows: DataFrame, crs: str, gap: str) -> DataFrame:
+        head = f'{{"type":"FeatureCollection",{gap}"crs":{{"type":"name","properties":{{"name":"{crs}"}}}},{gap}"features":['
+        return features(rows).groupBy(number.alias("document")).agg(F.concat(
+            F.lit(head + gap), F.array_join(F.sort_array(F.collect_list("feature")), f",{gap}"),
+            F.lit(f"{gap}]}}")).alias("text"))
+
+    collections(parcels.where(kind == 1), "urn:ogc:def:crs:OGC:1.3:CRS84", "").select("text").write.text(f"{folder}/rows")
+
+    def to_metres(v: Column) -> Column:
+        x, y = forward(v["x"], v["y"], PROJECTIONS["EPSG:3857"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    metres = parcels.where(kind == 2).withColumn("geom", geometry.map_vertices(F.col("geom"), to_metres))
+    # One file for each document.
+    (collections(metres, "urn:ogc:def:crs:EPSG::3857", "\n").write.partitionBy("document").text(f"{folder}/documents"))
+    found = read_zones(spark, f"{folder}/*/*", source_crs="EPSG:4326")
+    points = geometry.vertices(found, "zone_name", "borough")
+    return points.select(F.col("location_id").cast("int").alias("location_id"), "zone_name", "borough", "seq",
+                         F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _reprojected(code: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        points = geometry.vertices(fx.metric_parcels(spark, sf))
+        degrees = reproject(points, projection_of(code))
+        return degrees.select("location_id", "seq", F.round("x", 7).alias("lon"), F.round("y", 7).alias("lat"))
+    return run
+
+
+def _common_borders(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the simplified parcels, by how many parcels have them."""
+    edges = geometry.edges(simplify_map(fx.bordered_parcels(spark, sf)))
+    one, other = (F.struct(F.col(f"x{end}").alias("x"), F.col(f"y{end}").alias("y")) for end in (1, 2))
+    return (edges.groupBy(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+            .agg(F.count("*").alias("zones")).groupBy("zones").agg(F.count("*").alias("edges")))
+
+
 ZONE = ("location_id",)
 
 
@@ -58,6 +120,11 @@ def queries() -> dict[str, Query]:
         "zone_lisa": _zone_statistic(stats.lisa),
         "zone_lisa_filtered": _zone_statistic(stats.lisa, MORNING, permutations=199, alpha=0.1),
         "parcel_lisa": _parcel_statistic(stats.lisa, permutations=99),
+        "zones_from_geojson": _zones_from_geojson,
+        "reproject_utm": _reprojected("EPSG:32618"),
+        "reproject_web_mercator": _reprojected("EPSG:3857"),
+        "simplify_map": _simplified_map,
+        "simplified_common_borders": _common_borders,
         "forecast_backtest": _on_demand(fc.forecast_backtest),
         "forecast_backtest_long": _on_long_demand(fc.forecast_backtest, horizon=30, origins=26, step=7),
         "forecast_backtest_zones": _on_demand(fc.forecast_backtest, ZONE, horizon=14, origins=4, step=3),

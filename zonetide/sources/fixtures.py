@@ -80,6 +80,44 @@ def wavy_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parcels(spark, sf_dir, F.array(F.array(ring)).cast(GEOMETRY))
 
 
+BORDER_STEPS = 32
+
+
+def _border(gx: Column, gy: Column, upright: bool) -> Column:
+    """Vertices, without the last one, of the side that starts at grid point (gx, gy): bent to its middle by -10 .. 10
+    steps of 0.000018, with a ripple of 0.000002. Upright sides on the left and right edge of the grid are straight."""
+    straight = (gx % PARCEL_COLUMNS == 0) if upright else F.lit(False)
+    number = gx * 3 + gy * 13 if upright else gx * 5 + gy * 11
+    bend = F.when(straight, 0).otherwise((number * 7 + 3) % 21 - 10) * 0.000018
+    half = BORDER_STEPS // 2
+
+    def vertex(k: Column) -> Column:
+        ripple = F.when(straight | (k % half == 0), 0).otherwise((k * 7 + gx) % 5 - 2) * 0.000001
+        off = bend * (1 - F.abs(k - half) / half) + ripple
+        step = k / BORDER_STEPS
+        x, y = (gx, gy + step) if upright else (gx + step, gy)
+        x, y = x * PARCEL_SIDE, y * PARCEL_SIDE
+        x, y = (x + off, y) if upright else (x, y + off)
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BORDER_STEPS - 1)), vertex)
+
+
+def bordered_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with 128 vertices each; neighbours have the vertices of their common side in common."""
+    gx, gy = _parcel_grid()
+
+    def backwards(side: Column, last: Column) -> Column:
+        """The side from its end to its start, without the start."""
+        return F.concat(F.slice(last, 1, 1), F.reverse(F.slice(side, 2, BORDER_STEPS - 1)))
+
+    low, right = _border(gx, gy, False), _border(gx + 1, gy, True)
+    high, left = _border(gx, gy + 1, False), _border(gx, gy, True)
+    far, over = _border(gx + 1, gy + 1, False), high
+    ring = F.concat(low, right, backwards(high, far), backwards(left, over), F.slice(low, 1, 1))
+    return _parcels(spark, sf_dir, F.array(F.array(ring)).cast(GEOMETRY))
+
+
 def mixed_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels of four shapes by id % 4: plain; with 64 edges of 2^-20 on the lower side; with a hole, which
     island -id fills; in two parts, left and right. Zone -1 is a bar below all others."""
@@ -117,6 +155,12 @@ def projected_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parcels(spark, sf_dir, square(gx + 900, gy + 100, 1000.0))
 
 
+def metric_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels of 1000 metres from (436 000, 4 500 000) on."""
+    gx, gy = _parcel_grid()
+    return _parcels(spark, sf_dir, square(gx + 436, gy + 4500, 1000.0))
+
+
 def faulty_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels with faults planted by id: kind = id % 11."""
     gx, gy = _parcel_grid()

@@ -3,54 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.functions.geometry import edges, map_vertices
-from zonetide.functions.projection import PROJECTIONS, inverse
+from zonetide.functions.projection import inverse, projection_of
 from zonetide.operators.adjacency import edge_pairs, with_turns
 from zonetide.schemas import GEOMETRY
 from zonetide.sources.trips import require_columns
 
 POSITIONS = "array<array<array<double>>>"
+# Coordinates stay text here, as their depth depends on the type.
+FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
+DOCUMENT = (f"{FEATURE}, crs struct<properties:struct<name:string>>, "
+            "features array<struct<properties:map<string,string>, geometry:struct<type:string, coordinates:string>>>")
 
 
 def read_zones(spark: SparkSession, path: str, source_crs: str | None = "EPSG:4326",
                names: dict[str, str] | None = None) -> DataFrame:
-    """Zones from GeoJSON: features one per line, or FeatureCollection documents.
+    """Zones from GeoJSON files: Features and FeatureCollections, one per line or one per file, in any mixture.
 
-    A ``crs`` member of a document takes the place of ``source_crs``. ``names`` maps the id, name and borough properties of the file; polygons become
-    multipolygons and coordinates longitude / latitude.
+    Each file is taken for what it is. A ``crs`` member holds for its own collection or feature in the place of ``source_crs``.
+    ``names`` maps the id, name and borough properties of the file; polygons become multipolygons and coordinates
+    longitude / latitude. Documents of another type raise ``ValueError``.
     """
     names = names or {"LocationID": "location_id", "zone": "zone_name", "borough": "borough"}
-    features = spark.read.text(path).where(F.trim("value") != "")
-    documents = spark.read.text(path, wholetext=True)  # a file holds 65 536 zones at most
-    documents = documents.where(F.get_json_object("value", "$.type") == "FeatureCollection")
-    if not documents.isEmpty():
-        declared = documents.select(F.regexp_extract(F.coalesce(
-            F.get_json_object("value", "$.crs.properties.name"), F.lit("")), "(EPSG|CRS84).*?([0-9]*)$", 0)
-            .alias("crs")).where("crs <> ''").distinct().collect()  # one row a document at most
-        codes = {"EPSG:4326" if "CRS84" in r.crs else f"EPSG:{r.crs.rsplit(':', 1)[-1]}" for r in declared}
-        if len(codes) > 1:
-            raise ValueError(f"The documents declare several coordinate systems: {sorted(codes)}")
-        source_crs = codes.pop() if codes else source_crs
-        features = documents.select(F.explode(F.from_json(
-            F.get_json_object("value", "$.features"), "array<string>")).alias("value"))
-
-    def text(json_path: str) -> Column:
-        return F.get_json_object("value", json_path)
-
-    kind, coordinates = text("$.geometry.type"), text("$.geometry.coordinates")
-    nested = (
-        F.when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{POSITIONS}>"))
-        .when(kind == "Polygon", F.array(F.from_json(coordinates, POSITIONS)))
-    )
-    parsed = features.select(
-        *[text(f"$.properties.{source}").alias(target) for source, target in names.items()],
-        text("$.properties.service_zone").alias("service_zone"),
-        map_vertices(nested, _vertex).alias("geom"))
-    return standardise_zones(parsed, source_crs)
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    kind = F.get_json_object("line", "$.type")
+    is_document = (kind.isin("Feature", "FeatureCollection") & F.json_object_keys("line").isNotNull()
+                   & F.col("line").endswith("}"))
+    # Zone files are few: each holds a part of at most 65 536 zones.
+    files = lines.where("line <> ''").groupBy("file").agg(
+        F.min(F.coalesce(is_document, F.lit(False))).alias("by_line")).collect()
+    documents = spark.createDataFrame([], DOCUMENT)
+    for by_line in (True, False):
+        chosen = [unquote(r["file"]) for r in files if r["by_line"] is by_line]
+        if chosen:
+            documents = documents.unionByName(
+                spark.read.schema(DOCUMENT).option("multiLine", not by_line).json(chosen))
+    single = F.array(F.struct("properties", "geometry"))
+    features = documents.select(F.col("crs.properties.name").alias("crs"), F.explode(
+        F.when(F.col("type") == "Feature", single).otherwise(F.coalesce("features", F.array(F.struct(
+            F.raise_error(F.lit("not a GeoJSON Feature or FeatureCollection")).cast("map<string,string>")
+            .alias("properties"), F.lit(None).cast("struct<type:string, coordinates:string>").alias("geometry")))))).alias("f"))
+    # One plan for each coordinate system declared.
+    declared = sorted({r["crs"] for r in documents.select("crs.properties.name").distinct()
+                       .withColumnRenamed("name", "crs").collect()} if files else {None}, key=str)
+    parts = [(features.where(F.col("crs").eqNullSafe(F.lit(name))).select("f.properties", "f.geometry"),
+              _code(name) if name else source_crs) for name in declared]
+    zones = None
+    for found, crs in parts:
+        kind, coordinates = F.col("geometry.type"), F.col("geometry.coordinates")
+        nested = (F.when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{POSITIONS}>"))
+                  .when(kind == "Polygon", F.array(F.from_json(coordinates, POSITIONS))))
+        part = standardise_zones(found.select(
+            *[F.col("properties")[source].alias(target) for source, target in names.items()],
+            F.col("properties")["service_zone"].alias("service_zone"),
+            map_vertices(nested, _vertex).alias("geom")), crs)
+        zones = part if zones is None else zones.unionByName(part)
+    return zones
+
+
+def _code(name: str) -> str:
+    """EPSG code of a ``crs`` name such as urn:ogc:def:crs:EPSG::2263."""
+    return "EPSG:4326" if name.upper().endswith("CRS84") else f"EPSG:{name.rsplit(':', 1)[-1]}"
 
 
 def _vertex(position: Column) -> Column:
@@ -67,13 +85,8 @@ def standardise_zones(zones: DataFrame, source_crs: str | None = "EPSG:4326") ->
     require_columns(zones, ("location_id", "zone_name", "borough", "geom"))
     if source_crs is None:
         raise ValueError("The source does not declare its coordinate system.")
-    geom = F.col("geom").cast(GEOMETRY)
-    if source_crs != "EPSG:4326":
-        if source_crs not in PROJECTIONS:
-            raise ValueError(f"Unknown coordinate system {source_crs}; known are EPSG:4326, "
-                             f"{', '.join(sorted(PROJECTIONS))}.")
-        projection = PROJECTIONS[source_crs]
-
+    geom, projection = F.col("geom").cast(GEOMETRY), projection_of(source_crs)
+    if projection is not None:
         def to_degrees(v: Column) -> Column:
             lon, lat = inverse(v["x"], v["y"], projection)
             return F.struct(lon.alias("x"), lat.alias("y"))
