@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles import BASE, LONG_BASE, PARCELS, half_away, half_up, scaled
+from oracles import BASE, LONG_BASE, LONG_TRIPS, PARCELS, TRIPS, ZONES, half_away, half_up, scaled
 
 
 def two_sided(z: str) -> str:
@@ -328,6 +328,94 @@ SELECT location_id, seq, round(degrees(atan2(sinh(eta), cos(xi))) - 75, 7) AS lo
        round(degrees(atan(t5)), 7) AS lat FROM t5"""
 
 
+# Destinations of the event trips follow from k, those of line items from the part.
+FLOWS = f"""WITH RECURSIVE {ZONES}, {TRIPS}, flows AS (
+  SELECT pickup_date, pickup_hour, t.location_id AS origin_id, CAST(k % 25 + 1 AS SMALLINT) AS destination_id,
+         o.borough, count(*) AS n, CAST(sum(seconds) AS BIGINT) AS seconds, CAST(sum(cents) AS BIGINT) AS cents
+  FROM trips t JOIN zones o ON o.location_id = t.location_id JOIN zones d ON d.location_id = k % 25 + 1 GROUP BY ALL)"""
+LONG_FLOWS = f"""WITH {ZONES}, {LONG_TRIPS.replace("SELECT CAST(pickup", "SELECT l_partkey % 25 + 1 AS destination, CAST(pickup", 1)},
+flows AS (
+  SELECT pickup_date, pickup_hour, location_id AS origin_id, CAST(destination AS SMALLINT) AS destination_id,
+         count(*) AS n, CAST(sum(seconds) AS BIGINT) AS seconds, CAST(sum(cents) AS BIGINT) AS cents
+  FROM trips GROUP BY ALL)"""
+
+
+def od_matrix(flows: str, where: str = "true") -> str:
+    return f"""{flows}, pairs AS (
+  SELECT origin_id, destination_id, CAST(sum(n) AS BIGINT) AS n, sum(seconds) AS seconds, sum(cents) AS cents
+  FROM flows WHERE {where} GROUP BY 1, 2), shares AS (
+  SELECT *, sum(n) OVER (PARTITION BY origin_id) AS out_n, sum(n) OVER (PARTITION BY destination_id) AS in_n FROM pairs)
+SELECT origin_id, destination_id, n AS trip_count,
+       {scaled(half_up('1000000 * n', 'out_n'), 1000000)} AS origin_share,
+       {scaled(half_up('1000000 * n', 'in_n'), 1000000)} AS destination_share,
+       {scaled(half_up('100 * seconds', 'n'), 100)} AS avg_duration_seconds,
+       {scaled(half_up('cents', 'n'), 100)} AS avg_total_amount FROM shares"""
+
+
+def flow_balance(zones: str = "true") -> str:
+    def total(condition: str) -> str:
+        return f"CAST(coalesce(sum(n) FILTER (WHERE {condition}), 0) AS BIGINT)"
+
+    out, into = "origin_id = z AND destination_id <> z", "destination_id = z AND origin_id <> z"
+    return f"""{FLOWS}, pairs AS (
+  SELECT origin_id, destination_id, sum(n) AS n FROM flows GROUP BY 1, 2), touched AS (
+  SELECT z.location_id AS z, zone_name, z.borough, p.* FROM (SELECT * FROM zones WHERE {zones}) z
+  LEFT JOIN pairs p ON p.origin_id = z.location_id OR p.destination_id = z.location_id)
+SELECT z AS location_id, zone_name, borough, {total(out)} AS outflow, {total(into)} AS inflow,
+       {total("origin_id = z AND destination_id = z")} AS internal, {total(into)} - {total(out)} AS net_inflow,
+       CAST(count(*) FILTER (WHERE {out}) AS INTEGER) AS destinations,
+       CAST(count(*) FILTER (WHERE {into}) AS INTEGER) AS origins
+FROM touched GROUP BY 1, 2, 3"""
+
+
+# Rows and columns are scaled in turn, 400 times over.
+BALANCED = f"""{FLOWS}, seed AS (
+  SELECT origin_id AS i, destination_id AS j, CAST(sum(n) AS BIGINT) AS n FROM flows GROUP BY 1, 2), late AS (
+  SELECT * FROM flows WHERE pickup_date >= DATE '2024-01-16'), row_totals AS (
+  SELECT origin_id AS i, CAST(sum(n) AS DOUBLE) AS total FROM late GROUP BY 1), column_totals AS (
+  SELECT destination_id AS j, CAST(sum(n) AS DOUBLE) AS total FROM late GROUP BY 1), fit AS (
+  SELECT 0 AS step, j, 1.0::DOUBLE AS factor FROM (SELECT DISTINCT j FROM seed)
+  UNION ALL
+  SELECT step + 1, s.j, coalesce(max(c.total) / sum(s.n * r.factor), 0) AS factor
+  FROM (SELECT step, s.i, coalesce(max(t.total) / sum(s.n * f.factor), 0) AS factor
+        FROM fit f JOIN seed s ON s.j = f.j LEFT JOIN row_totals t ON t.i = s.i WHERE step < 400 GROUP BY 1, 2) r
+  JOIN seed s ON s.i = r.i LEFT JOIN column_totals c ON c.j = s.j GROUP BY 1, 2), last AS (
+  SELECT * FROM fit WHERE step = 400), rows_ AS (
+  SELECT s.i, coalesce(max(t.total) / sum(s.n * f.factor), 0) AS factor
+  FROM last f JOIN seed s ON s.j = f.j LEFT JOIN row_totals t ON t.i = s.i GROUP BY 1)
+SELECT s.i AS origin_id, s.j AS destination_id, s.n AS trip_count, round(s.n * r.factor * c.factor, 3) AS fitted
+FROM seed s JOIN rows_ r ON r.i = s.i JOIN last c ON c.j = s.j"""
+
+
+def accessibility(links: str, values: str, minutes: tuple[int, ...], rounds: int) -> str:
+    """Relaxed over all links in every round, links of a zone to itself among them."""
+    return f"""{links}, stays AS (
+  SELECT * FROM links WHERE c <= {60 * max(minutes)}
+  UNION ALL SELECT location_id, location_id, 0 FROM ({values})), times AS (
+  SELECT 0 AS step, location_id AS i, location_id AS j, CAST(0 AS BIGINT) AS s FROM ({values})
+  UNION ALL
+  SELECT step + 1, t.i, l.b AS j, min(s + c) AS s FROM times t JOIN stays l ON l.a = t.j
+  WHERE step < {rounds} AND s + c <= {60 * max(minutes)} GROUP BY 1, 2, 3), reached AS (
+  SELECT i, minutes, count(*) AS zones, CAST(sum(x) AS BIGINT) AS x, sum(s * x) AS weighted
+  FROM times t JOIN ({values}) v ON v.location_id = t.j CROSS JOIN (SELECT unnest({list(minutes)}) AS minutes)
+  WHERE step = {rounds} AND s <= 60 * minutes GROUP BY 1, 2)
+SELECT i AS location_id, CAST(minutes AS INTEGER) AS minutes, CAST(zones AS INTEGER) AS reachable_zones,
+       x AS reachable_trips, {scaled(half_up(f'1000000 * x', f'(SELECT CAST(sum(x) AS BIGINT) FROM ({values}))'), 1000000)}
+         AS trip_share, {scaled(half_up('100 * weighted', '60 * x'), 100)} AS mean_minutes
+FROM reached"""
+
+
+ZONE_LINKS = f"""{FLOWS}, links AS (
+  SELECT a.location_id AS a, b.location_id AS b, greatest(coalesce(m.mean, 900), 1) AS c
+  FROM zones a JOIN zones b ON a.location_id <> b.location_id AND greatest(abs(a.gx - b.gx), abs(a.gy - b.gy)) = 1
+  LEFT JOIN (SELECT origin_id, destination_id, {half_up('sum(seconds)', 'sum(n)')} AS mean FROM flows GROUP BY 1, 2) m
+    ON m.origin_id = a.location_id AND m.destination_id = b.location_id)"""
+ZONE_TRIPS = """SELECT z.location_id, CAST(coalesce(t.x, 0) AS BIGINT) AS x FROM zones z
+  LEFT JOIN (SELECT location_id, count(*) AS x FROM trips GROUP BY 1) t ON t.location_id = z.location_id"""
+PARCEL_LINKS = f"""{PARCEL_VALUES.replace("WITH", "WITH RECURSIVE", 1)}, {STEPS}, links AS (
+  SELECT location_id AS a, other AS b, 240 + (location_id * 7 + other * 3) % 5 * 60 AS c FROM pairs)"""
+
+
 ZONE_NAMES = ", zone_name, borough"
 MORNING = "pickup_hour = 8 AND pickup_date <= DATE '2024-01-25'"
 ASIA = ("borough = 'ASIA'", "borough = 'ASIA'")
@@ -345,6 +433,17 @@ def oracle_sql() -> dict[str, str]:
         "zone_lisa": lisa(zone_values(), ZONE_NAMES, RANKED_OTHERS, 999, 0.05),
         "zone_lisa_filtered": lisa(zone_values(MORNING), ZONE_NAMES, RANKED_OTHERS, 199, 0.1),
         "parcel_lisa": lisa(PARCEL_VALUES, "", NEAR_OTHERS, 99, 0.05),
+        "od_rollup": f"""{FLOWS}
+SELECT pickup_date, pickup_hour, origin_id, destination_id, borough, n AS trip_count, seconds AS duration_sum,
+       {scaled('cents', 100)} AS amount_sum FROM flows""",
+        "od_matrix": od_matrix(FLOWS),
+        "od_matrix_filtered": od_matrix(FLOWS, MORNING),
+        "od_matrix_long": od_matrix(LONG_FLOWS),
+        "flow_balance": flow_balance(),
+        "flow_balance_borough": flow_balance("borough = 'ASIA'"),
+        "od_balanced": BALANCED,
+        "zone_accessibility": accessibility(ZONE_LINKS, ZONE_TRIPS, (15, 30, 60), 25),
+        "parcel_accessibility": accessibility(PARCEL_LINKS, "SELECT location_id, x FROM vals", (5, 15), 4),
         "zones_from_geojson": ZONES_FROM_GEOJSON,
         "reproject_utm": utm(),
         "reproject_web_mercator": WEB_MERCATOR,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from zonetide.functions import geometry
 from zonetide.functions.projection import PROJECTIONS, forward, projection_of, reproject
 from zonetide.operators import forecasting as fc
 from zonetide.operators import spatial_statistics as stats
+from zonetide.operators.accessibility import accessibility, link_times
 from zonetide.operators.adjacency import zone_adjacency
 from zonetide.operators.arcs import simplify_map
 from zonetide.operators.export import to_features
-from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand, long_demand
+from zonetide.operators.flows import balanced, flow_balance, od_matrix, od_rollup
+from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand, long_demand, trips
 from zonetide.plans.shared import new_folder
 from zonetide.sources import fixtures as fx
 from zonetide.sources.zones import read_zones
@@ -97,6 +100,33 @@ def _reprojected(code: str) -> Query:
     return run
 
 
+def flows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows of the event fixture."""
+    return od_rollup(trips(spark, sf), fx.zones(spark, sf))
+
+
+def _balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """All flows, fitted to the totals of the days from January 16 on."""
+    everything = flows(spark, sf)
+    late = everything.where(F.col("pickup_date") >= F.lit(date(2024, 1, 16)))
+    total = F.sum("trip_count").alias("total")
+    fitted = balanced(od_matrix(everything), late.groupBy("origin_id").agg(total), late.groupBy("destination_id").agg(total))
+    return fitted.select("origin_id", "destination_id", "trip_count", F.round("fitted", 3).alias("fitted"))
+
+
+def _accessibility(spark: SparkSession, sf: str) -> DataFrame:
+    values = stats.zone_values(demand(spark, sf), fx.zones(spark, sf).drop("geom"))
+    return accessibility(values, link_times(flows(spark, sf), adjacency(spark, sf)))
+
+
+def _parcel_accessibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Links take 4 to 8 minutes, by the ids of both ends."""
+    seconds = 240 + (F.col("location_id") * 7 + F.col("neighbour_id") * 3) % 5 * 60
+    links = zone_adjacency(fx.parcels(spark, sf)).select(
+        F.col("location_id").alias("origin_id"), F.col("neighbour_id").alias("destination_id"), seconds.alias("seconds"))
+    return accessibility(parcel_values(spark, sf), links, (5, 15))
+
+
 def _common_borders(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of the simplified parcels, by how many parcels have them."""
     edges = geometry.edges(simplify_map(fx.bordered_parcels(spark, sf)))
@@ -120,6 +150,17 @@ def queries() -> dict[str, Query]:
         "zone_lisa": _zone_statistic(stats.lisa),
         "zone_lisa_filtered": _zone_statistic(stats.lisa, MORNING, permutations=199, alpha=0.1),
         "parcel_lisa": _parcel_statistic(stats.lisa, permutations=99),
+        "od_rollup": lambda s, sf: flows(s, sf).select(
+            "pickup_date", "pickup_hour", "origin_id", "destination_id", "borough", "trip_count", "duration_sum",
+            F.col("amount_sum").cast("double").alias("amount_sum")),
+        "od_matrix": lambda s, sf: od_matrix(flows(s, sf)),
+        "od_matrix_filtered": lambda s, sf: od_matrix(flows(s, sf), MORNING),
+        "od_matrix_long": lambda s, sf: od_matrix(od_rollup(fx.lineitem_trips(s, sf), fx.zones(s, sf))),
+        "flow_balance": lambda s, sf: flow_balance(flows(s, sf), fx.zones(s, sf)),
+        "flow_balance_borough": lambda s, sf: flow_balance(flows(s, sf), fx.zones(s, sf), ASIA),
+        "od_balanced": _balanced,
+        "zone_accessibility": _accessibility,
+        "parcel_accessibility": _parcel_accessibility,
         "zones_from_geojson": _zones_from_geojson,
         "reproject_utm": _reprojected("EPSG:32618"),
         "reproject_web_mercator": _reprojected("EPSG:3857"),
