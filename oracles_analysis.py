@@ -416,6 +416,55 @@ PARCEL_LINKS = f"""{PARCEL_VALUES.replace("WITH", "WITH RECURSIVE", 1)}, {STEPS}
   SELECT location_id AS a, other AS b, 240 + (location_id * 7 + other * 3) % 5 * 60 AS c FROM pairs)"""
 
 
+# An edge belongs to the tree if its ends aren't joined by lighter ones.
+TREE = f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, counted AS (
+  SELECT location_id, pickup_hour AS h, sum(n) AS n FROM demand GROUP BY 1, 2), profile AS (
+  SELECT z.location_id, h, coalesce({half_up('1000 * n', 'sum(n) OVER (PARTITION BY z.location_id)')}, 0) AS p
+  FROM zones z CROSS JOIN range(0, 24) hours(h) LEFT JOIN counted USING (location_id, h)), edges AS (
+  SELECT a.location_id AS a, b.location_id AS b, CAST(sum((p.p - q.p) * (p.p - q.p)) AS BIGINT) AS weight
+  FROM zones a JOIN zones b ON a.location_id < b.location_id AND greatest(abs(a.gx - b.gx), abs(a.gy - b.gy)) = 1
+  JOIN profile p ON p.location_id = a.location_id JOIN profile q ON q.location_id = b.location_id AND q.h = p.h
+  GROUP BY 1, 2), lighter AS (
+  SELECT e.a AS ea, e.b AS eb, l.a, l.b FROM edges e JOIN edges l ON (l.weight, l.a, l.b) < (e.weight, e.a, e.b)),
+joined AS (
+  SELECT a AS ea, b AS eb, a AS node FROM edges
+  UNION SELECT j.ea, j.eb, CASE WHEN l.a = j.node THEN l.b ELSE l.a END
+  FROM joined j JOIN lighter l ON l.ea = j.ea AND l.eb = j.eb AND j.node IN (l.a, l.b)), tree AS (
+  SELECT * FROM edges e WHERE NOT EXISTS (
+    SELECT 1 FROM joined j WHERE j.ea = e.a AND j.eb = e.b AND j.node = e.b))"""
+
+
+def segments(cuts: int) -> str:
+    """All edges of the forest are tried in each step: what lies on their far side, and what lies in their whole part."""
+    steps, forest = [], "tree"
+    for i in range(cuts):
+        steps.append(f"""side{i} AS (
+  SELECT a, b, b AS node FROM {forest}
+  UNION SELECT s.a, s.b, CASE WHEN f.a = s.node THEN f.b ELSE f.a END
+  FROM side{i} s JOIN {forest} f ON s.node IN (f.a, f.b) AND NOT (f.a = s.a AND f.b = s.b)), whole{i} AS (
+  SELECT a, b, a AS node FROM {forest}
+  UNION SELECT w.a, w.b, CASE WHEN f.a = w.node THEN f.b ELSE f.a END
+  FROM whole{i} w JOIN {forest} f ON w.node IN (f.a, f.b)), hours{i} AS (
+  SELECT w.a, w.b, h, count(s.node) AS n, count(*) AS all_n, coalesce(sum(p) FILTER (s.node IS NOT NULL), 0) AS p,
+         sum(p) AS all_p, coalesce(sum(p * p) FILTER (s.node IS NOT NULL), 0) AS q, sum(p * p) AS all_q
+  FROM whole{i} w JOIN profile r ON r.location_id = w.node
+  LEFT JOIN side{i} s ON s.a = w.a AND s.b = w.b AND s.node = w.node GROUP BY 1, 2, 3), gains{i} AS (
+  SELECT a, b, (CAST(sum(all_q) AS DOUBLE) - CAST(sum(all_p * all_p) AS DOUBLE) / max(all_n))
+       - (CAST(sum(q) AS DOUBLE) - CAST(sum(p * p) AS DOUBLE) / max(n))
+       - (CAST(sum(all_q - q) AS DOUBLE) - CAST(sum((all_p - p) * (all_p - p)) AS DOUBLE) / (max(all_n) - max(n))) AS gain
+  FROM hours{i} GROUP BY 1, 2), forest{i} AS (
+  SELECT f.* FROM {forest} f JOIN gains{i} g USING (a, b)
+  QUALIFY row_number() OVER (ORDER BY gain DESC, a, b) > 1)""")
+        forest = f"forest{i}"
+    return f"""{TREE}, {', '.join(steps)}, reach AS (
+  SELECT location_id, location_id AS node FROM zones
+  UNION SELECT r.location_id, CASE WHEN f.a = r.node THEN f.b ELSE f.a END
+  FROM reach r JOIN {forest} f ON r.node IN (f.a, f.b)), named AS (
+  SELECT location_id, min(node) AS segment FROM reach GROUP BY 1), totals AS (
+  SELECT location_id, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY 1)
+SELECT location_id, coalesce(n, 0) AS trip_count, segment FROM named LEFT JOIN totals USING (location_id)"""
+
+
 ZONE_NAMES = ", zone_name, borough"
 MORNING = "pickup_hour = 8 AND pickup_date <= DATE '2024-01-25'"
 ASIA = ("borough = 'ASIA'", "borough = 'ASIA'")
@@ -444,6 +493,8 @@ SELECT pickup_date, pickup_hour, origin_id, destination_id, borough, n AS trip_c
         "od_balanced": BALANCED,
         "zone_accessibility": accessibility(ZONE_LINKS, ZONE_TRIPS, (15, 30, 60), 25),
         "parcel_accessibility": accessibility(PARCEL_LINKS, "SELECT location_id, x FROM vals", (5, 15), 4),
+        "zone_spanning_tree": TREE + " SELECT a, b, weight FROM tree",
+        "zone_segments": segments(3),
         "zones_from_geojson": ZONES_FROM_GEOJSON,
         "reproject_utm": utm(),
         "reproject_web_mercator": WEB_MERCATOR,

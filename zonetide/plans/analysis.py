@@ -18,6 +18,7 @@ from zonetide.operators.adjacency import zone_adjacency
 from zonetide.operators.arcs import simplify_map
 from zonetide.operators.export import to_features
 from zonetide.operators.flows import balanced, flow_balance, od_matrix, od_rollup
+from zonetide.operators.segments import hourly_profiles, spanning_tree, weighted_edges, zone_segments
 from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand, long_demand, trips
 from zonetide.plans.shared import new_folder
 from zonetide.sources import fixtures as fx
@@ -127,6 +128,18 @@ def _parcel_accessibility(spark: SparkSession, sf: str) -> DataFrame:
     return accessibility(parcel_values(spark, sf), links, (5, 15))
 
 
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return hourly_profiles(demand(spark, sf), fx.zones(spark, sf).drop("geom"))
+
+
+def _spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return spanning_tree(weighted_edges(_profiles(spark, sf), adjacency(spark, sf)))
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    return zone_segments(_profiles(spark, sf), adjacency(spark, sf), 4)
+
+
 def _common_borders(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of the simplified parcels, by how many parcels have them."""
     edges = geometry.edges(simplify_map(fx.bordered_parcels(spark, sf)))
@@ -161,6 +174,8 @@ def queries() -> dict[str, Query]:
         "od_balanced": _balanced,
         "zone_accessibility": _accessibility,
         "parcel_accessibility": _parcel_accessibility,
+        "zone_spanning_tree": _spanning_tree,
+        "zone_segments": _segments,
         "zones_from_geojson": _zones_from_geojson,
         "reproject_utm": _reprojected("EPSG:32618"),
         "reproject_web_mercator": _reprojected("EPSG:3857"),
