@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.operators.adjacency import zone_adjacency
+from zonetide.operators.arcs import simplify_map
 from zonetide.operators.cleaning import clean_trips
 from zonetide.operators.rollup import zone_hourly_demand
-from zonetide.operators.simplify import DEFAULT_TOLERANCE, simplify
+from zonetide.operators.simplify import DEFAULT_TOLERANCE
 from zonetide.schemas import REJECT_SCHEMA, ROLLUP_SCHEMA, TRIP_KEY, TRIP_TYPES, ZONE_SCHEMA
 from zonetide.sources.trips import read_trips
 from zonetide.sources.zones import validate_zones
@@ -112,7 +113,7 @@ class Warehouse:
         return self._latest("core/zones", ZONE_TABLE_SCHEMA)
 
     def published_zones(self) -> DataFrame:
-        """Zones with simplified boundaries, for map results."""
+        """Zones with simplified boundaries, for map results; neighbours keep their common border."""
         return self._latest("analytics/published_zones", ZONE_TABLE_SCHEMA)
 
     def adjacency(self) -> DataFrame:
@@ -135,7 +136,7 @@ class Warehouse:
         self._write_version(upsert_zones(self.zones(), incoming), "core/zones", version)
         zones = self.zones()
         self._write_version(zone_adjacency(zones), "analytics/zone_adjacency", version)
-        self._write_version(simplify(zones, tolerance), "analytics/published_zones", version)
+        self._write_version(simplify_map(zones, tolerance), "analytics/published_zones", version)
         self._rename_in_rollup(zones.select("location_id", "zone_name", "borough"))
 
     def _rename_in_rollup(self, names: DataFrame) -> None:
