@@ -1,5 +1,6 @@
 """License scan: short sentences in long lines, several licenses side by side, wrapped notices."""
 
+import random
 import textwrap
 
 import pytest
@@ -81,3 +82,59 @@ def test_words_that_are_added_do_not_hide_a_license():
     text = b"all cgglmlmjed lfnkaleagk rights clolm imlfcdml reserved"
     assert [(r[2], r[5], r[7]) for r in licenses.Scanner(licenses.TEMPLATES).find(text + b" (licensed)")] == [
         ("all-rights-reserved", 1.0, 4)]
+
+
+class Constant:
+    """A compressor that says nothing about its input."""
+
+    def compress(self, data):
+        return b"x" * 40
+
+
+def test_without_compression_nothing_is_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    text = PROSE.encode() + licenses.TEMPLATES["MIT"].lower().encode()
+    assert [r[2] for r in scanner.find(text)] == ["MIT"]
+    scanner.known.clear()
+    scanner.plain, scanner.given = Constant(), dict.fromkeys(scanner.given, Constant())
+    assert scanner.find(text) == []
+
+
+def test_templates_of_ones_own_are_found_by_their_own_cues(documents):
+    own = {"zebra": "zebra crossing grants every walker passage", "stop": "of the and to it", "empty": " - "}
+    rows = licenses.scan(documents([f"{PROSE} Zebra crossing, grants every walker passage {PROSE}", "x of the and to it y"]), own).collect()
+    assert [(r.doc_id, r.license, r.matched) for r in rows] == [(0, "zebra", 1.0), (1, "stop", 1.0)]
+
+
+class EveryWindow(licenses.Scanner):
+    """Every window of every template, whatever words it holds."""
+
+    def ranked(self, words, known):
+        text, found = [b"\0" if w is None else w for w in words], []
+        for name, wording in self.wording.items():
+            for first in range(len(words)):
+                end = min(first + wording.window, len(words))
+                window = b" ".join(text[first:end]) + licenses.FILLER
+                plain = len(self.plain.compress(window))
+                saved = plain - len(self.given[name].compress(window))
+                if saved >= self.least[name]:
+                    found.append((saved, saved / plain, name, first, end))
+        return sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3]))
+
+
+def test_as_by_every_window_of_every_template():
+    random.seed(4)
+    plain, full = licenses.Scanner(licenses.TEMPLATES), EveryWindow(licenses.TEMPLATES)
+    filler = [w.encode() for w in PROSE.split()]
+    same = count = 0
+    for _ in range(60):
+        words = [random.choice(filler) for _ in range(random.randint(0, 60))]
+        for _ in range(random.randint(1, 3)):
+            wording = list(plain.wording[random.choice(list(plain.wording))].words)
+            for _ in range(random.randint(0, max(1, len(wording) // 8))):  # words put in, left out or changed
+                at = random.randrange(len(wording))
+                wording[at:at + random.randint(0, 1)] = [random.choice(filler)] * random.randint(0, 1)
+            words += wording + [random.choice(filler) for _ in range(random.randint(0, 30))]
+        one, other = ([(r[0], r[1], r[2]) for r in s.scan(words)] for s in (plain, full))
+        same, count = same + len(set(one) & set(other)), count + len(set(one) | set(other))
+    assert same == count > 60

@@ -49,8 +49,7 @@ def test_licenses_are_found_with_their_differences(documents):
     rows = sorted(licenses.scan(docs.withColumnRenamed("lang", "license")).collect(), key=lambda r: (r.doc_id or -1, r.start))
     assert [(r.doc_id, r.license) for r in rows] == [
         (None, "all-rights-reserved"), (0, "MIT"), (1, "CC-BY-SA-4.0"), (2, "GPL-3.0"), (3, "Apache-2.0"),
-        (7, "Apache-2.0"), (7, "Apache-2.0")] or [(r.doc_id, r.license) for r in rows][:5] == [
-        (None, "all-rights-reserved"), (0, "MIT"), (1, "CC-BY-SA-4.0"), (2, "GPL-3.0"), (3, "Apache-2.0")]
+        (7, "Apache-2.0"), (7, "Apache-2.0")]
     assert rows[1].matched == 1.0 and rows[1].missing == "" and rows[1].start == 11
     assert rows[3].missing == "licensed" and rows[4].start == len(("é " * 5000).encode())
     assert licenses.scan(docs.limit(0)).collect() == []

@@ -1,11 +1,13 @@
 """License scan by conditional compression.
 
-Around each cue word a block of words is taken, across line ends and as long as the longest place that a
-template may fill. A template counts as found if enough of its words stand in the block in order,
-and what differs is reported. All templates are compared; the best place is blanked out
-and the rest compared again until no template is found any more. The words found are compressed alone and with each
-license template as a raw zstandard dictionary; templates are ranked by how much smaller they get. What
-stands around them doesn't count, so a short sentence inside a long line is found like one on its own.
+Blocks are the words round cue words, across line ends. A template's cues are its most telling words, as many as it takes
+so that no place with enough of its words can do without all of them; so none is missed, whatever the templates are.
+
+Windows as long as the widest place that a template may fill slide over a block. Each is compressed on its own and
+with the template as a raw zstandard dictionary. All windows of all templates are ranked by the bytes that saves, and
+taken in this order: where the exact wording confirms the template (enough of its words stand there in order), the place
+is found and blanked out, and what differs is reported. What is left is ranked again until nothing is confirmed any more.
+Windows that the dictionary doesn't make smaller by a twentieth of what the template takes itself aren't looked at.
 """
 
 from __future__ import annotations
@@ -44,12 +46,12 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-# The words of a cue may stand on two lines, behind comment signs.
-_APART = rb"[\x00-/:-`{-\x7f]+"
-CUES = re.compile(rb"licens|licenc|copyright|rights" + _APART + rb"reserved|permission" + _APART + rb"is|redistribut|"
-                  rb"free" + _APART + rb"software|creative" + _APART + rb"commons")
+# Words too common to be cues, unless a template has too few others.
+COMMON = frozenset(b"a above an and any as at be by can for from free have if in including is it later may must no not of on "
+                   b"or other out set so software such that the their these they this to under use used version was "
+                   b"were when with without work you your".split())
 
-LEAST_REDUCTION = 0.1  # of the words found
+LEAST_SAVED = 0.05    # of the template's own compressed size, by which a window gets smaller
 LEAST_MATCHED = 0.8   # of the template's words
 FILLER = b"\0" * 32   # the compressor looks for matches only where some bytes follow
 CACHED_BLOCKS = 20_000
@@ -82,6 +84,11 @@ class Wording:
         self.words = [found.word(i) for i in range(len(found.starts))]
         self.least = max(1, math.ceil(LEAST_MATCHED * len(self.words)))
         self.longest = 2 * len(self.words) + 4  # words that are strewn more widely don't count
+        self.stride = max(1, len(self.words) // 4)
+        self.window = self.longest + self.stride  # every place lies in one
+        telling = sorted(self.words, key=lambda w: (w in COMMON, -len(w), w))
+        #: A place that lacks all of them lacks more words than it may.
+        self.cues = frozenset(telling[:len(self.words) - self.least + 1])
         self.bits: dict[bytes, int] = {}
         for i, word in enumerate(self.words):
             self.bits[word] = self.bits.get(word, 0) | 1 << i
@@ -133,20 +140,26 @@ class Wording:
 
 
 class Scanner:
-    """Compares blocks with templates; equal blocks are compared once."""
+    """Compares blocks with templates; equal blocks are compared once. Templates without a word are never found."""
 
     def __init__(self, templates: dict[str, str]):
         self.plain = _compressor(None)
-        self.wording = {name: Wording(text) for name, text in templates.items()}
+        self.wording = {name: w for name, text in templates.items() if (w := Wording(text)).words}
         self.given = {name: _compressor(b" ".join(w.words)) for name, w in self.wording.items()}
-        #: Words before and after a cue: no place that holds it reaches further.
-        self.reach = max((w.longest for w in self.wording.values()), default=1)
+        self.least = {name: LEAST_SAVED * len(self.plain.compress(b" ".join(w.words) + FILLER))
+                      for name, w in self.wording.items()}
+        #: Words before and after a cue: no window that holds it reaches further.
+        self.reach = max((w.window for w in self.wording.values()), default=1)
+        cues = sorted({cue for w in self.wording.values() for cue in w.cues}, key=lambda c: (-len(c), c))
+        letter = rb"[0-9a-z\x80-\xff]"
+        self.cue = re.compile(rb"(?<!" + letter + rb")(?:" + b"|".join(map(re.escape, cues)) + rb")(?!" + letter + rb")"
+                              ) if cues else None
         self.known: dict[bytes, list[tuple]] = {}
 
     def find(self, text: bytes) -> list[tuple]:
         """Confirmed templates of a lower-case text: (start, end, name, rank, reduction, matched share,
         words missing, number of words added)."""
-        cues = [cue.start() for cue in CUES.finditer(text)]
+        cues = [cue.start() for cue in self.cue.finditer(text)] if self.cue else []
         if not cues:
             return []
         words, out = _words(text), []
@@ -173,21 +186,70 @@ class Scanner:
                          for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
         return {name: (rank, reduction) for rank, (reduction, name) in enumerate(ranked, 1)}
 
+    def ranked(self, words: list[bytes | None], known: dict[tuple[str | None, bytes], int]) -> list[tuple]:
+        """(bytes saved, share saved, template, first word, end) of the windows worth a look, most bytes first.
+        ``known`` keeps compressed sizes from one ranking of a block to the next."""
+        pieces = [b"\0" if w is None else w for w in words]
+        text = b" ".join(pieces)
+        starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pieces]))).tolist()
+        found = []
+
+        def size(by: str | None, compressor: zstandard.ZstdCompressor, window: bytes) -> int:
+            if (by, window) not in known:
+                known[by, window] = len(compressor.compress(window))
+            return known[by, window]
+
+        for name, wording in self.wording.items():
+            step = wording.stride
+            firsts = {first for i, w in enumerate(words) if w in wording.cues
+                      for first in range(max(0, -(-(i - wording.window + 1) // step)) * step, i + 1, step)}
+            for first in sorted(firsts):
+                end = min(first + wording.window, len(words))
+                window = text[starts[first]:starts[end] - 1] + FILLER
+                plain = size(None, self.plain, window)
+                saved = plain - size(name, self.given[name], window)
+                if saved >= self.least[name]:
+                    found.append((saved, saved / plain, name, first, end))
+        return sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3]))
+
+    def confirmed(self, name: str, words: list[bytes | None], places: list[tuple[int, int, int, int]], low: int,
+                  high: int, blank: np.ndarray) -> tuple[int, int, int, int] | None:
+        """The best place of a template that meets a place in the window: the most words less the differences, then the
+        longest. Its words have to get smallest by this template; else they are another one's."""
+        def best(some: list) -> tuple[int, int, int, int]:
+            return max(some, key=lambda p: (p[0], p[2] - p[1], -p[1]))
+
+        inside = [p for p in places if low <= p[1] and p[2] <= high]
+        while inside:
+            _, first, end, _ = best(inside)
+            meeting = [p for p in places if p[1] < end and first < p[2] and not blank[p[1]:p[2]].any()]
+            if meeting:
+                place = best(meeting)
+                found = b" ".join(w for w in words[place[1]:place[2]] if w is not None)
+                if self.reductions(found)[name][0] == 1:
+                    return place
+            inside = [p for p in inside if p[2] <= first or end <= p[1]]
+        return None
+
     def _scan(self, block: list[bytes]) -> list[tuple]:
         words: list[bytes | None] = list(block)
         winners: list[tuple] = []
+        known: dict[tuple[str | None, bytes], int] = {}
         while True:
-            places = [(score, end - first, name, first, end, matched) for name, w in self.wording.items()
-                      for score, first, end, matched in w.places(words)]
-            # Of templates that meet, the one with the most words less its differences wins, then the longest.
+            places: dict[str, list[tuple[int, int, int, int]]] = {}
             blank = np.zeros(len(words), bool)
-            for _, _, name, first, end, matched in sorted(places, key=lambda p: (-p[0], -p[1], p[2], p[3])):
-                if blank[first:end].any():
+            for _, _, name, low, high in self.ranked(words, known):
+                if blank[low:high].any():
+                    break  # what is left of it may still save more than those that follow: all are ranked again
+                wording = self.wording[name]
+                if name not in places:
+                    places[name] = list(wording.places(words))
+                place = self.confirmed(name, words, places[name], low, high, blank)
+                if place is None:
                     continue
-                there, missing = self.wording[name].aligned(words[first:end])
+                _, first, end, matched = place
+                there, missing = wording.aligned(words[first:end])
                 rank, reduction = self.reductions(b" ".join(there))[name]
-                if reduction < LEAST_REDUCTION:
-                    continue
                 blank[first:end] = True
                 winners.append((first, end - 1, name, rank, float(reduction),
                                 matched / (len(there) + len(missing)), b" ".join(missing).decode(),
@@ -216,9 +278,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     ``start`` and ``end`` are byte offsets of the matching words, ``rank`` the template's place by
     ``reduction``, the share by which it makes the words found smaller, ``matched`` the share of its words that stand there in order, ``missing`` those that don't, ``added`` the number of words
-    between. All templates and all copies are given; of those that overlap, the one with the most words less its
-    differences. Null and empty texts have no
-    blocks; repeated rows each give their rows; a null ``doc_id`` is kept.
+    between. All templates and all copies are given; of those that overlap, the one whose window saves the most bytes.
+    Null and empty texts have no blocks; repeated rows each give their rows; a null ``doc_id`` is kept. Very long texts are
+    read whole, block by block; other columns are not looked at, whatever their names. No rows give no rows.
     """
     wordings = TEMPLATES if templates is None else templates
     out_names = ["doc_id", "start", "end", "license", "rank", "reduction", "matched", "missing", "added"]
