@@ -98,3 +98,56 @@ def test_copies_are_found_and_scored_as_by_brute_force(spark, documents):
     assert {r.doc_id for r in kept.collect()} == set(range(62)) - {k[0] for k in expected}
     assert decontaminate.contaminated(docs, benchmark.limit(0)).collect() == []
     assert decontaminate.contaminated(docs.limit(0), benchmark).collect() == []
+
+
+def invented(spread):
+    return "".join(random.choices("abcdefghij", k=random.randint(2, spread)))
+
+
+def found_pairs(spark, docs, items):
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, benchmark).collect()}
+
+
+def test_words_put_in_after_every_second_word_hide_nothing(spark, documents):
+    random.seed(8)
+    items = [[invented(7) for _ in range(random.randint(12, 60))] for _ in range(40)]
+    texts = []
+    for item in items:
+        copy = []
+        for at, word in enumerate(item):
+            copy += [word] if at % 2 == 0 else [word, invented(7)]
+        texts.append([invented(7) for _ in range(50)] + copy + [invented(7) for _ in range(50)])
+    found = found_pairs(spark, documents([" ".join(t) for t in texts]), items)
+    assert {k for k in found if k[0] == k[1]} == {(i, i) for i in range(40)}
+    for i, item in enumerate(items):
+        assert abs(found[i, i].score - plain_score(item, texts[i])) < 1e-9
+
+
+def test_seeds_stay_however_large_the_corpus(spark, documents, monkeypatch):
+    random.seed(9)
+    items = [[invented(4) for _ in range(random.randint(20, 50))] for _ in range(100)]
+    texts = []
+    for item in items:
+        copy = [invented(4) if random.random() < 0.2 else w for w in item]
+        texts.append([invented(4) for _ in range(80)] + copy)
+    plain = decontaminate._chances
+    # All words as frequent as in a corpus 10^8 times as large.
+    monkeypatch.setattr(decontaminate, "_chances", lambda c, v: (plain(c, v)[0], plain(c, v)[1] * 10 ** 8))
+    found = found_pairs(spark, documents([" ".join(t) for t in texts]), items)
+    wanted = {i for i, item in enumerate(items) if plain_score(item, texts[i]) >= 0.6}
+    assert len(wanted) > 20 and len({i for i in wanted if (i, i) in found}) >= 0.98 * len(wanted)
+
+
+def test_long_items_are_judged_whole(spark, documents):
+    random.seed(10)
+    item = [invented(8) for _ in range(5005)]
+    edited = [w for at, w in enumerate(item) if at % 20]
+    docs = documents([" ".join(item), " ".join(item[:2000]), " ".join(item[:3400]), " ".join(edited),
+                      " ".join(["x"] * 300 + item[:2500] + ["y"] * 9 + item[2500:] + ["z"] * 20)])
+    found = {k[0]: r for k, r in found_pairs(spark, docs, [item]).items()}
+    assert found.keys() == {0, 2, 3, 4}
+    assert found[0].score == 1.0 and found[0].matched == 5005 and (found[0].first_word, found[0].last_word) == (0, 5004)
+    assert abs(found[2].score - 3400 / 5005) < 1e-9
+    assert abs(found[3].score - (2 * 4754 - 251) / 10010) < 0.01
+    assert abs(found[4].score - (10010 - 9) / 10010) < 1e-9 and found[4].first_word == 300
