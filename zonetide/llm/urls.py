@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonetide.llm.common import stored
+
 SAMPLE = 10_000  # labelled URLs of each verdict learned from, at most
 TREES, DEPTH = 10, 4
 ALLOW, BLOCK = "allow", "block"
@@ -78,7 +80,8 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to the pages (which need ``url``). Columns of these
     names are replaced; repeated rows each come back.
 
-    The trees learn from at most ``sample`` URLs of each verdict, those with the smallest hashes.
+    The trees learn from at most ``sample`` different URLs of each verdict, those with the smallest hashes. How often a
+    suffix occurs and is blocked is counted over all different URLs that a rule fits, when learning without the URL itself.
     If rules give only one verdict, it is that of all other URLs too; if they give none, all are
     allowed. Null URLs and such without ``://`` have an empty host and path and are judged by the trees.
     """
@@ -87,30 +90,32 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     # Under another name each, so that columns of the pages can't clash with features.
     wide = ruled.select(F.struct(*[ruled[c] for c in columns]).alias("_row"), ruled["url"].cast("string"),
                         "host", "path", "_ruled")
-    known = wide.where(F.col("_ruled").isNotNull()).select("url", "host", "path", "_ruled")
+    known = wide.where(F.col("_ruled").isNotNull()).select("url", "host", "path", "_ruled").dropDuplicates(["url"])
+    known = stored(known, "ruled")
     chosen = None
     for verdict in (ALLOW, BLOCK):
         mine = (known.where(F.col("_ruled") == verdict)
                 .orderBy(F.xxhash64("url"), "url").limit(sample))
         chosen = mine if chosen is None else chosen.union(mine)
-    chosen = with_features(chosen).withColumn("label", (F.col("_ruled") == BLOCK).cast("double"))
-    # One row for each suffix of the sample.
-    suffixes = chosen.groupBy("_suffix").agg(
-        F.count("*").cast("double").alias("f_suffix_count"),
-        ((F.sum("label") + 1) / (F.count("*") + 2)).alias("f_suffix_blocked"))
+    blocked = (F.col("_ruled") == BLOCK).cast("double")
+    chosen = with_features(chosen).withColumn("label", blocked)
+    # Stored, so that its size is known where it is joined; counts combine before the shuffle.
+    suffixes = stored(known.groupBy(F.substring_index("host", ".", -1).alias("_suffix")).agg(
+        F.count("*").cast("double").alias("_urls"), F.sum(blocked).alias("_blocked")), "suffixes")
     seen = sorted(r["label"] for r in chosen.groupBy("label").count().collect())
     if len(seen) < 2:
         other = F.lit(BLOCK if seen == [1.0] else ALLOW)
         return wide.select("_row.*", F.coalesce("_ruled", other).alias("verdict"))
 
-    def assembled(rows: DataFrame) -> DataFrame:
-        with_suffix = rows.join(F.broadcast(suffixes), "_suffix", "left").fillna(
-            {"f_suffix_count": 0.0, "f_suffix_blocked": 0.5})
+    def assembled(rows: DataFrame, own: Column, own_blocked: Column) -> DataFrame:
+        urls, bad = F.coalesce("_urls", F.lit(0.0)) - own, F.coalesce("_blocked", F.lit(0.0)) - own_blocked
+        with_suffix = rows.join(suffixes, "_suffix", "left").withColumns(
+            {"f_suffix_count": urls, "f_suffix_blocked": (bad + 1) / (urls + 2)})
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix)
 
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
                           seed=1, checkpointInterval=-1, minInstancesPerNode=5)
-    model = trees.fit(assembled(chosen).select("features", "label"))
-    judged = model.transform(assembled(with_features(wide)))
+    model = trees.fit(assembled(chosen, F.lit(1.0), F.col("label")).select("features", "label"))
+    judged = model.transform(assembled(with_features(wide), F.lit(0.0), F.lit(0.0)))
     method = F.when(F.col("prediction") == 1.0, BLOCK).otherwise(ALLOW)
     return judged.select("_row.*", F.coalesce("_ruled", method).alias("verdict"))
