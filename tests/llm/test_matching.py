@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from zonetide.llm import decontaminate, embeddings, licenses
+from zonetide.llm.hnsw import Graph
 
 
 def plain_links(rows):
@@ -151,3 +152,15 @@ def test_long_items_are_judged_whole(spark, documents):
     assert abs(found[2].score - 3400 / 5005) < 1e-9
     assert abs(found[3].score - (2 * 4754 - 251) / 10010) < 0.01
     assert abs(found[4].score - (10010 - 9) / 10010) < 1e-9 and found[4].first_word == 300
+
+
+def test_an_audit_counts_links_to_others_only():
+    random_ = np.random.default_rng(4)
+    vectors = random_.normal(size=(600, 24))
+    vectors[300:] = vectors[:300] + random_.normal(size=(300, 24)) * 0.05  # one link each
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = Graph(vectors.astype(np.float32))
+    rows = np.arange(600)
+    assert embeddings.links_found(graph, graph.vectors, rows, 0.93, 600) == (600, 600)
+    assert embeddings.links_found(graph, graph.vectors[:10], np.full(10, -1), 0.93, 600) == (20, 20)
+    assert embeddings.audited_beam(graph, rows, 0.93) >= 64

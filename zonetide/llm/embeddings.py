@@ -1,9 +1,9 @@
 """Near-duplicate embeddings: a small-world graph per shard, every shard queried, links verified.
 
 Equal vectors of a label are one node. The nodes of a label are dealt over shards of bounded size.
-Each shard builds a graph of its nodes (see ``hnsw``) and audits it: for some nodes all links are computed
+Each shard builds a graph of its nodes (see ``hnsw``) and audits it: for some nodes all links to others are computed
 directly, and the search beam is widened until the graph finds enough of them. Then all nodes of the label,
-in blocks as they stream by, are looked up in it. Links found are verified in double precision; components
+in blocks as they stream by, are looked up in it; some of each block from other shards are audited too. Links found are verified in double precision; components
 are joined over all shards.
 """
 
@@ -22,7 +22,9 @@ from zonetide.llm.hnsw import BEAM, Graph
 
 COSINE = 0.93
 SHARD = 16_384       # nodes of a graph, about
-AUDITED = 256        # nodes of each shard whose links are computed directly
+AUDITED = 256        # nodes of each shard, at least, whose links are computed directly
+AUDITED_LINKS = 200  # links that an audit should rest on
+AUDITED_QUERIES = 64  # queries of each block from other shards that are audited
 LEAST_RECALL = 0.98  # of the audited links, found by the graph
 SLACK = 1e-4         # single precision may be off by less
 
@@ -33,15 +35,30 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def links_found(graph: Graph, queries: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[int, int]:
+    """How many links the queries have and how many of them the graph finds; a node's match with itself (``own``, -1
+    for queries from elsewhere) is no link."""
+    rows = np.arange(len(queries))
+    near = queries @ graph.vectors.T >= least
+    near[rows[own >= 0], own[own >= 0]] = False
+    query, node = graph.within(queries, least, beam)
+    return int(near.sum()), int((near[query, node]).sum())
+
+
 def audited_beam(graph: Graph, nodes: np.ndarray, least: float) -> int:
-    """The beam at which the graph finds enough of the links of the nodes with the smallest hashes."""
-    sample = np.argsort(nodes, kind="stable")[:AUDITED]
-    queries, beam = graph.vectors[sample], BEAM
-    true = (queries @ graph.vectors.T >= least).sum()
-    while beam < len(graph.vectors):
-        if len(graph.within(queries, least, beam)[0]) >= LEAST_RECALL * true:
+    """The beam at which the graph finds enough of the links of the nodes with the smallest hashes: of as many as it takes
+    to have ``AUDITED_LINKS`` links, or all."""
+    order = np.argsort(nodes, kind="stable")
+    size, beam = min(AUDITED, len(order)), BEAM
+    while True:
+        sample = order[:size]
+        true, found = links_found(graph, graph.vectors[sample], sample, least, beam)
+        if true >= AUDITED_LINKS or size == len(order):
             break
+        size = min(4 * size, len(order))
+    while found < LEAST_RECALL * true and beam < len(graph.vectors):
         beam *= 2
+        _, found = links_found(graph, graph.vectors[sample], sample, least, beam)
     return beam
 
 
@@ -51,8 +68,20 @@ class _Shard:
         self.graph = Graph(self.exact.astype(np.float32))
         self.beam = audited_beam(self.graph, nodes, least - SLACK)
 
+    def audit(self, nodes: np.ndarray, queries: np.ndarray) -> None:
+        """Widens the beam for this and later blocks until it finds enough of the links of some queries from other shards."""
+        foreign = np.flatnonzero(~np.isin(nodes, self.nodes))
+        sample = foreign[np.argsort(nodes[foreign], kind="stable")[:AUDITED_QUERIES]]
+        none = np.full(len(sample), -1)
+        while len(sample) and self.beam < len(self.nodes):
+            true, found = links_found(self.graph, queries[sample], none, self.least - SLACK, self.beam)
+            if found >= LEAST_RECALL * true:
+                break
+            self.beam *= 2
+
     def links(self, nodes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         queries = _unit(vectors)
+        self.audit(nodes, queries.astype(np.float32))
         query, node = self.graph.within(queries.astype(np.float32), self.least - SLACK, self.beam)
         out = []
         for at in range(0, len(query), 1 << 16):
