@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from zonetide.llm import quality, toxicity, urls
+from zonetide.llm import bpe, quality, toxicity, urls
 
 
 def texts(kind, count, seed):
@@ -82,3 +82,28 @@ def test_urls_follow_rules_and_then_trees(spark):
     assert {r.verdict for r in one} == {"block"}
     plan = urls.judge(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_the_names_of_helpers_are_kept(spark, awkward):
+    docs = awkward.selectExpr("*", "'w' AS _whole", "'t' AS _text", "'i' AS _ids")
+    vocabulary = bpe.default_vocabulary()
+    results = [toxicity.score(docs, toxicity.fit([])), quality.score(docs, quality.fit([]))]
+    encoded = bpe.encode(docs, vocabulary, bpe.frequent_lexicon(docs, vocabulary))
+    for found in [*results, encoded, bpe.decode(encoded, vocabulary)]:
+        assert {(r._whole, r._text, r._ids) for r in found.collect()} == {("w", "t", "i")}
+
+
+def test_suffix_statistics_count_all_ruled_urls_once(spark, monkeypatch):
+    seen = {}
+    plain = urls.stored
+
+    def kept(df, name):
+        seen[name] = plain(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(urls, "stored", kept)
+    pages = [(i, f"http://a{i}.net/x") for i in range(30)] + [(i, "http://b.fr.org/fr/1") for i in range(40)]
+    pages += [(i, f"http://c{i}.org/fr/{i}") for i in range(20)] + [(99, "http://other.xyz/1"), (100, None)]
+    judged = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), sample=5)
+    assert judged.count() == 92
+    assert {r._suffix: (r._urls, r._blocked) for r in seen["suffixes"].collect()} == {"net": (30.0, 30.0), "org": (21.0, 0.0)}

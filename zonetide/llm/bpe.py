@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.common import flat, slices, span_hashes, stored, text_of
+from zonetide.llm.common import flat, slices, span_hashes, stored, text_of, unused_name
 from zonetide.llm.lexicon import Lexicon, compile_lexicon
 
 FREQUENT_WORDS = 131_072  # in the lexicon, at most
@@ -327,13 +327,13 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, decoded: bool = Fal
         {"token_ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"),
          "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
         | ({"decoded": F.lit(b"")} if decoded else {})).schema
-    names = [*kept.columns, *added]
+    names, whole = [*kept.columns, *added], unused_name(kept, "whole")
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most FREQUENT_WORDS words
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, shipped.value)
-        for batch in slices(batches, "_text", SLICE):
-            ids, offsets = encoder.encode(batch.column("_text"))
+        for batch in slices(batches, whole, SLICE):
+            ids, offsets = encoder.encode(batch.column(whole))
             rows = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             texts = [encoder.tokens.decode(row.astype(np.int64)) for row in rows]
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
@@ -346,15 +346,15 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: bytes, decoded: bool = Fal
             yield pa.RecordBatch.from_arrays(
                 [*columns, *([pa.array(clean, pa.binary())] if decoded else [])], names=names)
 
-    return kept.withColumn("_text", text_of(kept)).mapInArrow(add, schema)
+    return kept.withColumn(whole, text_of(kept)).mapInArrow(add, schema)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
     """Adds ``text``, decoded from a column of id arrays (null: empty). Bytes that are no whole
     characters become U+FFFD; unknown ids stand for nothing."""
     kept = rows.drop("text")
-    names = [*kept.columns, "text"]
-    source = kept.withColumn("_ids", F.coalesce(kept[ids].cast("array<long>"),
+    names, numbers_of = [*kept.columns, "text"], unused_name(kept, "ids")
+    source = kept.withColumn(numbers_of, F.coalesce(kept[ids].cast("array<long>"),
                                                 F.array().cast("array<long>")))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +362,7 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFram
         limit = len(tokens.token_ends) - 1
         for batch in batches:
             texts = []
-            for row in batch.column("_ids"):
+            for row in batch.column(numbers_of):
                 numbers = np.array([i for i in row.as_py() if i is not None and 0 <= i < limit],
                                    np.int64)
                 texts.append(tokens.decode(numbers).decode("utf-8", "replace"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.llm.common import (STEP, flat, held_out, labelled_sample, mixed, per_row, slices, span_hashes,
-                                 spans_of, starts_within, text_of)
+                                 spans_of, starts_within, text_of, unused_name)
 
 SAMPLE_PER_CLASS = 1000  # labelled documents learned from, at most, of each class
 SAMPLE_BYTES = 20_000    # longer texts aren't learned from
@@ -137,15 +137,16 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE_PER_CLASS) -
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1, higher: better) to the documents; a column of that name is replaced."""
+    """Adds ``score`` (0 to 1, higher: better) to the documents; a column of that name is replaced,
+    all others are kept. Texts of any length are read whole."""
     kept = docs.drop("score")
-    names = [*kept.columns, "score"]
+    names, whole = [*kept.columns, "score"], unused_name(kept, "whole")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BUCKET_BITS numbers
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_whole"):
+        for batch in slices(batches, whole):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(shared.value.scores(batch.column("_whole")))], names=names)
+                [*batch.columns[:-1], pa.array(shared.value.scores(batch.column(whole)))], names=names)
 
-    return (kept.withColumn("_whole", text_of(kept, text))
+    return (kept.withColumn(whole, text_of(docs, text))
             .mapInArrow(scored, kept.withColumn("score", F.lit(0.0)).schema))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.common import Words, held_out, labelled_sample, per_row, slices, text_of
+from zonetide.llm.common import Words, held_out, labelled_sample, per_row, slices, text_of, unused_name
 
 SAMPLE_PER_CLASS = 1000      # labelled documents learned from, at most, of each class
 SAMPLE_BYTES = 20_000        # longer texts aren't learned from
@@ -147,19 +147,18 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE_PER_CLASS) -
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1), ``toxic_windows`` and ``windows`` to the documents.
-    Columns of these names are replaced."""
+    Columns of these names are replaced, all others are kept. Texts of any length are read whole."""
     added = ("score", "toxic_windows", "windows")
     kept = docs.drop(*added)
     schema = kept.withColumns({"score": F.lit(0.0), "toxic_windows": F.lit(0).cast("long"),
-                               "windows": F.lit(0).cast("long"),
-                               "_whole": text_of(kept, text)})
-
+                               "windows": F.lit(0).cast("long")}).schema
+    whole = unused_name(kept, "whole")
     names = [*kept.columns, *added]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WORKER_CACHE.setdefault(model.toxic + model.ordinary, {})
-        for batch in slices(batches, "_whole"):
-            words = Words(batch.column("_whole"))
+        for batch in slices(batches, whole):
+            words = Words(batch.column(whole))
             gain = words.per_word(cache, lambda w: gains(model.ordinary, model.toxic, w))
             hits = (gain >= model.threshold).astype(np.int64)
             total = np.diff(words.rows)
@@ -171,8 +170,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*columns, pa.array(values), pa.array(toxic), pa.array(total.astype(np.int64))],
                 names=names)
 
-    return (kept.withColumn("_whole", text_of(kept, text))
-            .mapInArrow(scored, schema.drop("_whole").schema))
+    return kept.withColumn(whole, text_of(docs, text)).mapInArrow(scored, schema)
 
 
 def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
