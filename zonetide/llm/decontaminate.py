@@ -38,6 +38,7 @@ LEAST_SCORE = 0.6        # of the score of the item aligned with itself
 LEAST_WORDS = 8          # shorter items have to occur whole
 MATCH, MISMATCH, GAP = 2, -1, -1
 CELLS = 4 << 20          # cells of alignment tables held at once
+HITS_AT_ONCE = 1 << 18
 
 _FOUND = "doc_id long, item_id long, score double, matched int, first_word long, last_word long"
 
@@ -204,12 +205,19 @@ def _candidates(words: Words, seeds, sizes: np.ndarray, flags: np.ndarray) -> np
         inside = hit + pattern[-1] < words.rows[row + 1]
         hit, row, low = hit[inside], row[inside], low[inside]
         count = np.searchsorted(seed_hash, hashes[hit], "right") - low
-        seed = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        at, row = np.repeat(hit, count), np.repeat(row, count)
-        # Where the part would begin; bands overlap, so a window holds the whole alignment.
-        start = at - place[seed] - words.rows[row]
-        band = start // np.maximum(sizes[part[seed]], 1)
-        found.append(np.stack([row, part[seed], band], axis=1))
+        # Seeds of very frequent words hit very often: a bounded number of hits at once.
+        upto, done = np.cumsum(count), 0
+        while done < len(hit):
+            end = max(int(np.searchsorted(upto, (upto[done - 1] if done else 0) + HITS_AT_ONCE, "right")), done + 1)
+            some = slice(done, end)
+            n = count[some]
+            seed = np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at, rows = np.repeat(hit[some], n), np.repeat(row[some], n)
+            # Where the part would begin; bands overlap, so a window holds the whole alignment.
+            start = at - place[seed] - words.rows[rows]
+            band = start // np.maximum(sizes[part[seed]], 1)
+            found.append(np.unique(np.stack([rows, part[seed], band], axis=1), axis=0))
+            done = end
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
@@ -230,12 +238,15 @@ def chained(offsets: np.ndarray, scores: np.ndarray, equal: np.ndarray, first: n
     return int(best[end]), int(matched[end]), int(begin[end]), int(last[end])
 
 
-def _aligned(items: Items, words: Words, hits: np.ndarray) -> np.ndarray:
-    """(row, part, score, equal words, first and last word in the row) of the alignments at the hits."""
+def _aligned(items: Items, words: Words, hits: np.ndarray, least_score: float) -> np.ndarray:
+    """(row, part, score, equal words, first and last word in the row) of the alignments at the hits. Of items of one part,
+    windows with too few of their words for the score wanted are left out before they are aligned."""
     out = [np.zeros((0, 6), np.int64)]
     for number in np.unique(hits[:, 1]).tolist():
         mine = hits[hits[:, 1] == number]
         size = int(items.sizes[number])
+        whole = items.lengths[items.item[number]] == size
+        least = (least_score if size >= LEAST_WORDS else 1.0) * size if whole else 0
         width = 3 * size + 2 * SEED_WORDS  # the band, and a part's length on either side
         step = max(1, CELLS // (width * 8))
         for at in range(0, len(mine), step):
@@ -244,6 +255,10 @@ def _aligned(items: Items, words: Words, hits: np.ndarray) -> np.ndarray:
             where = first[:, None] + np.arange(width)
             valid = (where >= words.rows[rows][:, None]) & (where < words.rows[rows + 1][:, None])
             window = np.where(valid, words.hashes[np.clip(where, 0, len(words.hashes) - 1)], np.uint64(0))
+            enough = np.isin(window, items.parts[number]).sum(axis=1) >= least - 1e-9
+            rows, first, window = rows[enough], first[enough], window[enough]
+            if not len(rows):
+                continue
             score, equal, begin, end = align(items.parts[number], window)
             base = first - words.rows[rows]
             out.append(np.stack([rows, np.full(len(rows), number), score, equal, base + begin, base + end], axis=1))
@@ -259,7 +274,7 @@ def _search(items: Items, seeds, least_score: float):
             if not len(seeds[0]):
                 continue
             words = Words(batch.column("_text"))
-            found = _aligned(items, words, _candidates(words, seeds, items.sizes, flags))
+            found = _aligned(items, words, _candidates(words, seeds, items.sizes, flags), least_score)
             item = item_of[found[:, 1]]
             order = np.lexsort((found[:, 4], found[:, 1], item, found[:, 0]))
             found, item = found[order], item[order]
