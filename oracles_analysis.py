@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles import BASE, LONG_BASE, LONG_TRIPS, PARCELS, TRIPS, ZONES, half_away, half_up, scaled
+from oracles import BASE, DIRTY, LONG_BASE, LONG_TRIPS, PARCELS, TRIPS, ZONES, half_away, half_up, scaled
 
 
 def two_sided(z: str) -> str:
@@ -493,6 +493,10 @@ SELECT pickup_date, pickup_hour, origin_id, destination_id, borough, n AS trip_c
         "od_balanced": BALANCED,
         "zone_accessibility": accessibility(ZONE_LINKS, ZONE_TRIPS, (15, 30, 60), 25),
         "parcel_accessibility": accessibility(PARCEL_LINKS, "SELECT location_id, x FROM vals", (5, 15), 4),
+        "stream_load": f"""{DIRTY}
+SELECT CAST(pickup AS DATE) AS pickup_date, CAST(pickup_zone AS SMALLINT) AS location_id,
+       count(*) AS trips, CAST(sum(cents) / 100.0 AS DOUBLE) AS total_amount
+FROM reasons WHERE reason = '' GROUP BY 1, 2""",
         "zone_spanning_tree": TREE + " SELECT a, b, weight FROM tree",
         "zone_segments": segments(3),
         "zones_from_geojson": ZONES_FROM_GEOJSON,

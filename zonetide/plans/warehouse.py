@@ -124,6 +124,14 @@ class Warehouse:
         """The hourly rollup, with the month it is partitioned by, which date filters prune."""
         return self._read("analytics/zone_hourly_demand", ROLLUP_SCHEMA)
 
+    def landing_schemas(self) -> DataFrame:
+        """Schemas (JSON) of the folders that streams load from."""
+        return self._read("raw/landing_schemas", "landing string, schema string")
+
+    def keep_landing_schema(self, landing: str, schema: str) -> None:
+        self.spark.createDataFrame([(landing, schema)], "landing string, schema string").coalesce(1).write.mode(
+            "append").parquet(self._path("raw/landing_schemas"))
+
     def load_zones(self, incoming: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> None:
         """Validate and upsert zones; rebuild what depends on them.
 
