@@ -47,6 +47,19 @@ def test_maps_as_geojson(dashboard):
     assert tuple(dashboard.map_extent(Filters(borough="ASIA")).first()) == (2.0, 0.0, 3.0, 5.0)
 
 
+def test_statistics_models_and_flows(dashboard):
+    assert {r.gi_bin for r in dashboard.gi_star_map().collect()} <= set(range(-3, 4))
+    assert all(r.geom for r in dashboard.lisa_map(permutations=9).collect())
+    assert dashboard.morans_i(Filters(borough="ASIA")).first().zones == 5
+    assert {r.model for r in dashboard.model_comparison(origins=3).collect()} == {"holt_winters", "same_weekday", "sarima"}
+    assert dashboard.holt_winters(horizon=2).count() == dashboard.sarima(horizon=2).count() == 10
+    assert dashboard.forecast_evaluation(model="sarima", origins=2).count() == 10
+    assert sum(r.trip_count for r in dashboard.od_matrix().collect()) == 1000
+    assert sum(r.net_inflow for r in dashboard.flow_balance().collect()) == 0
+    assert {r.location_id for r in dashboard.accessibility(Filters(borough="ASIA"), (60,)).collect()} == {3, 8, 13, 18, 23}
+    assert len({r.segment for r in dashboard.segments(segments=3).collect()}) == 3
+
+
 def test_questions_about_one_zone(dashboard):
     assert dashboard.zone_details(3).first().location_id == 3
     assert dashboard.zone_trend(3).first().period_days == 7

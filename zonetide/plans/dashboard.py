@@ -11,15 +11,18 @@ from zonetide.filters import NO_FILTERS, Filters
 from zonetide.functions.geometry import extent
 from zonetide.labels import in_turkish
 from zonetide.operators import demand as d
+from zonetide.operators.accessibility import MINUTES, accessibility, link_times
 from zonetide.operators.anomalies import zone_anomalies
 from zonetide.operators.classes import demand_classes
 from zonetide.operators.compare import compare_zones, comparison_series
 from zonetide.operators.export import to_features
+from zonetide.operators.flows import flow_balance, od_matrix, od_rollup
 from zonetide.operators.forecast import demand_forecast
 from zonetide.operators.forecasting import (forecast_backtest, forecast_comparison, holt_winters_forecast,
                                             sarima_forecast)
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import zone_details, zone_scores
+from zonetide.operators.segments import hourly_profiles, zone_segments
 from zonetide.operators.spatial_statistics import gi_star, lisa, morans_i, zone_values
 from zonetide.operators.trend import zone_trend
 from zonetide.plans.warehouse import Warehouse
@@ -155,6 +158,25 @@ class Dashboard:
     def model_comparison(self, by: Sequence[str] = ("borough",), horizon: int = 7, origins: int = 14) -> DataFrame:
         return forecast_comparison(self.demand, by, horizon, origins).orderBy(*by, "place")
 
+    @property
+    def flows(self) -> DataFrame:
+        """Origin-destination rollup, made of the stored trips."""
+        return od_rollup(self.warehouse.trips(), self.zones)
+
+    def od_matrix(self, filters: Filters = NO_FILTERS) -> DataFrame:
+        return od_matrix(self.flows, filters).orderBy("origin_id", "destination_id")
+
+    def flow_balance(self, filters: Filters = NO_FILTERS) -> DataFrame:
+        return flow_balance(self.flows, self.zones, filters).orderBy("location_id")
+
+    def accessibility(self, filters: Filters = NO_FILTERS, minutes: Sequence[int] = MINUTES) -> DataFrame:
+        links = link_times(filters.without("borough").apply(self.flows), self.adjacency)
+        return accessibility(self._values(filters), links, minutes).orderBy("location_id", "minutes")
+
+    def segments(self, filters: Filters = NO_FILTERS, segments: int = 5) -> DataFrame:
+        profiles = hourly_profiles(self.demand, self.zones, filters)
+        return zone_segments(profiles, self.adjacency, segments).orderBy("location_id")
+
     def _all_details(self, filters: Filters) -> DataFrame:
         return self._labelled(zone_details(self.demand, self.zones, self.adjacency, filters))
 
