@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from zonetide import Filters
 from zonetide.functions import geometry as g
 from zonetide.functions.projection import PROJECTIONS, forward, inverse
-from zonetide.operators.adjacency import zone_adjacency
+from zonetide.operators.adjacency import edge_pairs, zone_adjacency
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import priority_class, weighted_score, zone_details, zone_scores
 from zonetide.operators.simplify import simplify
@@ -306,3 +306,20 @@ def test_fine_coast_beside_very_long_sides(make_zones):
     zones = make_zones({1: [[left]], 2: [[right]], 3: [[box(-10, -5, 20, 5)]]})
     assert touching(zones) == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
     assert zone_violations(zones).count() == 0
+
+
+def test_long_slanted_edges_meet_only_what_is_near(spark):
+    rng = random.Random(1)
+    rows = [(i, x, y, x + 0.01, y + 0.01) for i in range(1000) for x, y in [(rng.random() * 100, rng.random() * 100)]]
+    rows += [(5000 + i, x, y, x + 50, y + 50) for i in range(50) for x, y in [(rng.random() * 50, rng.random() * 50)]]
+    edges_ = spark.createDataFrame(rows, "location_id int, x1 double, y1 double, x2 double, y2 double").selectExpr(
+        "location_id", "0 AS poly", "0 AS ring", "0 AS seq", "x1 AS px", "y1 AS py", "x1", "y1", "x2", "y2")
+    pairs = edge_pairs(edges_).select("a_location_id", "b_location_id").collect()
+    assert len(pairs) < 10_000  # of 50 000 whose boxes may meet
+
+    def gap(p, q):
+        """How far apart two slanted edges run, if they lie beside each other."""
+        return abs((p[1] - p[2]) - (q[1] - q[2])) if max(p[1], q[1]) <= min(p[3], q[3]) else 1.0
+
+    close = {(p[0], q[0]) for i, p in enumerate(rows) for q in rows[i + 1:] if q[0] >= 5000 and gap(p, q) < 1e-9}
+    assert close <= {tuple(p) for p in pairs}

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of the filters, and below the ranges and texts of their errors.
 FIELDS = ("borough", "hour", "weekday", "date_from", "date_to")
 
 

@@ -9,6 +9,8 @@ from zonetide.functions import geometry as g
 
 
 LEVEL_BITS = 2  # from level to level cells grow fourfold
+MOST_SPLITS = 3  # levels by which a long edge is cut finer: into up to 64 pieces
+SLACK = 1e-12    # by which the boxes of pieces are widened, of the largest coordinate, since their ends are rounded
 
 
 def level_of(length: Column, farthest: Column) -> Column:
@@ -26,27 +28,55 @@ def _strips(level: Column, one: Column, other: Column) -> Column:
 
 
 def _in_cells(edges: DataFrame) -> DataFrame:
-    """One row per cell (cx, cy) of its ``level`` that an edge's box meets."""
+    """One row per cell (cx, cy) of its ``level`` that the box of an edge's piece meets."""
+    left, low, right, high = (F.col(c) for c in BOX)
+    return (edges.withColumn("cx", F.explode(_strips(F.col("level"), left, right)))
+            .withColumn("cy", F.explode(_strips(F.col("level"), low, high))))
+
+
+BOX = ("left", "low", "right", "high")
+
+
+def _in_pieces(edges: DataFrame) -> DataFrame:
+    """Edges cut into pieces, each with its box and the level (``own``) of its length.
+
+    Edges longer than most are cut, so that boxes lie along them: the box of a long slanted edge would take in every
+    short one around it. ``own`` of the most edges decides, so most stay whole and few are cut into many.
+    """
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    return (edges.withColumn("cx", F.explode(_strips(F.col("level"), x1, x2)))
-            .withColumn("cy", F.explode(_strips(F.col("level"), y1, y2))))
+    farthest = F.greatest(F.abs(x1), F.abs(y1), F.abs(x2), F.abs(y2))
+    levelled = edges.withColumn("own", level_of(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)), farthest))
+    usual = levelled.groupBy("own").agg(F.count("*").alias("n")).agg(
+        F.max_by("own", F.struct("n", "own"))).scalar()
+    splits = F.greatest(F.least((F.col("own") - usual) / LEVEL_BITS, F.lit(float(MOST_SPLITS))), F.lit(0.0)).cast("int")
+    cut = levelled.withColumn("_splits", splits).withColumn(
+        "_n", F.pow(F.lit(2.0), LEVEL_BITS * F.col("_splits"))).withColumn(
+        "_k", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+
+    def end(a: Column, b: Column, k: Column) -> Column:
+        return F.when(F.col("_n") == 1, F.when(k == F.col("_k"), a).otherwise(b)).otherwise(a + (b - a) * (k / F.col("_n")))
+
+    k, slack = F.col("_k"), F.when(F.col("_n") == 1, 0.0).otherwise(farthest * SLACK)
+    ends = {"x": (end(x1, x2, k), end(x1, x2, k + 1)), "y": (end(y1, y2, k), end(y1, y2, k + 1))}
+    box = {name: side(*ends[axis]) + sign * slack for name, axis, side, sign in (
+        ("left", "x", F.least, -1), ("low", "y", F.least, -1), ("right", "x", F.greatest, 1), ("high", "y", F.greatest, 1))}
+    # A piece is as many levels lower as it was cut finer; widened boxes still reach into two cells a direction.
+    return cut.withColumns(box).withColumn("own", F.col("own") - LEVEL_BITS * F.col("_splits")).select(
+        *edges.columns, "own", *BOX)
 
 
 def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
     """Pairs of edges whose boxes meet, found through shared grid cells.
 
-    Every edge is at home on the level of its own length, in four cells at most, and visits
-    the coarser levels that exist, so that each pair meets where the longer edge is at home.
-    Neither very short nor very long edges cover many cells.
+    Edges much longer than most are cut into pieces. Every piece is at home on the level of its own length, in four cells at
+    most (nine where it was widened), and visits the coarser levels that exist, so that each pair meets where the longer piece is
+    at home. Neither very short nor very long edges cover many cells, and a long edge meets only those near it.
 
     Columns of the two sides are prefixed ``a_`` and ``b_``; across zones a has the
-    smaller zone id. A pair sharing several cells is listed once per cell: the callers only
+    smaller zone id. A pair sharing several cells is listed once per cell and pieces: the callers only
     ask whether a pair exists, and repeating a test is cheaper than a shuffle to remove repeats.
     """
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    own = edges.withColumn("own", level_of(
-        F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)),
-        F.greatest(F.abs(x1), F.abs(y1), F.abs(x2), F.abs(y2))))
+    own = _in_pieces(edges)
     # About 1000 levels cover all doubles.
     levels = own.agg(F.collect_set("own")).scalar()
     visiting = own.withColumn("level", F.explode(levels)).where("level >= own")
@@ -75,11 +105,12 @@ def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
         return F.greatest(f"{side_}_{axis}1", f"{side_}_{axis}2")
 
     boxes_meet = ((low("a", "x") <= high("b", "x")) & (low("b", "x") <= high("a", "x"))
-                  & (low("a", "y") <= high("b", "y")) & (low("b", "y") <= high("a", "y")))
+                  & (low("a", "y") <= high("b", "y")) & (low("b", "y") <= high("a", "y"))
+                  & F.expr("a_left <= b_right AND b_left <= a_right AND a_low <= b_high AND b_low <= a_high"))
     # Sizes estimated from the zone file say little about the gridded edges, so the sides
     # are never broadcast; hot cells are split at run time.
     pairs = a.hint("merge").join(b, keys).where(once & boxes_meet).drop(
-        "level", "cx", "cy", "a_own", "b_own")
+        "level", "cx", "cy", "a_own", "b_own", *[f"{side_}_{name}" for side_ in "ab" for name in BOX])
     if same_zone:
         return pairs
     ordered = zone_a < zone_b

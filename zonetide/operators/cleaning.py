@@ -104,6 +104,7 @@ def broken_rules(df: DataFrame) -> dict[str, Column]:
     amounts = _fractional(df, ("trip_distance", *MONEY_COLUMNS))
     infinite = {"infinite_amount": F.greatest(*[F.abs(F.col(c)) for c in amounts], F.lit(0.0))
                 == float("inf")} if amounts else {}
+    # Names of the reasons, in reporting order.
     return {
         "pickup_datetime_missing_or_invalid": F.col("pickup_datetime").isNull(),
         "dropoff_datetime_missing_or_invalid": F.col("dropoff_datetime").isNull(),

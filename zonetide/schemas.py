@@ -26,10 +26,12 @@ SOURCE_NAMES = {
     "airport_fee": "airport_fee",
     "cbd_congestion_fee": "cbd_congestion_fee",
 }
+# Standard names of columns that a source may lack.
 OPTIONAL_COLUMNS = ("congestion_surcharge", "airport_fee", "cbd_congestion_fee")
 REQUIRED_COLUMNS = tuple(
     source for source, name in SOURCE_NAMES.items() if name not in OPTIONAL_COLUMNS)
 
+# Standard names by kind.
 TIME_COLUMNS = ("pickup_datetime", "dropoff_datetime")
 INTEGER_COLUMNS = ("vendor_id", "passenger_count", "rate_code_id", "pickup_location_id",
                    "dropoff_location_id", "payment_type")
@@ -37,7 +39,7 @@ MONEY_COLUMNS = ("fare_amount", "extra_amount", "mta_tax", "tip_amount", "tolls_
                  "improvement_surcharge", "congestion_surcharge", "airport_fee",
                  "cbd_congestion_fee", "total_amount")
 
-# Stored trip columns and their types.
+# Stored trip columns and their types.
 TRIP_TYPES = {
     "vendor_id": "smallint",
     "pickup_datetime": "timestamp",
