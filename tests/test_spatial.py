@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from zonetide import Filters
 from zonetide.functions import geometry as g
 from zonetide.functions.projection import PROJECTIONS, forward, inverse
-from zonetide.operators.adjacency import edge_pairs, zone_adjacency
+from zonetide.operators.adjacency import MOST_PIECES, _in_pieces, edge_pairs, zone_adjacency
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import priority_class, weighted_score, zone_details, zone_scores
 from zonetide.operators.simplify import simplify
 from zonetide.operators.export import to_features, write_features
+from zonetide.sources.fixtures import mixed_parcels
 from zonetide.sources.zones import read_zone_table, read_zones, standardise_zones, validate_zones, zone_violations
 
 
@@ -323,3 +324,11 @@ def test_long_slanted_edges_meet_only_what_is_near(spark):
 
     close = {(p[0], q[0]) for i, p in enumerate(rows) for q in rows[i + 1:] if q[0] >= 5000 and gap(p, q) < 1e-9}
     assert close <= {tuple(p) for p in pairs}
+
+
+def test_long_edges_are_cut_into_bounded_numbers(spark, sf):
+    """Most edges are of a millionth of a degree: all others are long beside them."""
+    found = g.edges(mixed_parcels(spark, sf))
+    pieces = _in_pieces(found)
+    assert found.count() < pieces.count() <= MOST_PIECES * found.count()
+    assert {r.own for r in pieces.select("own").distinct().collect()} == set(pieces.first().levels)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.functions import geometry as g
+from zonetide.plans.shared import stored
 
 
 LEVEL_BITS = 2  # from level to level cells grow fourfold
 MOST_SPLITS = 3  # levels by which a long edge is cut finer: into up to 64 pieces
+MOST_PIECES = 5  # pieces for each edge, over all
 SLACK = 1e-12    # by which the boxes of pieces are widened, of the largest coordinate, since their ends are rounded
 
 
@@ -37,19 +39,40 @@ def _in_cells(edges: DataFrame) -> DataFrame:
 BOX = ("left", "low", "right", "high")
 
 
+def _splits(own: Column, usual: Column) -> Column:
+    """Levels by which an edge of level ``own`` is cut finer."""
+    return F.greatest(F.least((own - usual) / LEVEL_BITS, F.lit(float(MOST_SPLITS))), F.lit(0.0))
+
+
+def _sizes(levelled: DataFrame) -> Column:
+    """``usual``, the lowest level down to which edges can be cut without making more than ``MOST_PIECES`` pieces for each
+    edge there is, and ``levels``, those of all pieces. Both come from the numbers of edges by level, one pass."""
+    counted = levelled.groupBy("own").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("own", "n")).alias("found"))
+
+    def pieces(usual: Column) -> Column:
+        return F.aggregate("found", F.lit(0.0), lambda total, level: total + level["n"] * F.pow(
+            F.lit(2.0), LEVEL_BITS * _splits(level["own"], usual)))
+
+    edges = F.aggregate("found", F.lit(0.0), lambda total, level: total + level["n"])
+    owns = F.transform("found", lambda level: level["own"])
+    usual = F.array_min(F.filter(owns, lambda own: pieces(own) <= MOST_PIECES * edges))
+    # About 1000 levels cover all doubles.
+    return counted.select("found", usual.alias("usual")).select(F.struct("usual", F.array_distinct(F.transform(
+        "found", lambda level: level["own"] - LEVEL_BITS * F.floor(_splits(level["own"], F.col("usual")))))
+        .alias("levels"))).scalar()
+
+
 def _in_pieces(edges: DataFrame) -> DataFrame:
-    """Edges cut into pieces, each with its box and the level (``own``) of its length.
+    """Edges cut into pieces, each with its box, the level (``own``) of its length, and the ``levels`` there are.
 
     Edges longer than most are cut, so that boxes lie along them: the box of a long slanted edge would take in every
-    short one around it. ``own`` of the most edges decides, so most stay whole and few are cut into many.
+    short one around it. The longest are cut first, as long as there are at most ``MOST_PIECES`` pieces for each edge, over all.
     """
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     farthest = F.greatest(F.abs(x1), F.abs(y1), F.abs(x2), F.abs(y2))
     levelled = edges.withColumn("own", level_of(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)), farthest))
-    usual = levelled.groupBy("own").agg(F.count("*").alias("n")).agg(
-        F.max_by("own", F.struct("n", "own"))).scalar()
-    splits = F.greatest(F.least((F.col("own") - usual) / LEVEL_BITS, F.lit(float(MOST_SPLITS))), F.lit(0.0)).cast("int")
-    cut = levelled.withColumn("_splits", splits).withColumn(
+    sized = levelled.withColumn("_sizes", _sizes(levelled))
+    cut = sized.withColumn("_splits", _splits(F.col("own"), F.col("_sizes.usual")).cast("int")).withColumn(
         "_n", F.pow(F.lit(2.0), LEVEL_BITS * F.col("_splits"))).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
 
@@ -62,7 +85,13 @@ def _in_pieces(edges: DataFrame) -> DataFrame:
         ("left", "x", F.least, -1), ("low", "y", F.least, -1), ("right", "x", F.greatest, 1), ("high", "y", F.greatest, 1))}
     # A piece is as many levels lower as it was cut finer; widened boxes still reach into two cells a direction.
     return cut.withColumns(box).withColumn("own", F.col("own") - LEVEL_BITS * F.col("_splits")).select(
-        *edges.columns, "own", *BOX)
+        *edges.columns, "own", *BOX, F.col("_sizes.levels").alias("levels"))
+
+
+def stored_edges(zones: DataFrame) -> DataFrame:
+    """The edges of the zones, stored, as they are read several times. Zones are dealt out first: a small file, read by one
+    task, may hold very many."""
+    return stored(g.edges(zones.select("location_id", "geom").repartition("location_id")), "edges")
 
 
 def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
@@ -76,10 +105,9 @@ def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
     smaller zone id. A pair sharing several cells is listed once per cell and pieces: the callers only
     ask whether a pair exists, and repeating a test is cheaper than a shuffle to remove repeats.
     """
-    own = _in_pieces(edges)
-    # About 1000 levels cover all doubles.
-    levels = own.agg(F.collect_set("own")).scalar()
-    visiting = own.withColumn("level", F.explode(levels)).where("level >= own")
+    pieces = _in_pieces(edges)
+    own = pieces.drop("levels")
+    visiting = pieces.withColumn("level", F.explode(F.filter("levels", lambda level: level >= F.col("own")))).drop("levels")
     at_home = own.withColumn("level", F.col("own"))
 
     def side(prefix: str, levelled: DataFrame) -> DataFrame:
@@ -192,8 +220,7 @@ def _both_ways(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return pairs.select(F.explode(ways).alias("w")).select("w.*")
 
 
-def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
-               several_rings: DataFrame) -> DataFrame:
+def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame) -> DataFrame:
     """Touching pairs where a ring without contact lies inside the other zone.
 
     Only zones with several rings can have one. The ring's first vertex is tested against
@@ -216,9 +243,11 @@ def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame,
     walls = upright.withColumn("cy", F.explode(_strips(F.col("level"), y1, y2)))
     levels = upright.agg(F.collect_set("level")).scalar()
     qy = F.col("qy")
+    firsts = edges.where("seq = 0").select(
+        "location_id", "poly", "ring", F.col("x1").alias("qx"), F.col("y1").alias("qy"))
+    several_rings = firsts.groupBy("location_id").count().where("count > 1")
     points = (
-        several_rings.where("seq = 0")
-        .select("location_id", "poly", "ring", F.col("x1").alias("qx"), F.col("y1").alias("qy"))
+        firsts.join(several_rings, "location_id", "left_semi")
         .join(_both_ways(touching, "location_id", "other"), "location_id")
         .join(met, ["location_id", "other", "poly", "ring"], "left_anti")
         .withColumn("level", F.explode(levels))
@@ -241,14 +270,13 @@ def zone_adjacency(zones: DataFrame) -> DataFrame:
 
     Works on the unsimplified geometry. Contact in a single corner counts.
     """
-    edges = g.edges(zones)
-    several_rings = g.edges(zones.where(F.size(F.flatten("geom")) > 1))
+    edges = stored_edges(zones)
     contacts = _contacts(edge_pairs(edges))
     touching = (
         contacts.groupBy("a_location_id", "b_location_id")
         .agg(F.max("overlap").alias("overlap"))
         .where(~F.col("overlap")).select("a_location_id", "b_location_id")
     )
-    kept = touching.join(_swallowed(touching, contacts, edges, several_rings),
+    kept = touching.join(_swallowed(touching, contacts, edges),
                          ["a_location_id", "b_location_id"], "left_anti")
     return _both_ways(kept, "location_id", "neighbour_id")
