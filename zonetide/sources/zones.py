@@ -8,9 +8,9 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.functions.geometry import edges, map_vertices
+from zonetide.functions.geometry import map_vertices
 from zonetide.functions.projection import inverse, projection_of
-from zonetide.operators.adjacency import edge_pairs, with_turns
+from zonetide.operators.adjacency import edge_pairs, stored_edges, with_turns
 from zonetide.schemas import GEOMETRY
 from zonetide.sources.trips import require_columns
 
@@ -132,7 +132,7 @@ def zone_violations(zones: DataFrame, check_crossings: bool = True) -> DataFrame
 
 def self_crossings(zones: DataFrame) -> DataFrame:
     """Zones with two boundary edges crossing each other."""
-    return (with_turns(edge_pairs(edges(zones), same_zone=True))
+    return (with_turns(edge_pairs(stored_edges(zones), same_zone=True))
             .where("crossing").select("location_id").distinct())
 
 
