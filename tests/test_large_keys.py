@@ -10,7 +10,7 @@ from test_queries import table
 KEYS = [*range(32_700, 32_830), *range(43_400, 43_900), *range(46_000, 46_200), *range(899_900, 900_000)]
 
 
-@pytest.mark.parametrize("name", ["zone_violations"])
+@pytest.mark.parametrize("name", ["zone_violations", "zones_from_geojson"])
 def test_parcels_of_large_keys(spark, tmp_path, name):
     spark.createDataFrame([(k, k % 25, 1.0) for k in KEYS], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(
         str(tmp_path / "customer.parquet"))

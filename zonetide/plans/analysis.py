@@ -60,12 +60,17 @@ def _simplified_map(spark: SparkSession, sf: str) -> DataFrame:
     return thin.select("location_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).distinct()
 
 
+PARCELS_A_DOCUMENT = 300
+MERCATOR_NORTH = 85.0  # degrees; the square of Web Mercator ends shortly after
+
+
 def _zones_from_geojson(spark: SparkSession, sf: str) -> DataFrame:
     """Parcels written in three ways into one folder, by id % 3: a feature a line; collections, one a line; indented collections
-    in Web Mercator."""
+    in Web Mercator, or in degrees if they reach beyond the latitude where that ends."""
     folder = new_folder(spark, "zones")
     parcels = fx.parcels(spark, sf)
-    kind, number = F.col("location_id") % 3, F.floor(F.col("location_id") / 300)
+    kind, number = F.col("location_id") % 3, F.floor(F.col("location_id") / PARCELS_A_DOCUMENT)
+    north = F.floor(((number + 1) * PARCELS_A_DOCUMENT - 1) / fx.PARCEL_COLUMNS + 1) * fx.PARCEL_SIDE
 
     def features(rows: DataFrame) -> DataFrame:
         named = rows.drop("service_zone").withColumnsRenamed({"location_id": "LocationID", "zone_name": "zone"})
@@ -86,10 +91,13 @@ def _zones_from_geojson(spark: SparkSession, sf: str) -> DataFrame:
         x, y = forward(v["x"], v["y"], PROJECTIONS["EPSG:3857"])
         return F.struct(x.alias("x"), y.alias("y"))
 
-    metres = parcels.where(kind == 2).withColumn("geom", geometry.map_vertices(F.col("geom"), to_metres))
+    indented = parcels.where(kind == 2)
+    metres = indented.where(north <= MERCATOR_NORTH).withColumn("geom", geometry.map_vertices(F.col("geom"), to_metres))
+    documents = collections(metres, "urn:ogc:def:crs:EPSG::3857", "\n").unionByName(
+        collections(indented.where(north > MERCATOR_NORTH), "urn:ogc:def:crs:OGC:1.3:CRS84", "\n"))
     # One file for each document.
-    (collections(metres, "urn:ogc:def:crs:EPSG::3857", "\n").write.partitionBy("document").text(f"{folder}/documents"))
-    found = read_zones(spark, f"{folder}/*/*", source_crs="EPSG:4326")
+    documents.write.partitionBy("document").text(f"{folder}/documents")
+    found = read_zones(spark, f"{folder}/*/*", source_crs="EPSG:4326", id_type="int")
     points = geometry.vertices(found, "zone_name", "borough")
     return points.select(F.col("location_id").cast("int").alias("location_id"), "zone_name", "borough", "seq",
                          F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -22,12 +22,13 @@ DOCUMENT = (f"{FEATURE}, crs struct<properties:struct<name:string>>, "
 
 
 def read_zones(spark: SparkSession, path: str, source_crs: str | None = "EPSG:4326",
-               names: dict[str, str] | None = None) -> DataFrame:
+               names: dict[str, str] | None = None, id_type: str = "smallint") -> DataFrame:
     """Zones from GeoJSON files: Features and FeatureCollections, one per line or one per file, in any mixture.
 
     Each file is taken for what it is. A ``crs`` member holds for its own collection or feature in the place of ``source_crs``.
     ``names`` maps the id, name and borough properties of the file; polygons become multipolygons and coordinates
-    longitude / latitude. Documents of another type raise ``ValueError``.
+    longitude / latitude. ``id_type`` is the type of the ids: the stored one, or a wider one for maps of more zones than that
+    can number. Documents of another type raise ``ValueError``.
     """
     names = names or {"LocationID": "location_id", "zone": "zone_name", "borough": "borough"}
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
@@ -61,7 +62,7 @@ def read_zones(spark: SparkSession, path: str, source_crs: str | None = "EPSG:43
         part = standardise_zones(found.select(
             *[F.col("properties")[source].alias(target) for source, target in names.items()],
             F.col("properties")["service_zone"].alias("service_zone"),
-            map_vertices(nested, _vertex).alias("geom")), crs)
+            map_vertices(nested, _vertex).alias("geom")), crs, id_type)
         zones = part if zones is None else zones.unionByName(part)
     return zones
 
@@ -80,7 +81,7 @@ def read_zone_table(spark: SparkSession, path: str) -> DataFrame:
     return standardise_zones(spark.read.parquet(path))
 
 
-def standardise_zones(zones: DataFrame, source_crs: str | None = "EPSG:4326") -> DataFrame:
+def standardise_zones(zones: DataFrame, source_crs: str | None = "EPSG:4326", id_type: str = "smallint") -> DataFrame:
     """Zone columns with their stored types, in longitude / latitude."""
     require_columns(zones, ("location_id", "zone_name", "borough", "geom"))
     if source_crs is None:
@@ -94,7 +95,7 @@ def standardise_zones(zones: DataFrame, source_crs: str | None = "EPSG:4326") ->
         geom = map_vertices(geom, to_degrees)
     service = F.col("service_zone") if "service_zone" in zones.columns else F.lit(None)
     return zones.select(
-        F.col("location_id").cast("smallint").alias("location_id"),
+        F.col("location_id").cast(id_type).alias("location_id"),
         F.col("zone_name").cast("string").alias("zone_name"),
         F.col("borough").cast("string").alias("borough"),
         service.cast("string").alias("service_zone"),
