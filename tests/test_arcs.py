@@ -5,7 +5,9 @@ import random
 
 from conftest import box, ring
 
+from zonetide.functions.geometry import rings
 from zonetide.operators.arcs import simplify_map
+from zonetide.sources.fixtures import bordered_parcels
 
 
 def edges(geom):
@@ -82,3 +84,9 @@ def test_null_empty_and_no_boundaries(make_zones):
     thin = simplified(make_zones({1: None, 2: [], 3: [[box(0, 0)]]}), 0.1)
     assert thin[1] is None and thin[2] == [] and len(points(thin[3])) == 4
     assert simplify_map(make_zones({1: None}).limit(0)).collect() == []
+
+
+def test_boundaries_are_made_after_dealing_out(spark, sf):
+    plan = rings(bordered_parcels(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.rsplit("Repartition", 1)
+    assert "lambda" in above and "lambda" not in below

@@ -72,7 +72,10 @@ def map_vertices(geom: Column, change: Callable[[Column], Column]) -> Column:
 def rings(zones: DataFrame, *keep: str) -> DataFrame:
     """One row per ring: location_id, poly, ring, vertices."""
     return (
-        zones.select("location_id", *keep, F.posexplode("geom").alias("poly", "polygon"))
+        # For an inner explode Spark adds a filter on ``geom``, which moves down and makes every boundary once more, before
+        # zones are dealt out.
+        zones.select("location_id", *keep, F.posexplode_outer("geom").alias("poly", "polygon"))
+        .where("polygon IS NOT NULL")
         .select("location_id", *keep, "poly",
                 F.posexplode("polygon").alias("ring", "vertices"))
     )

@@ -10,6 +10,8 @@ concerned are simplified again with a smaller tolerance, at last not at all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def junctions(rings: DataFrame) -> DataFrame:
 
 def ring_arcs(zones: DataFrame) -> DataFrame:
     """Arcs of every ring in order: ring, place, points, and whether the ring runs against them."""
-    clean = g.rings(zones).withColumn("vertices", g.without_repeats(F.col("vertices")))
+    dealt_out = zones.select("location_id", "geom").repartition("location_id")
+    clean = g.rings(dealt_out).withColumn("vertices", g.without_repeats(F.col("vertices")))
     rings = stored(clean.where(F.size("vertices") >= 4).select(
         *RING, F.slice("vertices", F.lit(1), F.size("vertices") - 1).alias("v")), "rings")
     points = rings.select(*RING, F.posexplode("v").alias("seq", "p")).select(*RING, "seq", "p.x", "p.y")
@@ -59,27 +62,43 @@ def ring_arcs(zones: DataFrame) -> DataFrame:
                     F.xxhash64("points").alias("arc")))
 
 
-def _distance2(p: Column, a: Column, b: Column) -> Column:
-    """Squared distance of p from the segment a-b."""
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    length = dx * dx + dy * dy
-    px, py = p["x"] - a["x"], p["y"] - a["y"]
-    along = F.when(length > 0, F.greatest(F.least((px * dx + py * dy) / length, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
-    x, y = px - along * dx, py - along * dy
-    return x * x + y * y
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _chord(a: Column, b: Column) -> Column:
+    """Start, difference of the ends and squared length of the segment a-b."""
+    return _with(F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")),
+                 lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["dx"].alias("dx"), c["dy"].alias("dy"),
+                                    (c["dx"] * c["dx"] + c["dy"] * c["dy"]).alias("length")))
+
+
+def _distance2(p: Column, chord: Column) -> Column:
+    """Squared distance of p from a segment."""
+    dx, dy, length = chord["dx"], chord["dy"], chord["length"]
+
+    def from_start(q: Column) -> Column:
+        along = F.when(length > 0, F.greatest(F.least(
+            (q["x"] * dx + q["y"] * dy) / length, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+        return _with(along, lambda t: _with(
+            F.struct((q["x"] - t * dx).alias("x"), (q["y"] - t * dy).alias("y")), lambda d: d["x"] * d["x"] + d["y"] * d["y"]))
+
+    return _with(p, lambda v: _with(F.struct((v["x"] - chord["x"]).alias("x"), (v["y"] - chord["y"]).alias("y")), from_start))
 
 
 def _split(span: Column) -> Column:
     """The span, closed, or its two parts at the vertex farthest from its chord."""
     i, j = span["i"], span["j"]
     a, b = F.get("points", i), F.get("points", j)
+    closed = F.struct(i.alias("i"), j.alias("j"), F.lit(False).alias("open"))
 
-    def farther(best: Column, k: Column) -> Column:
-        return F.transform(F.array(_distance2(F.get("points", k), a, b)), lambda d: F.when(
-            d > best["d"], F.struct(d.alias("d"), k.alias("k"))).otherwise(best))[0]
+    def farthest(chord: Column) -> Column:
+        def farther(best: Column, k: Column) -> Column:
+            return _with(_distance2(F.get("points", k), chord), lambda d: F.when(
+                d > best["d"], F.struct(d.alias("d"), k.alias("k"))).otherwise(best))
 
-    farthest = F.aggregate(F.sequence(i + 1, j - 1), F.struct(F.lit(-1.0).alias("d"), F.lit(0).alias("k")), farther)
-    closed = F.struct(i.alias("i"), j.alias("j"), F.lit(False).alias("open"))
+        return F.aggregate(F.sequence(i + 1, j - 1), F.struct(F.lit(-1.0).alias("d"), F.lit(0).alias("k")), farther)
 
     def decide(far: Column) -> Column:
         parts = F.array(F.struct(i.alias("i"), far["k"].alias("j"), F.lit(True).alias("open")),
@@ -88,8 +107,7 @@ def _split(span: Column) -> Column:
         whole = (i == 0) & (j == F.size("points") - 1) & (a == b)
         return F.when((far["d"] > F.col("tolerance") * F.col("tolerance")) | whole, parts).otherwise(F.array(closed))
 
-    return F.when(~span["open"] | (j - i < 2), F.array(closed)).otherwise(
-        F.transform(F.array(farthest), decide)[0])
+    return F.when(~span["open"] | (j - i < 2), F.array(closed)).otherwise(_with(_with(_chord(a, b), farthest), decide))
 
 
 def _thinned(arcs: DataFrame) -> DataFrame:
@@ -137,25 +155,31 @@ def _jumped(arcs: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
     pairs = edge_pairs(stretches.unionByName(starts.select(*edges.columns)))
     near = None
     for edge, other in (("a", "b"), ("b", "a")):
-        side = pairs.where((F.col(f"{edge}_poly") == 0) & (F.col(f"{other}_poly") == 1)).select(
+        start, ends = g.point(f"{other}_px", f"{other}_py"), [g.point(f"{edge}_x{end}", f"{edge}_y{end}") for end in (1, 2)]
+        # The ends of a stretch are on it.
+        side = pairs.where((F.col(f"{edge}_poly") == 0) & (F.col(f"{other}_poly") == 1)
+                           & ~g.equal(start, ends[0]) & ~g.equal(start, ends[1])).select(
             F.col(f"{edge}_location_id").alias("arc"), F.col(f"{edge}_seq").alias("seq"),
             F.col(f"{other}_px").alias("x"), F.col(f"{other}_py").alias("y"))
         near = side if near is None else near.union(side)
-    loops = near.distinct().join(arcs.select("arc", "points", "spans"), "arc").withColumn(
-        "loop", F.slice("points", F.get("spans", F.col("seq"))["i"] + 1,
-                        F.get("spans", F.col("seq"))["j"] - F.get("spans", F.col("seq"))["i"] + 1))
-    n = F.size("loop")
+    found = near.distinct().join(arcs.select("arc", "points", "spans"), "arc")
+
+    def encloses(loop: Column) -> Column:
+        n = F.size(loop)
+
+        def crossed(i: Column) -> Column:
+            a, b = F.get(loop, i), F.get(loop, (i + 1) % n)
+            spans = (a["y"] <= F.col("y")) != (b["y"] <= F.col("y"))
+            # The division is only reached where the edge isn't level.
+            return F.when(spans, a["x"] + (F.col("y") - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]) > F.col("x")
+                          ).otherwise(False)
 
-    def crossed(i: Column) -> Column:
-        a, b = F.get("loop", i), F.get("loop", (i + 1) % n)
-        spans = (a["y"] <= F.col("y")) != (b["y"] <= F.col("y"))
-        # The division is only reached where the edge isn't level.
-        return F.when(spans, a["x"] + (F.col("y") - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]) > F.col("x")
-                      ).otherwise(False)
+        rays = F.size(F.filter(F.sequence(F.lit(0), n - 1), crossed))
+        on_it = F.exists(loop, lambda v: (v["x"] == F.col("x")) & (v["y"] == F.col("y")))
+        return (rays % 2 == 1) & ~on_it
 
-    rays = F.size(F.filter(F.sequence(F.lit(0), n - 1), crossed))
-    on_it = F.exists("loop", lambda v: (v["x"] == F.col("x")) & (v["y"] == F.col("y")))
-    return loops.where((rays % 2 == 1) & ~on_it).select("arc")
+    loop = _with(F.get("spans", F.col("seq")), lambda s: F.slice("points", s["i"] + 1, s["j"] - s["i"] + 1))
+    return found.where(_with(loop, encloses)).select("arc")
 
 
 def _in_the_way(arcs: DataFrame, uses: DataFrame, tolerance: float) -> DataFrame:
@@ -205,6 +229,6 @@ def simplify_map(zones: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> Data
         *RING, F.concat("open", F.slice("open", 1, 1)).alias("vertices"))
     polygons = in_order(rings, RING[:2], "ring", "vertices").withColumnRenamed("parts", "rings")
     geoms = in_order(polygons, RING[:1], "poly", "rings").select("location_id", F.col("parts").cast(GEOMETRY).alias("thin"))
-    empty = F.col("geom").isNull() | (F.size("geom") == 0)
-    return zones.join(geoms, "location_id", "left").withColumn(
-        "geom", F.when(empty, F.col("geom")).otherwise(F.coalesce("thin", F.array().cast(GEOMETRY)))).select(*zones.columns)
+    # What zones without a ring keep: null or empty boundaries.
+    others = zones.withColumn("geom", F.when(F.col("geom").isNotNull(), F.array().cast(GEOMETRY)))
+    return others.join(geoms, "location_id", "left").withColumn("geom", F.coalesce("thin", "geom")).select(*zones.columns)

@@ -43,6 +43,7 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARCEL_COLUMNS = 128
 PARCEL_SIDE = 0.25
+SHAPE_TASKS = 48
 
 
 def _parcel_grid() -> tuple[Column, Column]:
@@ -52,7 +53,9 @@ def _parcel_grid() -> tuple[Column, Column]:
 
 def _parcels(spark: SparkSession, sf_dir: str, geom: Column) -> DataFrame:
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    # Dealt out first: a task reads many customers, and their shapes take much longer to make.
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return customers.repartition(SHAPE_TASKS, "c_custkey").select(
         key.cast("int").alias("location_id"),
         F.concat(F.lit("PARCEL_"), key).alias("zone_name"),
         F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("borough"),
