@@ -7,7 +7,7 @@ from conftest import box, ring
 
 from zonetide.functions.geometry import rings
 from zonetide.operators.arcs import simplify_map
-from zonetide.sources.fixtures import bordered_parcels
+from zonetide.sources.fixtures import bordered_parcels, wavy_parcels
 
 
 def edges(geom):
@@ -90,3 +90,9 @@ def test_boundaries_are_made_after_dealing_out(spark, sf):
     plan = rings(bordered_parcels(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.rsplit("Repartition", 1)
     assert "lambda" in above and "lambda" not in below
+
+
+def test_wavy_boundaries_are_made_after_dealing_out(spark, sf):
+    plan = rings(wavy_parcels(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.rsplit("Repartition", 1)
+    assert "struct(x, " in above and "struct(x, " not in below
