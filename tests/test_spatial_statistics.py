@@ -125,3 +125,26 @@ def test_lisa_of_a_whole_clique_and_of_nothing(make):
     assert [r.cluster for r in stats.lisa(*make({1: 5}, [])).collect()] == ["No Neighbours"]
     with pytest.raises(ValueError, match="permutations"):
         stats.lisa(*make(values, []), permutations=0)
+
+
+def test_replicates_are_dealt_out_and_few_zones_sorted(spark, monkeypatch):
+    zones, replicates, places = 3000, 9, 10
+    own = spark.range(zones).selectExpr("id location_id", "id * 7 % 101 - 50 _d").coalesce(1)
+    passes = []
+    monkeypatch.setattr(stats, "stored", lambda df, name: passes.append(df) or df)
+
+    def found():
+        passes.clear()
+        return sorted((r.replicate, r.place, r.location_id, r.sum)
+                      for r in stats._drawn(own, zones, replicates, places).collect())
+
+    expected = []
+    for r in range(1, replicates + 1):
+        order = sorted(range(zones), key=lambda i: hashlib.md5(f"{r}:{i}".encode()).hexdigest())[:places]
+        expected += [(r, k + 1, i, sum(j * 7 % 101 - 50 for j in order[:k + 1])) for k, i in enumerate(order)]
+    assert found() == expected and len(passes) == 1
+    plan = passes[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "_order" in plan and f"{2 ** 48 * 104 // zones:012x}" in plan
+    # Too few at first: replicates that come out short are drawn from more.
+    monkeypatch.setattr(stats, "SPARE", -36)
+    assert found() == expected and len(passes) > 1

@@ -25,6 +25,8 @@ LEVELS = (0.01, 0.05, 0.10)
 GI_CLASSES = {3: "Hotspot 99%", 2: "Hotspot 95%", 1: "Hotspot 90%", 0: "Not Significant",
               -1: "Coldspot 90%", -2: "Coldspot 95%", -3: "Coldspot 99%"}
 P_UNIT = 1_000_000  # p values carry 6 decimals
+SPARE = 64          # zones drawn in a replicate beyond those needed, on average
+TASKS_A_CORE = 4
 
 
 def zone_values(demand: DataFrame, zones: DataFrame, filters: Filters = NO_FILTERS) -> DataFrame:
@@ -145,14 +147,38 @@ def _quadrant(own: Column, around: Column) -> Column:
             .otherwise("Undefined"))
 
 
+def _drawn(own: DataFrame, zones: int, permutations: int, places: int) -> DataFrame:
+    """The first ``places`` of all ``zones`` in each replicate, in order, with their ``place`` and the running sum of ``_d``.
+
+    Of 2^48 orders only the lowest are sorted, enough for four times ``places`` zones and some more in a replicate of average
+    luck. Should a replicate come out short all the same, more are taken. Zones are dealt out first: each is a row for each
+    replicate, and a small file, read by one task, holds very many.
+    """
+    tasks = TASKS_A_CORE * own.sparkSession.sparkContext.defaultParallelism
+    needed = min(places, zones)
+    replicates = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
+    everything = (own.select("location_id", "_d").repartition(tasks, "location_id").withColumn("replicate", replicates)
+                  .withColumn("_order", F.md5(F.concat_ws(":", "replicate", "location_id").cast("binary"))))
+    order = Window.partitionBy("replicate").orderBy("_order", "location_id")
+    wanted = 4 * needed + SPARE
+    while True:
+        lowest = F.col("_order") < f"{2 ** 48 * wanted // zones:012x}" if wanted < zones else F.lit(True)
+        drawn = stored(everything.where(lowest).withColumn("place", F.row_number().over(order))
+                       .where(F.col("place") <= places)
+                       .withColumn("sum", F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, 0))), "drawn")
+        if wanted >= zones or drawn.where(F.col("place") == needed).count() == permutations:
+            return drawn
+        wanted *= 8
+
+
 def lisa(values: DataFrame, adjacency: DataFrame, permutations: int = 999, alpha: float = 0.05) -> DataFrame:
     """Local Moran's I of each zone, its quadrant, pseudo p value and cluster.
 
     Pseudo p values come from a conditional permutation test: in each replicate a zone keeps its value and gets as many of
     the others' as it has neighbours. Replicate r puts all zones in the order of md5("r:location_id"); a zone
     takes the first ones, itself left out. So a replicate is a running sum over one order, of which only as many zones as
-    the largest neighbourhood are kept in each task, before anything is shuffled; a zone needs that sum
-    at its number of neighbours, and one place further where it comes among the first itself. p is the smaller of the
+    the largest neighbourhood are kept, and few more are sorted; a zone needs that sum at its number of neighbours, and one
+    place further where it comes among the first itself. p is the smaller of the
     shares of replicates at least, and at most, as large as the neighbours' sum, the observed one counted in.
 
     Zones without neighbours have null statistics and the cluster "No Neighbours". A value at the mean, or neighbours
@@ -162,13 +188,10 @@ def lisa(values: DataFrame, adjacency: DataFrame, permutations: int = 999, alpha
     check_range("alpha", alpha, 0, 1)
     local = stored(_deviations(values, adjacency), "local")
     own = local.select("location_id", "_d", "_around", F.col("neighbour_count").alias("_k"))
-    largest = own.agg(F.max("_k")).first()[0] or 0
+    largest, zones = own.agg(F.max("_k"), F.count("*")).first()
+    largest = largest or 0
 
-    order = Window.partitionBy("replicate").orderBy("_order", "location_id")
-    drawn = (own.select("location_id", "_d", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("replicate"))
-             .withColumn("_order", F.md5(F.concat_ws(":", "replicate", "location_id").cast("binary")))
-             .withColumn("place", F.row_number().over(order)).where(F.col("place") <= largest + 1)
-             .withColumn("sum", F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    drawn = _drawn(own, zones, permutations, largest + 1)
     sizes = own.where("_k > 0").select(F.col("_k").alias("place")).distinct()
     sums = drawn.join(sizes, "place").groupBy(F.col("place").alias("_k")).agg(F.collect_list("sum").alias("_sums"))
 
