@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from zonetide.operators.rollup import zone_hourly_demand
-from zonetide.plans.warehouse import Warehouse, append_new, upsert
+from zonetide.plans.warehouse import REJECT_TABLE_SCHEMA, Warehouse, append_new, upsert
 from zonetide.schemas import ROLLUP_COLUMNS
 from zonetide.sources import fixtures as fx
 from zonetide.streaming.ingest import load_landing_folder
@@ -91,6 +91,27 @@ def test_files_of_equal_names_in_two_folders_lose_nothing(spark, folder, tmp_pat
     assert fresh.rejected_trips().count() == 2 * reports[0].rejected > 0
 
 
+def test_rejects_keep_the_date_of_their_first_load_and_meet_by_row(spark, folder, tmp_path, monkeypatch):
+    root, store = folder
+    fresh = Warehouse(spark, str(tmp_path / "store"))
+    fresh.load_zones(store.zones().drop("created_at"))
+    first = fresh.load_trips(str(root / "first"))
+    rejects = tmp_path / "store" / "raw" / "rejected_trips"
+    next(rejects.glob("load_date=*")).rename(rejects / "load_date=2020-01-01")
+    replaced, replace = [], fresh._replace
+    monkeypatch.setattr(fresh, "_replace", lambda rows, table, *rest: replaced.append((table, rows)) or replace(rows, table, *rest))
+    both = fresh.load_trips([str(root / "first"), str(root / "second")])
+    again = fresh.load_trips(str(root / "second"))
+    kept = fresh._read("raw/rejected_trips", REJECT_TABLE_SCHEMA)
+    assert kept.where("load_date = DATE'2020-01-01'").count() == first.rejected
+    assert kept.count() == kept.select("source_file", "source_row_number").distinct().count() == both.rejected
+    assert again.rejected == both.rejected - first.rejected > 0
+    # A date is one key for all rows loaded on it: nothing may be joined by dates.
+    plans = [rows._jdf.queryExecution().optimizedPlan().toString() for table, rows in replaced if table == "raw/rejected_trips"]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert len(plans) == 2 and joins and not any("load_date" in line for line in joins)
+
+
 def test_append_and_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "y")], "k int, v string")

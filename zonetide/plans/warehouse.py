@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.operators.adjacency import zone_adjacency
@@ -182,7 +182,7 @@ class Warehouse:
          .hint("rebalance", "pickup_date")
          .write.mode("append").partitionBy("pickup_date").parquet(self._path("core/trips")))
 
-        self._store_rejects(split.rejected.withColumn("rejected_at", loaded_at), from_files)
+        self._store_rejects(split.rejected.withColumn("rejected_at", loaded_at), from_files, loaded_at)
 
         # Counted in the tables: what is reported is what is stored.
         refused = from_files(self.rejected_trips()).where(
@@ -194,8 +194,8 @@ class Warehouse:
         return LoadReport(valid=raw.count() - refused, rejected=refused, inserted=inserted,
                           dates=dates)
 
-    def _store_rejects(self, rejected: DataFrame,
-                       from_files: Callable[[DataFrame], DataFrame]) -> None:
+    def _store_rejects(self, rejected: DataFrame, from_files: Callable[[DataFrame], DataFrame],
+                       loaded_at: Column) -> None:
         """Upsert by key. A row rejected before stays in the partition of its first load."""
         table, today = "raw/rejected_trips", F.to_date("rejected_at")
         stored = self._read(table, REJECT_TABLE_SCHEMA)
@@ -207,8 +207,9 @@ class Warehouse:
         first = earlier.select(*TRIP_KEY, F.col("load_date").alias("_first"))
         dated = (rejected.join(first, list(TRIP_KEY), "left")
                  .withColumn("load_date", F.coalesce("_first", today)).drop("_first"))
-        touched = dated.select("load_date").distinct()
-        rest = stored.join(touched, "load_date", "left_semi")
+        # Listed, not joined: a date is one key for all rows loaded on it. Rows keep the date of their first load or get today's.
+        dates = [r.load_date for r in earlier.select("load_date").distinct().collect()]
+        rest = stored.where(F.col("load_date").isin(dates) | (F.col("load_date") == F.to_date(loaded_at)))
         self._replace(upsert(rest, dated, TRIP_KEY), table, "load_date")
 
     def refresh_rollup(self, dates: list[date] | None = None) -> None:
