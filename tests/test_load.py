@@ -123,3 +123,12 @@ def test_append_and_upsert(spark):
 def test_an_empty_warehouse_answers(spark, tmp_path):
     empty = Warehouse(spark, str(tmp_path / "empty"))
     assert empty.demand().count() == empty.trips().count() == empty.zones().count() == 0
+
+
+def test_events_are_dealt_out_before_they_are_made_trips(spark, sf):
+    plain, dealt = fx.dirty_trips(spark, sf), fx.dirty_trips(spark, sf, deal_out=True)
+    lines = dealt._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealing, reading = (next(i for i, line in enumerate(lines) if name in line)
+                        for name in ("RepartitionByExpression", "get_json_object"))
+    assert reading < dealing  # above it in the plan
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))

@@ -20,7 +20,7 @@ from zonetide.operators.export import to_features
 from zonetide.operators.flows import balanced, flow_balance, od_matrix, od_rollup
 from zonetide.operators.segments import hourly_profiles, spanning_tree, weighted_edges, zone_segments
 from zonetide.plans.catalog import ASIA, MORNING, Query, adjacency, demand, long_demand, trips
-from zonetide.plans.shared import new_folder
+from zonetide.plans.shared import new_folder, stored
 from zonetide.plans.warehouse import Warehouse
 from zonetide.sources import fixtures as fx
 from zonetide.sources.zones import read_zones
@@ -164,7 +164,8 @@ def _stream_load(spark: SparkSession, sf: str) -> DataFrame:
     landing, checkpoint = f"{root}/landing", f"{root}/checkpoint"
     store = Warehouse(spark, f"{root}/store")
     store.load_zones(fx.zones(spark, sf))
-    raw = fx.dirty_trips(spark, sf).drop("source_file", "source_row_number")
+    # Stored first: what arrives early would else be picked before the events are dealt out.
+    raw = stored(fx.dirty_trips(spark, sf, deal_out=True).drop("source_file", "source_row_number"), "arriving")
     early = F.coalesce(F.col("DOLocationID") <= 12, F.lit(False))
     for arrives in (early, ~early, None):
         if arrives is not None:

@@ -71,7 +71,7 @@ def _loaded(spark: SparkSession, sf: str) -> tuple[Warehouse, str]:
     """A new warehouse with the events loaded from files, faults among them."""
     root = new_folder(spark, "warehouse")
     landing = f"{root}/landing"
-    fx.dirty_trips(spark, sf).drop("source_file", "source_row_number").write.parquet(landing)
+    fx.dirty_trips(spark, sf, deal_out=True).drop("source_file", "source_row_number").write.parquet(landing)
     store = Warehouse(spark, f"{root}/store")
     store.load_zones(fx.zones(spark, sf))
     return store, landing
