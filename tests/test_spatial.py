@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from zonetide import Filters
 from zonetide.functions import geometry as g
 from zonetide.functions.projection import PROJECTIONS, forward, inverse
+from zonetide.operators import adjacency
 from zonetide.operators.adjacency import MOST_PIECES, _in_pieces, edge_pairs, zone_adjacency
 from zonetide.operators.hotspots import hotspots
 from zonetide.operators.scores import priority_class, weighted_score, zone_details, zone_scores
 from zonetide.operators.simplify import simplify
 from zonetide.operators.export import to_features, write_features
-from zonetide.sources.fixtures import mixed_parcels
+from zonetide.sources.fixtures import mixed_parcels, parcels
 from zonetide.sources.zones import read_zone_table, read_zones, standardise_zones, validate_zones, zone_violations
 
 
@@ -332,3 +333,13 @@ def test_long_edges_are_cut_into_bounded_numbers(spark, sf):
     pieces = _in_pieces(found)
     assert found.count() < pieces.count() <= MOST_PIECES * found.count()
     assert {r.own for r in pieces.select("own").distinct().collect()} == set(pieces.first().levels)
+
+
+def test_zones_are_dealt_out_before_their_edges_are_made(spark, sf, monkeypatch):
+    kept = []
+    monkeypatch.setattr(adjacency, "stored", lambda df, name: kept.append(df) or df)
+    adjacency.stored_edges(parcels(spark, sf).coalesce(1))
+    lines = kept[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt, edges = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line), next(
+        i for i, line in enumerate(lines) if "posexplode" in line)
+    assert edges < dealt  # above it in the plan
