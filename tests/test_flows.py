@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from zonetide.filters import Filters
+from zonetide.operators import accessibility as reach
 from zonetide.operators.accessibility import accessibility, link_times, shortest_times
 from zonetide.operators.flows import balanced, flow_balance, od_matrix, od_rollup
 
@@ -106,6 +107,17 @@ def test_shortest_times(spark):
     assert found == {(i, j): s for i in range(1, 41) for j, s in dijkstra(links, i, 200).items()}
 
 
+def test_rounds_end_where_no_link_leads_on(spark, monkeypatch):
+    """Ways of one link need no round, nor do those that not even the shortest link can go on from."""
+    kept, plain = [], reach.stored
+    monkeypatch.setattr(reach, "stored", lambda df, name: kept.append(name) or plain(df, name))
+    places = spark.createDataFrame([(i,) for i in range(1, 7)], "location_id int")
+    links = spark.createDataFrame([(i, i + 1, 240 + i) for i in range(1, 6)], "origin_id int, destination_id int, seconds int")
+    found = {(r.origin_id, r.destination_id): r.seconds for r in shortest_times(places, links, 900).collect()}
+    assert found == {(i, j): sum(240 + k for k in range(i, j)) for i in range(1, 7) for j in range(i, min(i + 3, 6) + 1)}
+    assert kept.count("times") == 2  # two links, three links
+
+
 def test_accessibility(spark):
     values = spark.createDataFrame([(1, 10), (2, 30), (3, 0), (4, 60)], "location_id int, trip_count long")
     links = spark.createDataFrame([(1, 2, 120), (2, 3, 90), (3, 4, 60), (4, 1, 600)],

@@ -343,3 +343,14 @@ def test_zones_are_dealt_out_before_their_edges_are_made(spark, sf, monkeypatch)
     dealt, edges = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line), next(
         i for i, line in enumerate(lines) if "posexplode" in line)
     assert edges < dealt  # above it in the plan
+
+
+def test_turns_are_computed_only_for_edges_that_may_make_a_contact(spark, sf, monkeypatch):
+    """One pair for two squares at a corner, of all edges that meet there. Where no zone has several rings, none is looked for
+    inside another zone."""
+    kept, plain = [], adjacency.with_turns
+    monkeypatch.setattr(adjacency, "with_turns", lambda pairs: kept.append(pairs) or plain(pairs))
+    monkeypatch.setattr(adjacency, "_swallowed", None)
+    found = zone_adjacency(parcels(spark, sf).where("location_id % 128 < 8"))  # two rows of eight
+    assert found.count() == 2 * (14 + 8 + 14)
+    assert kept[0].count() == 7 * 6 + 16  # seven corners of four squares, sixteen of two

@@ -35,31 +35,43 @@ def shortest_times(places: DataFrame, links: DataFrame, limit: int) -> DataFrame
     """(origin_id, destination_id, seconds) of all pairs at most ``limit`` seconds apart, each place with itself included.
 
     ``places`` has location_id, ``links`` origin_id, destination_id and seconds (over 0; nulls and links between
-    unknown places don't count). Rounds are as many as the links on the longest of the shortest ways. A link is used only by the
-    pairs that reach its start, so work follows what lies within the limit, not all pairs.
+    unknown places don't count). Ways of one link are known from the start; each round adds a link, as long as some pair that became
+    faster lies so far within the limit that the shortest link leads on. A link is used only by the pairs that reach its start,
+    so work follows what lies within the limit, not all pairs.
     """
-    known = places.select("location_id").distinct()
+    known = stored(places.select("location_id").distinct(), "places")
     ends = known.withColumnRenamed("location_id", "destination_id")
     starts = known.withColumnRenamed("location_id", "origin_id")
-    usable = stored(links.where((F.col("seconds") > 0) & (F.col("seconds") <= limit))
+    # A way back to a place itself is never faster than to stay.
+    usable = stored(links.where((F.col("seconds") > 0) & (F.col("seconds") <= limit) & (F.col("origin_id") != F.col("destination_id")))
                     .groupBy("origin_id", "destination_id").agg(F.min("seconds").cast("bigint").alias("step"))
                     .join(ends, "destination_id", "left_semi").join(starts, "origin_id", "left_semi")
                     .select(F.col("origin_id").alias("destination_id"), F.col("destination_id").alias("next"), "step"),
                     "links")
     pair = ["origin_id", "destination_id"]
-    best = stored(known.select(F.col("location_id").alias("origin_id"), F.col("location_id").alias("destination_id"),
-                               F.lit(0).cast("bigint").alias("seconds")), "times")
-    frontier = best
+    shortest = usable.agg(F.min("step")).first()[0]
+    itself = known.select(F.col("location_id").alias("origin_id"), F.col("location_id").alias("destination_id"),
+                          F.lit(0).cast("bigint").alias("seconds"))
+    if shortest is None:
+        return itself
+
+    def leading_on(found: DataFrame) -> DataFrame:
+        return found.where(F.col("seconds") <= limit - shortest)
+
+    direct = usable.select(F.col("destination_id").alias("origin_id"), F.col("next").alias("destination_id"),
+                           F.col("step").alias("seconds"))
+    best, frontier = itself.unionByName(direct), leading_on(direct)
     while not frontier.isEmpty():
         tried = (frontier.join(usable, "destination_id")
                  .select("origin_id", F.col("next").alias("destination_id"),
                          (F.col("seconds") + F.col("step")).alias("seconds"))
-                 .where(F.col("seconds") <= limit).groupBy(*pair).agg(F.min("seconds").alias("seconds")))
+                 .where((F.col("seconds") <= limit) & (F.col("origin_id") != F.col("destination_id")))
+                 .groupBy(*pair).agg(F.min("seconds").alias("seconds")))
         before = best.withColumnRenamed("seconds", "before")
         merged = stored(before.join(tried, pair, "full").select(
             *pair, F.least("before", "seconds").alias("seconds"),
             F.coalesce(F.col("seconds") < F.coalesce("before", F.lit(limit + 1)), F.lit(False)).alias("faster")), "times")
-        best, frontier = merged.drop("faster"), merged.where("faster").drop("faster")
+        best, frontier = merged.drop("faster"), leading_on(merged.where("faster").drop("faster"))
     return best
 
 
@@ -70,6 +82,8 @@ def accessibility(values: DataFrame, links: DataFrame, minutes: Sequence[int] =
     ``values`` has location_id and trip_count. The share is null if there are no trips at all, the mean if none is reached.
     """
     check_range("minutes", min(minutes), 1, max(minutes))
+    # Stored: what counts the trips is not done again for each use.
+    values = stored(values.select("location_id", "trip_count"), "values")
     times = shortest_times(values, links, 60 * max(minutes))
     total = values.agg(F.sum("trip_count")).scalar()
     there = values.select(F.col("location_id").alias("destination_id"), "trip_count")

@@ -165,8 +165,22 @@ def _sector(origin: str, start: str, end: str, other_start: str, other_end: str)
                       for n, p in zip(names, ends, strict=True) for axis in "xy"])
 
 
-def _contacts(pairs: DataFrame) -> DataFrame:
-    """Ring pairs that meet, with whether the interiors overlap at some common point.
+def _may_meet(pairs: DataFrame) -> DataFrame:
+    """The pairs that can make a contact, by comparisons only: turns take much longer, and most pairs only have an end in common
+    that starts one of the two edges. Edges with a common end don't cross; each answers for its first vertex."""
+    a1, a2 = g.point("a_x1", "a_y1"), g.point("a_x2", "a_y2")
+    b1, b2 = g.point("b_x1", "b_y1"), g.point("b_x2", "b_y2")
+    apart = ~g.equal(a1, b1) & ~g.equal(a1, b2) & ~g.equal(a2, b1) & ~g.equal(a2, b2)
+    return pairs.where(g.equal(a1, b1) | apart | (g.in_box(a1, b1, b2) & ~g.equal(a1, b2))
+                       | (g.in_box(b1, a1, a2) & ~g.equal(b1, a2)))
+
+
+PAIR = ("a_location_id", "b_location_id")
+RINGS = ("a_location_id", "a_poly", "a_ring", "b_location_id", "b_poly", "b_ring")
+
+
+def _contacts(pairs: DataFrame, by: tuple[str, ...] = RINGS) -> DataFrame:
+    """Pairs of rings (or zones) that meet, with whether the interiors overlap at some common point.
 
     Every edge answers for its first vertex only, so each boundary vertex is tested once
     per edge of the other zone. A sector turns left from the outgoing to the incoming
@@ -181,17 +195,16 @@ def _contacts(pairs: DataFrame) -> DataFrame:
                   & ~g.equal(a1, b1) & ~g.equal(a1, b2))
     b_inside_a = ((F.col("b1_turn") == 0) & g.in_box(b1, a1, a2)
                   & ~g.equal(b1, a1) & ~g.equal(b1, a2))
-    ids = ["a_location_id", "a_poly", "a_ring", "b_location_id", "b_poly", "b_ring"]
     meetings = F.array(
         F.when(at_corner, _sector("a_?1", "a_?2", "a_p?", "b_?2", "b_p?")),
         F.when(a_inside_b, _sector("a_?1", "a_?2", "a_p?", "b_?2", "b_?1")),
         F.when(b_inside_a, _sector("b_?1", "a_?2", "a_?1", "b_?2", "b_p?")),
     )
     points = (
-        with_turns(pairs)
-        .select(*ids, "crossing", F.explode(meetings).alias("m"))
+        with_turns(_may_meet(pairs))
+        .select(*by, "crossing", F.explode(meetings).alias("m"))
         .where("crossing OR m IS NOT NULL")
-        .select(*ids, "crossing", "m.*")
+        .select(*by, "crossing", "m.*")
     )
     o, s, e, t, f = (g.point(f"{n}x", f"{n}y") for n in "oset" + "f")
     turns = points.withColumns({
@@ -210,7 +223,7 @@ def _contacts(pairs: DataFrame) -> DataFrame:
                 WHEN tf < 0 THEN NOT (st >= 0 AND sf <= 0)
                 ELSE st < 0 END
     """)
-    return turns.groupBy(*ids).agg(F.max(F.coalesce(overlap, F.lit(False))).alias("overlap"))
+    return turns.groupBy(*by).agg(F.max(F.coalesce(overlap, F.lit(False))).alias("overlap"))
 
 
 def _both_ways(pairs: DataFrame, first: str, second: str) -> DataFrame:
@@ -220,6 +233,14 @@ def _both_ways(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return pairs.select(F.explode(ways).alias("w")).select("w.*")
 
 
+def _touching(contacts: DataFrame) -> DataFrame:
+    return contacts.where(~F.col("overlap")).select(*PAIR)
+
+
+def _several_rings(edges: DataFrame) -> DataFrame:
+    return edges.where("seq = 0").groupBy("location_id").count().where("count > 1")
+
+
 def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame) -> DataFrame:
     """Touching pairs where a ring without contact lies inside the other zone.
 
@@ -245,9 +266,8 @@ def _swallowed(touching: DataFrame, contacts: DataFrame, edges: DataFrame) -> Da
     qy = F.col("qy")
     firsts = edges.where("seq = 0").select(
         "location_id", "poly", "ring", F.col("x1").alias("qx"), F.col("y1").alias("qy"))
-    several_rings = firsts.groupBy("location_id").count().where("count > 1")
     points = (
-        firsts.join(several_rings, "location_id", "left_semi")
+        firsts.join(_several_rings(edges), "location_id", "left_semi")
         .join(_both_ways(touching, "location_id", "other"), "location_id")
         .join(met, ["location_id", "other", "poly", "ring"], "left_anti")
         .withColumn("level", F.explode(levels))
@@ -271,12 +291,9 @@ def zone_adjacency(zones: DataFrame) -> DataFrame:
     Works on the unsimplified geometry. Contact in a single corner counts.
     """
     edges = stored_edges(zones)
+    if _several_rings(edges).isEmpty():
+        return _both_ways(_touching(_contacts(edge_pairs(edges), PAIR)), "location_id", "neighbour_id")
     contacts = _contacts(edge_pairs(edges))
-    touching = (
-        contacts.groupBy("a_location_id", "b_location_id")
-        .agg(F.max("overlap").alias("overlap"))
-        .where(~F.col("overlap")).select("a_location_id", "b_location_id")
-    )
-    kept = touching.join(_swallowed(touching, contacts, edges),
-                         ["a_location_id", "b_location_id"], "left_anti")
+    touching = _touching(contacts.groupBy(*PAIR).agg(F.max("overlap").alias("overlap")))
+    kept = touching.join(_swallowed(touching, contacts, edges), list(PAIR), "left_anti")
     return _both_ways(kept, "location_id", "neighbour_id")
