@@ -115,7 +115,8 @@ def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
             {c: f"{prefix}_{c}" for c in own.columns})
 
     a, b = side("a", visiting), side("b", at_home)
-    keys = ["level", "cx", "cy"]
+    # The first key decides most comparisons of the sort; there are few levels.
+    keys = ["cy", "cx", "level"]
     if same_zone:
         keys.append("location_id")
         a = a.withColumnRenamed("a_location_id", "location_id")
