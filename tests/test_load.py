@@ -132,3 +132,41 @@ def test_events_are_dealt_out_before_they_are_made_trips(spark, sf):
                         for name in ("RepartitionByExpression", "get_json_object"))
     assert reading < dealing  # above it in the plan
     assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_rejects_of_a_date_are_dealt_out_by_row(spark, folder, tmp_path):
+    root, store = folder
+    fresh = Warehouse(spark, str(tmp_path / "store"))
+    fresh.load_zones(store.zones().drop("created_at"))
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        report = fresh.load_trips(str(root / "first"))  # one file, read by one task
+    finally:
+        spark.conf.unset(merging)
+    assert len(list((tmp_path / "store" / "raw" / "rejected_trips").glob("load_date=*/part-*"))) > 1
+    assert fresh.rejected_trips().count() == report.rejected > 1
+
+
+def test_a_reload_joins_rejects_once(spark, folder, tmp_path, monkeypatch):
+    root, store = folder
+    fresh = Warehouse(spark, str(tmp_path / "store"))
+    fresh.load_zones(store.zones().drop("created_at"))
+    fresh.load_trips(str(root / "first"))
+    before = fresh.rejected_trips()
+    kept = sorted(before.drop("rejected_at").collect())
+    replaced, replace = [], fresh._replace
+    monkeypatch.setattr(fresh, "_replace", lambda rows, table, *rest: replaced.append((table, rows)) or replace(rows, table, *rest))
+    fresh.load_trips(str(root / "second"))  # none of its rejects is stored
+    fresh.load_trips(str(root / "first"))
+    assert [r for r in sorted(fresh.rejected_trips().drop("rejected_at").collect()) if r in kept] == kept
+    stamps = fresh.rejected_trips().groupBy("source_file").agg(F.count_distinct("rejected_at").alias("n"), F.max("rejected_at").alias("at"))
+    assert [r.n for r in stamps.collect()] == [1, 1]
+    newest = stamps.orderBy(F.desc("at")).first().source_file
+    assert "/first/" in newest
+    plans = [rows._jdf.queryExecution().optimizedPlan().toString() for table, rows in replaced if table == "raw/rejected_trips"]
+    assert len(plans) == 1
+    lines = plans[0].splitlines()
+    # The trips are read once, and no union stands before the write.
+    assert sum("tpep_pickup_datetime" in x and "Relation [" in x for x in lines) == 1
+    assert sum("Join FullOuter" in x for x in lines) == 1 and not any("Union" in x for x in lines)

@@ -197,20 +197,23 @@ class Warehouse:
     def _store_rejects(self, rejected: DataFrame, from_files: Callable[[DataFrame], DataFrame],
                        loaded_at: Column) -> None:
         """Upsert by key. A row rejected before stays in the partition of its first load."""
-        table, today = "raw/rejected_trips", F.to_date("rejected_at")
+        table, today = "raw/rejected_trips", F.to_date(loaded_at)
         stored = self._read(table, REJECT_TABLE_SCHEMA)
         earlier = from_files(stored)
         if earlier.isEmpty():
-            (rejected.withColumn("load_date", today).hint("rebalance", "load_date")
+            # Dealt out by row: all of them have one date, whose rows Spark splits only by the tasks they come from.
+            (rejected.withColumn("load_date", today).hint("rebalance", *TRIP_KEY)
              .write.mode("append").partitionBy("load_date").parquet(self._path(table)))
             return
-        first = earlier.select(*TRIP_KEY, F.col("load_date").alias("_first"))
-        dated = (rejected.join(first, list(TRIP_KEY), "left")
-                 .withColumn("load_date", F.coalesce("_first", today)).drop("_first"))
         # Listed, not joined: a date is one key for all rows loaded on it. Rows keep the date of their first load or get today's.
         dates = [r.load_date for r in earlier.select("load_date").distinct().collect()]
-        rest = stored.where(F.col("load_date").isin(dates) | (F.col("load_date") == F.to_date(loaded_at)))
-        self._replace(upsert(rest, dated, TRIP_KEY), table, "load_date")
+        rest = stored.where(F.col("load_date").isin(dates) | (F.col("load_date") == today))
+        values = F.struct(*[c for c in rejected.columns if c not in TRIP_KEY])
+        # One join keeps, replaces and adds rows.
+        met = (rest.select(*TRIP_KEY, values.alias("_known"), F.col("load_date").alias("_first"))
+               .join(rejected.select(*TRIP_KEY, values.alias("_new")), list(TRIP_KEY), "full"))
+        rows = met.select(*TRIP_KEY, F.coalesce("_new", "_known").alias("_values"), F.coalesce("_first", today).alias("load_date"))
+        self._replace(rows.select(*TRIP_KEY, "_values.*", "load_date"), table, "load_date")
 
     def refresh_rollup(self, dates: list[date] | None = None) -> None:
         """Recompute the rollup of the given pickup dates, or of all dates."""
