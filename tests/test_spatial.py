@@ -354,3 +354,41 @@ def test_turns_are_computed_only_for_edges_that_may_make_a_contact(spark, sf, mo
     found = zone_adjacency(parcels(spark, sf).where("location_id % 128 < 8"))  # two rows of eight
     assert found.count() == 2 * (14 + 8 + 14)
     assert kept[0].count() == 7 * 6 + 16  # seven corners of four squares, sixteen of two
+
+
+def plain_edges(spark, rows):
+    """Edges of (zone, x1, y1, x2, y2, poly)."""
+    return spark.createDataFrame(rows, "location_id int, x1 double, y1 double, x2 double, y2 double, poly int").selectExpr(
+        "location_id", "poly", "0 AS ring", "0 AS seq", "x1 AS px", "y1 AS py", "x1", "y1", "x2", "y2")
+
+
+def test_straight_edges_meet_all_they_touch(spark):
+    """Level and upright edges, both ways, on a grid that is also that of the cells: their boxes are all there is to them."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        size = rng.choice((0.25, 0.25, 0.25, 0.25, 1, 3, 16, 40)) * rng.choice((-1, 1))
+        x, y, poly = rng.randrange(-80, 80) / 4, rng.randrange(-80, 80) / 4, rng.randrange(2)
+        rows.append((i, x, y, x + size, y, poly) if rng.random() < 0.5 else (i, x, y, x, y + size, poly))
+    rows.append((999, -900.0, 300.0, 900.0, 300.0, 0))  # far from all others
+
+    def meet(a, b):
+        return all(min(a[k], a[k + 2]) <= max(b[k], b[k + 2]) and min(b[k], b[k + 2]) <= max(a[k], a[k + 2]) for k in (1, 2))
+
+    expected = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if meet(a, b)}
+    edges_ = plain_edges(spark, rows)
+    assert {tuple(r) for r in edge_pairs(edges_).select("a_location_id", "b_location_id").collect()} == expected
+    unlike = {(a, b) for a, b in expected if rows[a][5] != rows[b][5]}
+    assert 10 < len(unlike) < len(expected) and {tuple(r) for r in edge_pairs(edges_, kind="poly").select(
+        "a_location_id", "b_location_id").collect()} == unlike
+
+
+def test_pieces_of_straight_edges_fill_few_cells(spark, sf, monkeypatch):
+    """Cut edges that lie on the borders of cells: they filled six at home for each edge and eight in all."""
+    kept, plain = [], adjacency._in_cells
+    monkeypatch.setattr(adjacency, "_in_cells", lambda edges: kept.append(plain(edges)) or kept[-1])
+    found = g.edges(mixed_parcels(spark, sf))
+    edge_pairs(found)
+    edges_, at_home, visiting = found.count(), kept[0].count(), kept[-1].count()
+    assert len(kept) == 3 and kept[0].sameSemantics(kept[1])  # pieces at home meet each other: shuffled once
+    assert at_home < 3 * edges_ and at_home + visiting < 5 * edges_

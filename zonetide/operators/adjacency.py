@@ -30,10 +30,16 @@ def _strips(level: Column, one: Column, other: Column) -> Column:
 
 
 def _in_cells(edges: DataFrame) -> DataFrame:
-    """One row per cell (cx, cy) of its ``level`` that the box of an edge's piece meets."""
-    left, low, right, high = (F.col(c) for c in BOX)
-    return (edges.withColumn("cx", F.explode(_strips(F.col("level"), left, right)))
-            .withColumn("cy", F.explode(_strips(F.col("level"), low, high))))
+    """One row per cell (cx, cy) of its ``level`` that the box of an edge's piece meets. A piece that goes on where its box
+    ends leaves the cell that only begins there to the next one."""
+    side = F.pow(F.lit(2.0), F.col("level"))
+
+    def strips(least: str, most: str) -> Column:
+        first, last = F.floor(F.col(least) / side), F.floor(F.col(most) / side)
+        return F.sequence(first, F.when(F.col("goes_on"), F.greatest(first, F.ceil(F.col(most) / side) - 1)).otherwise(last))
+
+    return (edges.withColumn("cx", F.explode(strips("left", "right")))
+            .withColumn("cy", F.explode(strips("low", "high"))).drop("goes_on"))
 
 
 BOX = ("left", "low", "right", "high")
@@ -44,10 +50,15 @@ def _splits(own: Column, usual: Column) -> Column:
     return F.greatest(F.least((own - usual) / LEVEL_BITS, F.lit(float(MOST_SPLITS))), F.lit(0.0))
 
 
-def _sizes(levelled: DataFrame) -> Column:
+def _sizes(levelled: DataFrame, kind: tuple[str, ...]) -> Column:
     """``usual``, the lowest level down to which edges can be cut without making more than ``MOST_PIECES`` pieces for each
-    edge there is, and ``levels``, those of all pieces. Both come from the numbers of edges by level, one pass."""
-    counted = levelled.groupBy("own").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("own", "n")).alias("found"))
+    edge there is, ``levels``, those of all pieces, and ``extents``, where there are any. All comes from the numbers and
+    boxes of edges by level, one pass."""
+    extent = [by(by_end(f"{axis}1", f"{axis}2")).alias(name) for name, axis, by, by_end in (
+        ("left", "x", F.min, F.least), ("low", "y", F.min, F.least),
+        ("right", "x", F.max, F.greatest), ("high", "y", F.max, F.greatest))]
+    counted = levelled.groupBy("own", *kind).agg(F.count("*").alias("n"), *extent).agg(
+        F.collect_list(F.struct("own", "n", *kind, *BOX)).alias("found"))
 
     def pieces(usual: Column) -> Column:
         return F.aggregate("found", F.lit(0.0), lambda total, level: total + level["n"] * F.pow(
@@ -56,14 +67,18 @@ def _sizes(levelled: DataFrame) -> Column:
     edges = F.aggregate("found", F.lit(0.0), lambda total, level: total + level["n"])
     owns = F.transform("found", lambda level: level["own"])
     usual = F.array_min(F.filter(owns, lambda own: pieces(own) <= MOST_PIECES * edges))
+    def cut(level: Column) -> Column:
+        return level["own"] - LEVEL_BITS * F.floor(_splits(level["own"], F.col("usual")))
+
     # About 1000 levels cover all doubles.
-    return counted.select("found", usual.alias("usual")).select(F.struct("usual", F.array_distinct(F.transform(
-        "found", lambda level: level["own"] - LEVEL_BITS * F.floor(_splits(level["own"], F.col("usual")))))
-        .alias("levels"))).scalar()
+    return counted.select("found", usual.alias("usual")).select(F.struct(
+        "usual", F.array_distinct(F.transform("found", cut)).alias("levels"), F.transform("found", lambda level: F.struct(
+            cut(level).alias("level"), *[level[name].alias(name) for name in (*kind, *BOX)])).alias("extents"))).scalar()
 
 
-def _in_pieces(edges: DataFrame) -> DataFrame:
-    """Edges cut into pieces, each with its box, the level (``own``) of its length, and the ``levels`` there are.
+def _in_pieces(edges: DataFrame, kind: tuple[str, ...] = ()) -> DataFrame:
+    """Edges cut into pieces, each with its box, the level (``own``) of its length, the ``levels`` there are and their
+    ``extents``, and whether its box, that of a level or upright edge, ends where the next piece's begins (``goes_on``).
 
     Edges longer than most are cut, so that boxes lie along them: the box of a long slanted edge would take in every
     short one around it. The longest are cut first, as long as there are at most ``MOST_PIECES`` pieces for each edge, over all.
@@ -71,21 +86,26 @@ def _in_pieces(edges: DataFrame) -> DataFrame:
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     farthest = F.greatest(F.abs(x1), F.abs(y1), F.abs(x2), F.abs(y2))
     levelled = edges.withColumn("own", level_of(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)), farthest))
-    sized = levelled.withColumn("_sizes", _sizes(levelled))
+    sized = levelled.withColumn("_sizes", _sizes(levelled, kind))
     cut = sized.withColumn("_splits", _splits(F.col("own"), F.col("_sizes.usual")).cast("int")).withColumn(
         "_n", F.pow(F.lit(2.0), LEVEL_BITS * F.col("_splits"))).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
 
     def end(a: Column, b: Column, k: Column) -> Column:
-        return F.when(F.col("_n") == 1, F.when(k == F.col("_k"), a).otherwise(b)).otherwise(a + (b - a) * (k / F.col("_n")))
+        return F.when(k == F.col("_n"), b).otherwise(a + (b - a) * (k / F.col("_n")))
 
-    k, slack = F.col("_k"), F.when(F.col("_n") == 1, 0.0).otherwise(farthest * SLACK)
+    # Rounded cuts are off a slanted edge. Level and upright edges have theirs on them: each piece begins where another ends.
+    k, straight = F.col("_k"), (x1 == x2) | (y1 == y2)
+    slack = F.when((F.col("_n") == 1) | straight, 0.0).otherwise(farthest * SLACK)
+    forward = (x1 <= x2) & (y1 <= y2)
+    goes_on = straight & F.when(forward, k < F.col("_n") - 1).otherwise(k > 0)
     ends = {"x": (end(x1, x2, k), end(x1, x2, k + 1)), "y": (end(y1, y2, k), end(y1, y2, k + 1))}
     box = {name: side(*ends[axis]) + sign * slack for name, axis, side, sign in (
         ("left", "x", F.least, -1), ("low", "y", F.least, -1), ("right", "x", F.greatest, 1), ("high", "y", F.greatest, 1))}
     # A piece is as many levels lower as it was cut finer; widened boxes still reach into two cells a direction.
     return cut.withColumns(box).withColumn("own", F.col("own") - LEVEL_BITS * F.col("_splits")).select(
-        *edges.columns, "own", *BOX, F.col("_sizes.levels").alias("levels"))
+        *edges.columns, "own", *BOX, goes_on.alias("goes_on"), F.col("_sizes.levels").alias("levels"),
+        F.col("_sizes.extents").alias("extents"))
 
 
 def stored_edges(zones: DataFrame) -> DataFrame:
@@ -94,38 +114,40 @@ def stored_edges(zones: DataFrame) -> DataFrame:
     return stored(g.edges(zones.select("location_id", "geom").repartition("location_id")), "edges")
 
 
-def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
-    """Pairs of edges whose boxes meet, found through shared grid cells.
+def edge_pairs(edges: DataFrame, same_zone: bool = False, kind: str | None = None) -> DataFrame:
+    """Pairs of edges whose boxes meet, found through shared grid cells; with ``kind``, those that differ in this column.
 
     Edges much longer than most are cut into pieces. Every piece is at home on the level of its own length, in four cells at
-    most (nine where it was widened), and visits the coarser levels that exist, so that each pair meets where the longer piece is
-    at home. Neither very short nor very long edges cover many cells, and a long edge meets only those near it.
+    most (nine where it was widened), and visits the coarser levels that exist around it, so that each pair meets where the longer
+    piece is at home. Neither very short nor very long edges cover many cells, and a long edge meets only those near it.
 
     Columns of the two sides are prefixed ``a_`` and ``b_``; across zones a has the
     smaller zone id. A pair sharing several cells is listed once per cell and pieces: the callers only
     ask whether a pair exists, and repeating a test is cheaper than a shuffle to remove repeats.
     """
-    pieces = _in_pieces(edges)
-    own = pieces.drop("levels")
-    visiting = pieces.withColumn("level", F.explode(F.filter("levels", lambda level: level >= F.col("own")))).drop("levels")
-    at_home = own.withColumn("level", F.col("own"))
+    kinds = (kind,) if kind else ()
+    pieces = _in_pieces(edges, kinds)
+    own = pieces.drop("levels", "extents")
+
+    def around(e: Column) -> Column:
+        near = ((F.col("left") <= e["right"]) & (e["left"] <= F.col("right"))
+                & (F.col("low") <= e["high"]) & (e["low"] <= F.col("high")))
+        return near & (e[kind] != F.col(kind)) if kind else near
+
+    visiting = pieces.withColumn("level", F.explode(F.filter("levels", lambda level: (level > F.col("own")) & F.exists(
+        "extents", lambda e: (e["level"] == level) & around(e))))).select(*own.columns, "level")
+    at_home = pieces.where(F.exists("extents", lambda e: (e["level"] <= F.col("own")) & around(e))).select(
+        *own.columns, F.col("own").alias("level"))
+    # The first key decides most comparisons of the sort; there are few levels.
+    keys = ["cy", "cx", "level", *(["location_id"] if same_zone else [])]
+    whole = {name: by(f"{axis}1", f"{axis}2") for name, axis, by in (
+        ("left", "x", F.least), ("low", "y", F.least), ("right", "x", F.greatest), ("high", "y", F.greatest))}
 
     def side(prefix: str, levelled: DataFrame) -> DataFrame:
-        return _in_cells(levelled).withColumnsRenamed(
-            {c: f"{prefix}_{c}" for c in own.columns})
-
-    a, b = side("a", visiting), side("b", at_home)
-    # The first key decides most comparisons of the sort; there are few levels.
-    keys = ["cy", "cx", "level"]
-    if same_zone:
-        keys.append("location_id")
-        a = a.withColumnRenamed("a_location_id", "location_id")
-        b = b.withColumnRenamed("b_location_id", "location_id")
-        earlier = F.struct("a_poly", "a_ring", "a_seq") < F.struct("b_poly", "b_ring", "b_seq")
-        once = (F.col("a_own") < F.col("b_own")) | earlier
-    else:
-        zone_a, zone_b = F.col("a_location_id"), F.col("b_location_id")
-        once = (zone_a < zone_b) | ((F.col("a_own") < F.col("b_own")) & (zone_a != zone_b))
+        # What the edge tells is null, so that it takes no room in the shuffle.
+        short = _in_cells(levelled.drop("own")).withColumns(
+            {c: F.when(F.col(c) != value, F.col(c)) for c, value in whole.items()})
+        return short.withColumnsRenamed({c: f"{prefix}_{c}" for c in short.columns if c not in keys})
 
     def low(side_: str, axis: str) -> Column:
         return F.least(f"{side_}_{axis}1", f"{side_}_{axis}2")
@@ -133,13 +155,27 @@ def edge_pairs(edges: DataFrame, same_zone: bool = False) -> DataFrame:
     def high(side_: str, axis: str) -> Column:
         return F.greatest(f"{side_}_{axis}1", f"{side_}_{axis}2")
 
-    boxes_meet = ((low("a", "x") <= high("b", "x")) & (low("b", "x") <= high("a", "x"))
-                  & (low("a", "y") <= high("b", "y")) & (low("b", "y") <= high("a", "y"))
-                  & F.expr("a_left <= b_right AND b_left <= a_right AND a_low <= b_high AND b_low <= a_high"))
-    # Sizes estimated from the zone file say little about the gridded edges, so the sides
+    boxes_meet = F.lit(True)
+    for axis, first, last in (("x", "left", "right"), ("y", "low", "high")):
+        for one, other in ("ab", "ba"):
+            boxes_meet = boxes_meet & (low(one, axis) <= high(other, axis)) & (
+                F.coalesce(f"{one}_{first}", low(one, axis)) <= F.coalesce(f"{other}_{last}", high(other, axis)))
+    # Pieces at home meet each other and those that visit. They are shuffled once, since all sides but the visitors' are the
+    # same but for names. Sizes estimated from the zone file say little about the gridded edges, so the sides
     # are never broadcast; hot cells are split at run time.
-    pairs = a.hint("merge").join(b, keys).where(once & boxes_meet).drop(
-        "level", "cx", "cy", "a_own", "b_own", *[f"{side_}_{name}" for side_ in "ab" for name in BOX])
+    at_homes = [side(prefix, at_home) for prefix in "ab"]
+    if same_zone:
+        earlier, other = F.struct("a_poly", "a_ring", "a_seq") < F.struct("b_poly", "b_ring", "b_seq"), F.lit(True)
+    else:
+        zone_a, zone_b = F.col("a_location_id"), F.col("b_location_id")
+        earlier, other = zone_a < zone_b, zone_a != zone_b
+    if kind:
+        boxes_meet = boxes_meet & (F.col(f"a_{kind}") != F.col(f"b_{kind}"))
+    pairs = None
+    for a, once in ((at_homes[0], earlier), (side("a", visiting), other)):
+        met = a.hint("merge").join(at_homes[1], keys).where(once & boxes_meet).drop(
+            "level", "cx", "cy", *[f"{side_}_{name}" for side_ in "ab" for name in BOX])
+        pairs = met if pairs is None else pairs.unionByName(met)
     if same_zone:
         return pairs
     ordered = zone_a < zone_b
