@@ -5,7 +5,10 @@ import random
 
 from conftest import box, ring
 
+from pyspark.sql import functions as F
+
 from zonetide.functions.geometry import rings
+from zonetide.operators import arcs
 from zonetide.operators.arcs import simplify_map
 from zonetide.sources.fixtures import bordered_parcels, wavy_parcels
 
@@ -96,3 +99,51 @@ def test_wavy_boundaries_are_made_after_dealing_out(spark, sf):
     plan = rings(wavy_parcels(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.rsplit("Repartition", 1)
     assert "struct(x, " in above and "struct(x, " not in below
+
+
+def open_rings(spark, shapes):
+    """Open rings of {zone: points}."""
+    return spark.createDataFrame(
+        [(i, 0, 0, [(float(x), float(y)) for x, y in points_]) for i, points_ in shapes.items()],
+        "location_id int, poly int, ring int, v array<struct<x:double,y:double>>")
+
+
+def test_junctions_are_found_in_every_block(spark):
+    """Rings through common points in any order, some of them within one block, some through many."""
+    random.seed(7)
+    grid = [(x / 4, y / 4) for x in range(12) for y in range(12)]
+    shapes = {i: random.sample(grid, random.randint(3, 30)) for i in range(8)} | {
+        20 + i: [(p[0] + 9000, p[1]) for p in grid[4 * i:4 * i + 4]] for i in range(5)} | {
+        40: [(9000.0, 0.0), (9000.0, 0.25), (9000.0, 0.5), (9000.0, 0.75)], 41: [(9000.0, 0.25), (0.0, 0.0), (9000.0, 0.75)],
+        42: [(5.0, 5.0), (6.0, 5.0), (5.0, 5.0), (5.0, 6.0)], 43: [(7.0, 5.0), (8.0, 5.0), (9.0, 5.0)]}
+    around = {}
+    for ring_ in shapes.values():
+        for k, p in enumerate(ring_):
+            around.setdefault(p, set()).update((ring_[k - 1], ring_[(k + 1) % len(ring_)]))
+    expected = {(i, k) for i, ring_ in shapes.items() for k, p in enumerate(ring_) if len(around[p]) > 2}
+    for edges_ in (1, 4, 64):
+        arcs.BLOCK_EDGES, before = edges_, arcs.BLOCK_EDGES
+        try:
+            found = arcs.junctions(open_rings(spark, shapes)).select("location_id", "seq").collect()
+        finally:
+            arcs.BLOCK_EDGES = before
+        assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    assert 0 < len(expected) < sum(map(len, shapes.values()))
+
+
+def test_rings_are_shuffled_in_few_runs(spark, sf):
+    """Not point by point: parcels have 128 points each."""
+    found = rings(bordered_parcels(spark, sf)).select(*arcs.RING, F.slice("vertices", 1, 128).alias("v"))
+    runs = arcs._runs(found)
+    assert runs.count() < 4 * found.count()
+    points_ = runs.select(F.sum(F.size("points") - 2), F.sum(F.size("points"))).first()
+    assert points_[0] == 128 * found.count() and points_[1] < 1.07 * points_[0]
+
+
+def test_points_of_arcs_are_not_brought_together(make_zones, monkeypatch):
+    """What is stored of arcs apart from their rings has only the points that are left."""
+    kept, plain = {}, arcs.stored
+    monkeypatch.setattr(arcs, "stored", lambda df, name: kept.setdefault(name, []).append(df.columns) or plain(df, name))
+    simplified(make_zones({1: [[box(0, 0)]], 2: [[box(1, 0)]]}), 0.1)
+    assert {name for name, tables in kept.items() if "points" in tables[0]} == {"spans"}
+    assert set(kept["lines"][0]) == {"arc", "tolerance", "spans", "line"}

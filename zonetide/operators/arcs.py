@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonetide.functions import geometry as g
@@ -25,27 +25,66 @@ ROUNDS = 8          # of splitting in one pass
 FINER = 8           # times smaller each time arcs get in each other's way
 COARSEST_SHARE = 500  # below this share of the tolerance arcs stay as they are
 RING = ("location_id", "poly", "ring")
+BLOCK_EDGES = 64    # width of the blocks in which junctions are looked for, in edges
+BLOCK_SHIFT = 0.381966
 SPANS = "array<struct<i:int,j:int,open:boolean>>"
 
 
-def junctions(rings: DataFrame) -> DataFrame:
-    """Points (x, y) with more than two different neighbours along the boundaries. ``rings`` has open rings ``v``."""
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _runs(rings: DataFrame) -> DataFrame:
+    """Rings cut where they leave a block of the plane: block (bx, by), ring, where the run starts, and its points with
+    the one before and the one after. Blocks are some edges wide, by the geometric mean of their lengths."""
     n = F.size("v")
-    around = F.transform("v", lambda p, i: F.struct(
-        p.alias("p"), F.get("v", (i + 1) % n).alias("a"), F.get("v", (i + n - 1) % n).alias("b")))
-    ends = rings.select(F.explode(around).alias("e")).select("e.p.x", "e.p.y", F.explode(F.array("e.a", "e.b")).alias("o"))
-    return (ends.groupBy("x", "y").agg(F.count_distinct("o.x", "o.y").alias("neighbours"))
-            .where("neighbours > 2").select("x", "y"))
+    lengths = F.transform("v", lambda p, i: _with(F.get("v", (i + 1) % n), lambda q: F.log2(
+        F.greatest(F.abs(q["x"] - p["x"]), F.abs(q["y"] - p["y"])))))
+    usual = rings.select(F.explode(lengths).alias("length")).agg(F.avg("length").alias("usual"))
+    sided = rings.withColumn("side", F.pow(F.lit(2.0), F.round(usual.scalar())) * BLOCK_EDGES)
+
+    def block(p: Column) -> Column:
+        # Borders along a grid shouldn't lie between two blocks.
+        return F.struct(*[F.floor(p[axis] / F.col("side") + BLOCK_SHIFT).alias(f"b{axis}") for axis in "xy"])
+
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: block(F.get("v", i)) != block(F.get("v", (i + n - 1) % n)))
+
+    def run(starts: Column, start: Column, number: Column) -> Column:
+        end = F.coalesce(F.get(starts, number + 1), F.get(starts, F.lit(0)) + n)
+        return F.struct(start.alias("start"), F.transform(F.sequence(start - 1, end), lambda i: F.get("v", (i + n) % n))
+                        .alias("points"))
+
+    runs = _with(F.when(F.size(starts) > 0, starts).otherwise(F.array(F.lit(0))), lambda starts: F.transform(
+        starts, lambda start, number: run(starts, start, number)))
+    return sided.select(*RING, "side", F.size("v").alias("n"), F.explode(runs).alias("run")).select(
+        block(F.get("run.points", F.lit(1))).alias("block"), *RING, "n", "run.*").select("block.*", *RING, "n", "start", "points")
+
+
+def junctions(rings: DataFrame) -> DataFrame:
+    """Where (seq) rings go through points with more than two different neighbours along all boundaries. ``rings`` has open
+    rings ``v``. What meets in a point meets in its block, so rings are shuffled in runs, not point by point."""
+    runs = _runs(rings).repartition("bx", "by")
+    around = F.transform(F.slice("points", F.lit(2), F.size("points") - 2), lambda p, i: F.struct(
+        p["x"].alias("x"), p["y"].alias("y"), ((F.col("start") + i) % F.col("n")).alias("seq"),
+        F.least(F.get("points", i), F.get("points", i + 2)).alias("a"),
+        F.greatest(F.get("points", i), F.get("points", i + 2)).alias("b")))
+    ends = runs.select("bx", "by", *RING, F.explode(around).alias("e")).select("bx", "by", *RING, "e.*")
+    point = Window.partitionBy("bx", "by", "x", "y")
+    bounds = ends.withColumns({"least": F.min("a").over(point), "most": F.max("b").over(point)})
+    another = F.lit(False)
+    for end in "ab":
+        another = another | ((F.col(end) != F.col("least")) & (F.col(end) != F.col("most")))
+    return bounds.withColumn("others", F.max(another).over(point)).where("others").select(*RING, "seq")
 
 
 def ring_arcs(zones: DataFrame) -> DataFrame:
     """Arcs of every ring in order: ring, place, points, and whether the ring runs against them."""
-    dealt_out = zones.select("location_id", "geom").repartition("location_id")
-    clean = g.rings(dealt_out).withColumn("vertices", g.without_repeats(F.col("vertices")))
-    rings = stored(clean.where(F.size("vertices") >= 4).select(
-        *RING, F.slice("vertices", F.lit(1), F.size("vertices") - 1).alias("v")), "rings")
-    points = rings.select(*RING, F.posexplode("v").alias("seq", "p")).select(*RING, "seq", "p.x", "p.y")
-    cuts = points.join(junctions(rings), ["x", "y"]).groupBy(*RING).agg(F.sort_array(F.collect_list("seq")).alias("cuts"))
+    clean = g.rings(zones.select("location_id", "geom")).withColumn("vertices", g.without_repeats(F.col("vertices")))
+    # Dealt out once, and read again from there.
+    rings = clean.where(F.size("vertices") >= 4).select(
+        *RING, F.slice("vertices", F.lit(1), F.size("vertices") - 1).alias("v")).repartition(*RING)
+    cuts = junctions(rings).groupBy(*RING).agg(F.sort_array(F.collect_list("seq")).alias("cuts"))
     n = F.size("v")
     # Without a junction a ring is one arc from its smallest point, whichever zone it is taken from.
     smallest = F.array((F.array_position("v", F.array_min("v")) - 1).cast("int"))
@@ -62,11 +101,6 @@ def ring_arcs(zones: DataFrame) -> DataFrame:
                     F.xxhash64("points").alias("arc")))
 
 
-def _with(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of the value, which is computed once however often it is used."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _chord(a: Column, b: Column) -> Column:
     """Start, difference of the ends and squared length of the segment a-b."""
     return _with(F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")),
@@ -123,14 +157,22 @@ def _thinned(arcs: DataFrame) -> DataFrame:
             return arcs
 
 
-def _simple_edges(arcs: DataFrame) -> DataFrame:
-    """Edges of the simplified arcs, as the edges of zones are given elsewhere; ``location_id`` is the arc."""
-    spans = arcs.select(F.col("arc").alias("location_id"), F.posexplode("spans").alias("seq", "s"),
-                        F.get("points", F.col("s.i")).alias("a"), F.get("points", F.col("s.j")).alias("b"))
+def _lines(uses: DataFrame) -> DataFrame:
+    """Each arc once: the points (``line``) that are left of it, its spans and tolerance, but not all of its points."""
+    kept = F.concat(F.transform("spans", lambda s: F.get("points", s["i"])), F.array(F.element_at("points", -1)))
+    return stored(uses.select("arc", "tolerance", "spans", kept.alias("line")).dropDuplicates(["arc"]), "lines")
+
+
+def _simple_edges(lines: DataFrame) -> DataFrame:
+    """Edges of the simplified arcs, as the edges of zones are given elsewhere, and whether they pass over points;
+    ``location_id`` is the arc."""
+    spans = lines.select(F.col("arc").alias("location_id"), "line", F.posexplode("spans").alias("seq", "s")).select(
+        "location_id", "seq", F.get("line", F.col("seq")).alias("a"), F.get("line", F.col("seq") + 1).alias("b"),
+        (F.col("s.j") - F.col("s.i") > 1).alias("passes"))
     zero = F.lit(0)
     return spans.select("location_id", zero.alias("poly"), zero.alias("ring"), "seq", F.col("a.x").alias("px"),
                         F.col("a.y").alias("py"), F.col("a.x").alias("x1"), F.col("a.y").alias("y1"),
-                        F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+                        F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "passes")
 
 
 def _meeting() -> Column:
@@ -143,16 +185,15 @@ def _meeting() -> Column:
     return found | same
 
 
-def _jumped(arcs: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
+def _jumped(uses: DataFrame, lines: DataFrame, tolerance: float) -> DataFrame:
     """Arcs one of whose stretches has the start of another arc between itself and its chord."""
-    starts = arcs.select("arc", F.get("points", F.lit(0)).alias("p")).select(
+    starts = lines.select("arc", F.get("line", F.lit(0)).alias("p")).select(
         F.col("arc").alias("location_id"), F.lit(1).alias("poly"), F.lit(0).alias("ring"), F.lit(0).alias("seq"),
         F.col("p.x").alias("px"), F.col("p.y").alias("py"),
         *[(F.col(f"p.{axis}") + sign * tolerance).alias(f"{axis}{end}")
           for end, sign in ((1, -1), (2, 1)) for axis in "xy"])
-    stretches = edges.join(arcs.select(F.col("arc").alias("location_id"), "spans"), "location_id").where(
-        F.get("spans", F.col("seq"))["j"] - F.get("spans", F.col("seq"))["i"] > 1).select(*edges.columns)
-    pairs = edge_pairs(stretches.unionByName(starts.select(*edges.columns)))
+    stretches = _simple_edges(lines).where("passes").drop("passes")
+    pairs = edge_pairs(stretches.unionByName(starts.select(*stretches.columns)), kind="poly")
     near = None
     for edge, other in (("a", "b"), ("b", "a")):
         start, ends = g.point(f"{other}_px", f"{other}_py"), [g.point(f"{edge}_x{end}", f"{edge}_y{end}") for end in (1, 2)]
@@ -162,7 +203,8 @@ def _jumped(arcs: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
             F.col(f"{edge}_location_id").alias("arc"), F.col(f"{edge}_seq").alias("seq"),
             F.col(f"{other}_px").alias("x"), F.col(f"{other}_py").alias("y"))
         near = side if near is None else near.union(side)
-    found = near.distinct().join(arcs.select("arc", "points", "spans"), "arc")
+    # All points of arcs are looked at only where a start is near. Stored, since few usually are: no points are shuffled for them.
+    found = uses.select("arc", "points", "spans").join(stored(near.distinct(), "near"), "arc")
 
     def encloses(loop: Column) -> Column:
         n = F.size(loop)
@@ -182,21 +224,22 @@ def _jumped(arcs: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
     return found.where(_with(loop, encloses)).select("arc")
 
 
-def _in_the_way(arcs: DataFrame, uses: DataFrame, tolerance: float) -> DataFrame:
+def _in_the_way(uses: DataFrame, tolerance: float) -> DataFrame:
     """Arcs to be simplified less."""
-    edges = stored(_simple_edges(arcs), "edges")
+    lines = _lines(uses)
+    edges = _simple_edges(lines).drop("passes")
     met = []
     for same in (False, True):
         pairs = with_turns(edge_pairs(edges, same_zone=same)).where(_meeting())
         met += [pairs.select(F.col(c).alias("arc")) for c in (["location_id"] if same else
                                                               ["a_location_id", "b_location_id"])]
-    small = (uses.join(arcs.select("arc", F.size("spans").alias("n")), "arc").groupBy(*RING)
+    small = (uses.select(*RING, "arc", F.size("spans").alias("n")).groupBy(*RING)
              .agg(F.sum("n").alias("n"), F.collect_set("arc").alias("arcs")).where("n < 3")
              .select(F.explode("arcs").alias("arc")))
-    found = small.union(_jumped(arcs, edges, tolerance))
+    found = small.union(_jumped(uses, lines, tolerance))
     for one in met:
         found = found.union(one)
-    return stored(found.distinct().join(arcs.where("tolerance > 0").select("arc"), "arc"), "in_the_way")
+    return stored(found.distinct().join(lines.where("tolerance > 0").select("arc"), "arc"), "in_the_way")
 
 
 def simplify_map(zones: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
@@ -206,20 +249,19 @@ def simplify_map(zones: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> Data
     kept. Rings keep at least three different vertices; a ring may start at another vertex than before. Rings of fewer than three
     vertices drop out; null and empty boundaries stay. Work is bounded by arcs: a single one is folded over as a whole.
     """
-    uses = stored(ring_arcs(zones), "uses")
-    arcs = _thinned(uses.select("arc", "points").dropDuplicates(["arc"]).withColumn("tolerance", F.lit(float(tolerance))))
+    # Both uses of an arc are thinned, in the same way: that takes less than to bring them together.
+    uses = _thinned(ring_arcs(zones).withColumn("tolerance", F.lit(float(tolerance))))
     least = tolerance / COARSEST_SHARE
-    while not (wrong := _in_the_way(arcs, uses, tolerance)).isEmpty():
+    while not (wrong := _in_the_way(uses, tolerance)).isEmpty():
         finer = F.when(F.col("tolerance") / FINER < least, 0.0).otherwise(F.col("tolerance") / FINER)
-        again = arcs.join(wrong, "arc", "left_semi").withColumn("tolerance", finer)
-        unchanged = arcs.join(wrong, "arc", "left_anti")
-        arcs = unchanged.unionByName(_thinned(again.drop("spans")).select(*unchanged.columns))
+        again = uses.join(wrong, "arc", "left_semi").withColumn("tolerance", finer)
+        unchanged = uses.join(wrong, "arc", "left_anti")
+        uses = unchanged.unionByName(_thinned(again.drop("spans")).select(*unchanged.columns))
     kept = F.transform("spans", lambda s: F.get("points", s["i"]))
     last = F.array(F.element_at("points", -1))
-    thin = arcs.select("arc", F.concat(kept, last).alias("kept"))
+    thin = uses.select(*RING, "place", "against", F.concat(kept, last).alias("kept"))
     along = F.when(F.col("against"), F.reverse("kept")).otherwise(F.col("kept"))
-    pieces = uses.drop("points").join(thin, "arc").select(
-        *RING, "place", F.slice(along, F.lit(1), F.size("kept") - 1).alias("piece"))
+    pieces = thin.select(*RING, "place", F.slice(along, F.lit(1), F.size("kept") - 1).alias("piece"))
 
     def in_order(rows: DataFrame, keys: tuple[str, ...], place: str, value: str) -> DataFrame:
         listed = F.sort_array(F.collect_list(F.struct(place, value)))
